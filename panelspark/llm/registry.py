@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.llm import bpe, sharding
+from panelspark.llm import bpe, langid, sharding, toxicity
 
-MODULES = (bpe, sharding)
+MODULES = (langid, bpe, toxicity, sharding)
 
 
 def queries() -> dict:
