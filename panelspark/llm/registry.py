@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.llm import bpe, langid, sharding, toxicity
+from panelspark.llm import bpe, decontam, langid, sharding, toxicity
 
-MODULES = (langid, bpe, toxicity, sharding)
+MODULES = (langid, bpe, toxicity, decontam, sharding)
 
 
 def queries() -> dict:

@@ -138,9 +138,9 @@ def learn(texts: list[str], toxic: list[int], least: int = 3, share: float = 0.0
             good.update(candidates(t) & seen)
     ratio = {t: math.log((bad[t] + 0.5) / (n_bad + 1)) - math.log((good[t] + 0.5) / (n_good + 1)) for t in seen}
     kept: dict[str, float] = {}
-    # terms that tell most come first; what a kept stem or word already covers adds nothing
-    for t in sorted((t for t in seen if ratio[t] >= odds), key=lambda t: (-bad[t] * ratio[t], len(t), t)):
-        if not any(t[:n] in kept for n in range(stems[0] + 1, len(t))) and t.rstrip() + " " not in kept:
+    # terms that tell most come first, longer ones if they tell as much; what a kept term covers or extends adds nothing
+    for t in sorted((t for t in seen if ratio[t] >= odds), key=lambda t: (-bad[t] * ratio[t] * (1 + 0.01 * len(t)), t)):
+        if not any(t.startswith(k) or k.startswith(t.rstrip()) for k in kept):
             kept[t] = ratio[t]
     out = Lexicon(kept, list(exceptions))
     automaton = out.automaton()
