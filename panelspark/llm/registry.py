@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.llm import bpe, decontam, langid, sharding, toxicity
+from panelspark.llm import bpe, decontam, langid, minhash, sharding, toxicity
 
-MODULES = (langid, bpe, toxicity, decontam, sharding)
+MODULES = (langid, bpe, toxicity, decontam, sharding, minhash)
 
 
 def queries() -> dict:
