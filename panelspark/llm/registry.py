@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.llm import bpe, decontam, langid, minhash, sharding, toxicity
+from panelspark.llm import bpe, decontam, langid, minhash, pq, sharding, toxicity
 
-MODULES = (langid, bpe, toxicity, decontam, sharding, minhash)
+MODULES = (langid, bpe, toxicity, decontam, sharding, minhash, pq)
 
 
 def queries() -> dict:
