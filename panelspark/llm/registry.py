@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.llm import bpe, decontam, langid, minhash, pq, sharding, substring, toxicity
+from panelspark.llm import bpe, decontam, langid, minhash, pq, sharding, substring, suffix, toxicity
 
-MODULES = (langid, bpe, toxicity, decontam, substring, sharding, minhash, pq)
+MODULES = (langid, bpe, toxicity, decontam, substring, suffix, sharding, minhash, pq)
 
 
 def queries() -> dict:
