@@ -192,10 +192,28 @@ def score(df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "tex
     return df.select(df[text].alias("text_to_score"), key, *keep).mapInArrow(run, f"{fields}, score double, predicted int, weight double, terms array<string>")
 
 
-def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clean(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, with all their columns. Narrow: one pass over whole texts."""
+    model = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = model.value
+        automaton = lex.automaton() if lex.terms else None
+        for batch in steps(batches, text):
+            keep = []
+            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
+                folded = f" {fold(t or '')} "
+                w = sum(m[2] for m in lex.matches(automaton, folded)) if automaton else 0.0
+                keep.append(lex.score(w, len(folded.split())) < threshold)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def labelled_documents(docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that may teach: labelled, and not held out."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
+    docs = docs.select("doc_id", "text")
     few = bounded(labels.where(F.col("toxic").isNotNull()), "doc_id", SAMPLE_ROWS)  # so that few texts are shuffled
     return docs.join(few, "doc_id")
 
@@ -203,7 +221,7 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; the third that is held out teaches nothing."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lexicon = train(labelled_documents(spark, sf_dir))
+    lexicon = train(labelled_documents(docs, sf_dir))
     return score(docs, lexicon).withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "score", "predicted", "weight", "terms")
 
 
