@@ -268,6 +268,8 @@ class Codec:
         except UnicodeDecodeError:
             return False
 
+    remember = MAX_PIECES
+
     def forget(self) -> None:
         """Start anew with what is remembered: pieces of the splitting pattern, and parts of texts between spaces."""
         codec = self
@@ -312,7 +314,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """For each text its token ids, and the same as decimals joined by commas."""
-        if len(self.texts) > MAX_PIECES:
+        if len(self.texts) > self.remember:
             self.forget()
         places = [list(map(self.parts.__getitem__, self.split(t))) for t in texts]
         counts, starts = np.array(self.counts, np.int64), np.array(self.starts, np.int64)
@@ -350,12 +352,12 @@ def codec(path: str, pattern: str) -> Codec:
 TYPES = {"n_tokens": "long", "ids": "array<long>", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
 
-def encode_decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+def encode_decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), remember: int = MAX_PIECES) -> DataFrame:
     """Encode every whole text, then decode the ids.
 
     outputs: of n_tokens, ids, decoded, and the digests ids_sha256 (of decimal ids joined by commas) and decoded_sha256
     (of the decoded text's bytes), which are taken where the ids and the decoded text are, so neither travels.
-    path: a rank file that each executor can read. Narrow: one pass, no shuffle.
+    path: a rank file that each executor can read. remember: pieces that a worker keeps encoded, about 300 bytes each. Narrow: one pass, no shuffle.
     """
     if unknown := set(outputs) - set(TYPES):
         raise ValueError(f"unknown outputs: {sorted(unknown)}")
@@ -363,6 +365,7 @@ def encode_decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
+        c.remember = remember
         for batch in steps(batches):
             cols: dict[str, list] = {o: [] for o in outputs}
             for ids, joined in c.encode([t or "" for t in batch.column(1).to_pylist()]):
