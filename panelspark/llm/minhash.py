@@ -3,8 +3,8 @@
 Each distinct shingle of a document falls into one of REGISTERS buckets by its hash; a bucket keeps the smallest
 remaining hash as the number of its leading zeros and MANTISSA more bits: 16 bits. Bands of ROWS registers make buckets of
 candidates; documents with equal shingle sets count as one throughout. In a bucket every member is compared with the
-bucket's smallest one, not with all others; only members that this does not bring into one component are compared with
-each other, in blocks. A candidate pair first needs an estimated Jaccard similarity, corrected for chance collisions of
+most connected one, not with all others; only members that this does not bring into one component are compared with
+each other, in blocks that give back links and not pairs. A candidate pair first needs an estimated Jaccard similarity, corrected for chance collisions of
 compressed registers, near the threshold, and then the exact similarity of the full sets.
 
 At similarity 0.8 a pair shares no band with probability 3e-6.
@@ -170,33 +170,58 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     return both.mapInArrow(run, "a long, b long")
 
 
-def pairs_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a, b) of different components within each bucket, by estimate. members: (bucket, id, component, registers).
+def compact_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, set) of (id, text): the shingle set as sorted 32-bit hashes, bytes of an array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            sets, count = shingle_sets(*text_bytes(batch.column(1)), shingle)
+            at = np.concatenate([[0], np.cumsum(count)])
+            cut = [np.sort((sets[i:j] >> np.uint64(32)).astype(np.uint32)).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["id", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, set binary")
+
+
+def links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different components within each bucket. members: (bucket, id, component, registers, set).
 
     A bucket is cut into blocks of about BLOCK members by a hash of the id, and each pair of blocks meets in a task of its own,
-    so no task holds a whole bucket; only pairs that pass the estimate leave it.
+    so no task holds a whole bucket. Pairs are held against the estimate and then against their sets; what leaves a
+    task is one link for each two components that it joins.
     """
     size = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     cut = members.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    whole = cut.where("blocks = 1").select("bucket", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", "component", "registers", "set", "block")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = cut.withColumn("other", other).select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "component", "registers", "block")
+    parts = cut.where("blocks > 1").withColumn("other", other).select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "component", "registers", "set", "block")
 
     def meet(t: pa.Table) -> pa.Table:
         ids, comp, reg, block = t.column("id").to_numpy(), t.column("component").to_numpy(), _matrix(t.column("registers")), t.column("block").to_numpy()
+        sets = [np.frombuffer(s, np.uint32) for s in t.column("set").to_pylist()]
         x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        out_a, out_b = [], []
+        group = np.unique(comp, return_inverse=True)[1]  # relabelled as components are joined
+        out: list[tuple[int, int]] = []
         for i in left:
-            j = right[(ids[right] > ids[i] if x == y else ids[right] != ids[i]) & (comp[right] != comp[i])]
+            j = right[group[right] != group[i]]
+            if x == y:
+                j = j[ids[j] > ids[i]]
             if len(j):
                 ra = np.broadcast_to(reg[i], (len(j), REGISTERS))
                 j = j[estimate(ra, reg[j]) >= threshold - tolerance(ra, reg[j], threshold)]
-                out_a.append(np.minimum(ids[i], ids[j]))
-                out_b.append(np.maximum(ids[i], ids[j]))
-        e = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([e, *out_a]), "b": np.concatenate([e, *out_b])})
+            for k in j.tolist():
+                n_i, n_k = len(sets[i]), len(sets[k])
+                if group[k] == group[i] or min(n_i, n_k) < (threshold - 0.01) * max(n_i, n_k):
+                    continue
+                shared = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if shared >= (threshold - 0.01) * (n_i + n_k - shared):  # the exact test follows on whole hashes
+                    out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                    if shared >= (threshold + 0.01) * (n_i + n_k - shared):
+                        group[group == group[k]] = group[i]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return dealt.groupBy("bucket", "x", "y").applyInArrow(meet, "a long, b long").distinct()
+    return whole.unionAll(parts).groupBy("bucket", "x", "y").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -206,7 +231,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     same = sig.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep"))
     reps = materialize(same.select(F.col("rep").alias("id")).join(sig, "id").dropDuplicates(["id"]).select("id", "bands", "registers"), "classes")
     placed = reps.select("id", F.explode("bands").alias("bucket"))
-    centres = placed.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    crowd = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(placed.join(crowd, "bucket"), "shared")
+    # the centre is the member that meets most others in all its buckets: of a family of edited copies, the one nearest to all
+    popular = shared.groupBy("id").agg(F.sum("n").alias("met"))
+    placed = shared.join(popular, "id")
+    centres = placed.groupBy("bucket").agg(F.min(F.struct(-F.col("met"), F.col("id").alias("id")))["id"].alias("a"))
     members = materialize(placed.join(centres, "bucket").select("bucket", "a", F.col("id").alias("b")), "buckets")
     reg = reps.select("id", "registers")
 
@@ -216,7 +246,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
             threshold,
         )
 
-    candidates = materialize(near(members.where("a <> b").select("a", "b").distinct()), "candidates")
+    candidates = materialize(near(members.where("a <> b").select("a", "b").distinct()), "candidates")  # one for each member and bucket at most
     involved = members.select(F.col("b").alias("id")).distinct()
     texts = materialize(docs.join(involved, "id").dropDuplicates(["id"]), "texts")
     links = materialize(verified(candidates, texts, shingle, threshold), "linked")
@@ -224,8 +254,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # what the centres did not bring together: members of a bucket that are still in different components
     known = members.join(comp.withColumnRenamed("node", "b"), "b", "left").select("bucket", F.col("b").alias("id"), F.coalesce("component", "b").alias("component"))
     apart = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket")
-    rest = known.join(apart, "bucket").join(reg, "id")
-    more = pairs_in_blocks(rest, threshold).join(candidates, ["a", "b"], "left_anti")
+    rest = materialize(known.join(apart, "bucket"), "apart")
+    sets = compact_sets(texts.join(rest.select("id").distinct(), "id", "left_semi"), shingle)
+    more = links_in_blocks(rest.join(reg.join(sets, "id"), "id"), threshold)
     late = materialize(verified(materialize(more, "late_candidates"), texts, shingle, threshold), "late_links")
     if not late.isEmpty():
         comp = components(links.unionAll(late))
