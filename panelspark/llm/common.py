@@ -70,7 +70,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0..n-1 of an odd multiplier and of its inverse modulo 2**64."""
     if "p" not in _POW or len(_POW["p"]) < n:
-        size = max(n, STEP_BYTES + 1024)
+        size = max(n, (STEP_BYTES >> 2) + 1024)
         for k, m in (("p", _MULT), ("i", _INV)):
             a = np.full(size, m, np.uint64)
             a[0] = 1
@@ -104,14 +104,14 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with about STEP_BYTES of text each."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about `size` bytes of text each."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         off = text_bytes(col)[1]
         i = 0
         while i < len(col):
-            j = max(i + 1, int(np.searchsorted(off, off[i] + STEP_BYTES, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
 
