@@ -24,7 +24,9 @@ from panelspark.llm.common import mix, prefix_hash, sliding_min, span_hash, step
 #: Bits of the bitmap at most: 64 MB, whatever the corpus.
 MAX_BITS = 1 << 29
 #: Text that a task gathers before it gives out what it has counted.
-FLUSH_BYTES = 32 << 20
+FLUSH_BYTES = 16 << 20
+#: Text in one numpy step: a unit may be a byte, and takes about 20 numbers of 8 bytes then.
+STEP = 1 << 18
 #: Text of the corpus for each shard.
 SHARD_BYTES = 1 << 20
 
@@ -118,7 +120,7 @@ def plan(docs: DataFrame, units: Units, window: int, gram: int, long_gram: int)
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "grams", "counts"])
 
         held, size = [], 0
-        for batch in steps(batches):
+        for batch in steps(batches, size=STEP):
             raw, off = text_bytes(batch.column(1))
             values, first, _ = units(raw, off)
             held.append(p.minimisers(values, first))
@@ -173,7 +175,7 @@ def distinct_segments(docs: DataFrame, units: Units, p: Plan) -> DataFrame:
 
         seen: dict[tuple[int, int], list] = {}
         size = 0
-        for batch in steps(batches):
+        for batch in steps(batches, size=STEP):
             raw, off = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
             values, first, body = units(raw, off)
@@ -186,7 +188,7 @@ def distinct_segments(docs: DataFrame, units: Units, p: Plan) -> DataFrame:
                     old[3] = min(old[3], int(ids[row]))
                     old[4] += 1
             size += len(raw)
-            if size >= FLUSH_BYTES // 2 and seen:
+            if size >= FLUSH_BYTES and seen:
                 yield out()
                 seen, size = {}, 0
         if seen:
@@ -200,7 +202,7 @@ def occurrences(docs: DataFrame, units: Units, p: Plan) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(p)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, size=STEP):
             raw, off = text_bytes(batch.column(1))
             values, first, _ = units(raw, off)
             s = model.value.segments(values, first)

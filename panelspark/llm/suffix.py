@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from panelspark.llm import routing
 from panelspark.llm.common import materialize, prefix_hash, span_hash, steps, text_bytes
 
-WINDOW, GRAM, LONG_GRAM = 200, 16, 100
+WINDOW, GRAM, LONG_GRAM = 200, 64, 128
 #: Alphabets up to this size are induced a bucket at a time with array operations; larger ones one suffix at a time.
 SMALL_ALPHABET = 1024
 
@@ -91,25 +91,33 @@ def _induce_buckets(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int)
 
 
 def _induce_each(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
-    text, kind, n = t.tolist(), is_s.tolist(), len(t)
+    text, n = t.tolist(), len(t)
+    left = np.arange(-1, n)  # the suffix one to the left, by type; an empty place leads nowhere
+    left[n] = -1
+    to_l, to_s = left.copy(), left.copy()
+    to_l[1:n][is_s[:-1]] = -1
+    to_s[1:n][~is_s[:-1]] = -1
+    to_l, to_s = to_l.tolist(), to_s.tolist()
     count = np.bincount(t, minlength=size)
     heads, tails = (np.cumsum(count) - count).tolist(), (np.cumsum(count) - 1).tolist()
-    out = [-1] * n
+    out = [n] * n
     end = tails[:]
     for j in reversed(lms.tolist()):
-        out[end[text[j]]] = j
-        end[text[j]] -= 1
-    for i in range(n):
-        j = out[i] - 1
-        if j >= 0 and not kind[j]:
-            out[heads[text[j]]] = j
-            heads[text[j]] += 1
-    end = tails
-    for i in range(n - 1, -1, -1):
-        j = out[i] - 1
-        if j >= 0 and kind[j]:
-            out[end[text[j]]] = j
-            end[text[j]] -= 1
+        c = text[j]
+        out[end[c]] = j
+        end[c] -= 1
+    for j in out:  # grows ahead of the reader
+        p = to_l[j]
+        if p >= 0:
+            c = text[p]
+            out[heads[c]] = p
+            heads[c] += 1
+    for j in reversed(out):
+        p = to_s[j]
+        if p >= 0:
+            c = text[p]
+            out[tails[c]] = p
+            tails[c] -= 1
     out[0] = n - 1
     return np.array(out)
 
