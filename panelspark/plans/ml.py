@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -21,16 +23,22 @@ def build_dataset(scores: DataFrame, features: list[str], fwd: str = "fwd") -> D
 def walk_forward_predict(data: DataFrame, features: list[str], folds: list, min_train: int = 24, window: int = 36, least_rows: int = 200, seed: int = 7, fwd: str = "fwd") -> DataFrame | None:
     """(date, code, pred, fwd): each date predicted by boosted trees fitted on the dates before it.
 
-    folds: the evaluation dates, a short list; the rows stay on the executors, one distributed fit a fold.
+    folds: the evaluation dates, a short list; the rows stay on the executors, one distributed fit a fold. They are written to
+    the shared folder once, so that no fit carries the plan that made them.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    path = f"{data.sparkSession.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='panelspark-')}/dataset-{uuid.uuid4().hex}"
+    data.write.parquet(path)
+    data = data.sparkSession.read.schema(data.schema).parquet(path)
     d = VectorAssembler(inputCols=features, outputCol="features").transform(data).cache()
+    rows = {r["date"]: r["count"] for r in d.where(F.col("date").isin(folds)).groupBy("date").count().collect()}
     parts = []
     for k in range(min_train, len(folds)):
-        train = d.where(F.col("date").isin(folds[max(0, k - window) : k]))
-        if train.count() >= least_rows:
+        before = folds[max(0, k - window) : k]
+        if sum(rows.get(x, 0) for x in before) >= least_rows:
+            train = d.where(F.col("date").isin(before))
             model = GBTRegressor(featuresCol="features", labelCol=fwd, maxIter=10, maxDepth=3, seed=seed).fit(train)
             parts.append(model.transform(d.where(F.col("date") == folds[k])).select("date", "code", F.col("prediction").alias("pred"), fwd))
     return reduce(DataFrame.unionByName, parts) if parts else None

@@ -40,7 +40,7 @@ def m1(t):
 def m2(t):
     d = ml.build_dataset(month_scores(t), ["mom", "ey"])
     folds = [r.date for r in d.select("date").distinct().orderBy("date").collect()]  # a date a month
-    p = ml.walk_forward_predict(d, ["mom", "ey"], folds[:28], 24, 24, 50)
+    p = ml.walk_forward_predict(d, ["mom", "ey"], folds, least_rows=50)  # 200 would leave no month of sf0.01, where 36 months hold 67 to 123 rows
     if p is None:
         return d.select("date", F.lit(None).cast("double").alias("ic"), F.lit(0).cast("long").alias("n")).limit(0)
     return X.rank_ic(p, "pred", "fwd").withColumn("ic", F.round("ic", 4))
