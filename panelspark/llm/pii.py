@@ -7,7 +7,9 @@ spelling's own format: digit for digit, letter for letter of the same script and
 numbers keep a valid check digit, addresses valid numbers, titles stay and choose names of their gender and script.
 
 Distinct entities of the whole corpus are checked: if two of a type would share a surrogate, or one's surrogate is another's
-real value, all but the smallest take the digest of a further attempt, until none collide.
+real value, all but the smallest take the digest of a further attempt, until none collide. Persons' names get a letter more with each
+attempt, so there are enough for any number of them; the other types keep their format, and if its domain is too small for
+the corpus, so that further attempts no longer help, that is an error.
 
 Defined results: null texts stay null and have no entities; texts without entities, empty ones too, are unchanged to the character; all
 columns of the input are kept, and an input column with a name of the added ones is an error that says so; repeated
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import materialize
 
-#: Attempts at a surrogate without collision; the domains are large, so a few do.
+#: So many attempts in a row that leave no fewer collisions are an error; the domains are large, so a few attempts do.
 MOST_ATTEMPTS = 12
 DEFAULT_KEY = "change-me"
 
@@ -125,15 +127,17 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column, gender: Co
     checked = F.concat(F.substring(same, 1, 2), F.lit("00"), F.substring(same, 5, 64))
     iban = F.concat(F.substring(same, 1, 2), F.lpad((98 - mod97(F.upper(checked))).cast("string"), 2, "0"), F.substring(same, 5, 64))
     ip = F.array_join(F.transform(F.slice(ks, 1, 4), lambda n: (n % 254 + 1).cast("string")), ".")
-    return F.when(kind == "ipv4", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "person", F.lower(person(ks, canon, gender))).otherwise(same)
+    return F.when(kind == "ipv4", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "person", F.lower(person(ks, canon, gender, attempt))).otherwise(same)
 
 
-def person(ks: Column, canon: Column, gender: Column) -> Column:
-    """A family name, and a given name before it if there were two, of the gender and script; a middle initial widens the choice after collisions."""
+def person(ks: Column, canon: Column, gender: Column, attempt: Column) -> Column:
+    """A family name, and a given name before it if there were two, of the gender and script; the family name ends in two letters and one more for each further attempt."""
     names = lambda seq, i: F.element_at(F.array(*map(F.lit, seq)), F.element_at(ks, i) % len(seq) + 1)
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
     given = F.when(cyrillic & (gender == "f"), names(NAMES["f", "cyrillic"], 1)).when(cyrillic, names(NAMES["m", "cyrillic"], 1)).when(gender == "f", names(NAMES["f", "latin"], 1)).otherwise(names(NAMES["m", "latin"], 1))
-    letters = F.when(cyrillic, F.concat(_pick(CYRILLIC, F.element_at(ks, 3)), _pick(CYRILLIC, F.element_at(ks, 4)))).otherwise(F.concat(_pick(LATIN, F.element_at(ks, 3)), _pick(LATIN, F.element_at(ks, 4))))
+    drawn = F.slice(ks, F.lit(3), F.least(attempt.cast("int") + 2, F.lit(14)))  # there are 16 numbers at least
+    ending = lambda alphabet: F.array_join(F.transform(drawn, lambda n: _pick(alphabet, n)), "")
+    letters = F.when(cyrillic, ending(CYRILLIC)).otherwise(ending(LATIN))
     family = F.concat(F.when(cyrillic, names(FAMILY["cyrillic"], 2)).otherwise(names(FAMILY["latin"], 2)), letters)
     return F.when(canon.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
 
@@ -170,7 +174,8 @@ def found(text: Column) -> Column:
 def attempts(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities whose surrogate is not that of attempt 0, after the collision checks. entities: distinct (kind, canon, gender)."""
     table = materialize(entities.groupBy("kind", "canon").agg(F.min("gender").alias("gender")).withColumn("attempt", F.lit(0)), "entities")
-    for _ in range(MOST_ATTEMPTS):
+    least, stale = None, 0
+    while True:
         tried = table.withColumn("sub", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"), F.col("gender")))
         first = tried.groupBy("kind", "sub").agg(F.min("canon").alias("keeps"), F.count("*").alias("n")).where("n > 1").select("kind", "sub", "keeps")
         real = table.select("kind", F.col("canon").alias("sub"), F.lit(True).alias("real"))
@@ -179,10 +184,14 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
             .where("(keeps is not null and keeps <> canon) or real").select("kind", "canon")
         )
         clash = materialize(clash, "clashes")
-        if clash.isEmpty():
+        n = clash.count()
+        if not n:
             return table.where("attempt > 0").select("kind", "canon", "attempt")
+        stale = 0 if least is None or n < least else stale + 1
+        least = n if least is None else min(n, least)
+        if stale >= MOST_ATTEMPTS:
+            raise RuntimeError(f"{n} surrogates still collide, no fewer than {MOST_ATTEMPTS} attempts before")
         table = materialize(table.join(clash.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", "gender", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "entities")
-    raise RuntimeError(f"surrogates still collide after {MOST_ATTEMPTS} attempts")
 
 
 def replace(df: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,0 +1,25 @@
+"""Text operators where a corpus goes beyond what the given tables hold."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from panelspark.llm import pii
+
+
+@pytest.mark.parametrize("letters, gender, n", [("abcdefghijklmnopqrstuvwxyz", "m", 15_000), (pii.CYRILLIC, "f", 7_000)])
+def test_more_names_than_the_first_attempt_has(spark, letters, gender, n):
+    k = len(letters)
+    names = [letters[i % k] + letters[i // k % k] + letters[i // k // k] * 2 for i in range(n)]
+    ents = spark.createDataFrame([("person", x, gender) for x in names], "kind string, canon string, gender string")
+    late = pii.attempts(ents, "k")
+    m = ents.join(late, ["kind", "canon"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
+    subs = [r[0] for r in m.select(pii.surrogate("k", F.col("kind"), F.col("canon"), F.col("attempt"), F.col("gender"))).collect()]
+    assert len(set(subs)) == n and not set(subs) & set(names)
+
+
+def test_a_domain_too_small_for_its_entities_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "DIGITS", "0")
+    monkeypatch.setattr(pii, "MOST_ATTEMPTS", 2)
+    ents = spark.createDataFrame([("ssn", f"{i:09d}", "m") for i in range(3)], "kind string, canon string, gender string")
+    with pytest.raises(RuntimeError):
+        pii.attempts(ents, "k")
