@@ -2,6 +2,7 @@
 
 import datetime
 
+from panelspark.operators import xsection as X
 from panelspark.plans import ml
 from panelspark.queries import live
 
@@ -28,3 +29,9 @@ def test_walk_forward_counts_the_rows_of_each_window(spark):
     got = ml.walk_forward_predict(data, ["x"], months, min_train=2, window=2, least_rows=12)
     # windows hold 8, 8, 12 and 16 rows
     assert {(r["date"], r["count"]) for r in got.groupBy("date").count().collect()} == {(months[4], 8), (months[5], 8)}
+
+
+def test_a_date_of_equal_predictions_has_no_rank_correlation(spark):
+    rows = [(d, f"c{k}", 1.0 if d == 1 else float(k), float(k)) for d in (1, 2) for k in range(5)]
+    got = X.rank_ic(spark.createDataFrame(rows, "date int, code string, pred double, fwd double"), "pred", "fwd").collect()
+    assert [(r.date, r.n, round(r.ic, 9)) for r in got] == [(2, 5, 1.0)]
