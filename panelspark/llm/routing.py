@@ -197,8 +197,23 @@ def distinct_segments(docs: DataFrame, units: Units, p: Plan) -> DataFrame:
     return docs.mapInArrow(cut, "shard int, h1 long, h2 long, body binary, windows int, owner long, n long")
 
 
+#: Stands for a null key: after all others.
+NO_KEY = (1 << 63) - 1
+
+
+def rows_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text, row, key): id is the key, or NO_KEY for null; row tells rows apart that share a key.
+
+    row is a digest of key and text: what is cut from a row depends on these alone, and unlike a counter it is the same
+    however often and in whatever order the rows are read.
+    """
+    k, t = F.col(key).cast("long"), F.col(text)
+    row = F.unhex(F.md5(F.concat(F.coalesce(k.cast("string"), F.lit("-")), F.lit(" "), F.coalesce(t, F.lit(""))).cast("binary")))
+    return df.select(F.coalesce(k, F.lit(NO_KEY)).alias("id"), t.alias("text"), row.alias("row"), k.alias("key"))
+
+
 def occurrences(docs: DataFrame, units: Units, p: Plan) -> DataFrame:
-    """(h1, h2, id, at): where each segment starts in its text, in units."""
+    """(h1, h2, id, row, at): where each segment starts in its text, in units. docs: (id, text, row)."""
     model = docs.sparkSession.sparkContext.broadcast(p)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,9 +221,9 @@ def occurrences(docs: DataFrame, units: Units, p: Plan) -> DataFrame:
             raw, off = text_bytes(batch.column(1))
             values, first, _ = units(raw, off)
             s = model.value.segments(values, first)
-            yield pa.RecordBatch.from_arrays([pa.array(s["h1"]), pa.array(s["h2"]), batch.column(0).take(pa.array(s["row"])), pa.array((s["at"] - first[s["row"]]).astype(np.int32))], ["h1", "h2", "id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(s["h1"]), pa.array(s["h2"]), *(batch.column(k).take(pa.array(s["row"])) for k in (0, 2)), pa.array((s["at"] - first[s["row"]]).astype(np.int32))], ["h1", "h2", "id", "row", "at"])
 
-    return docs.mapInArrow(cut, "h1 long, h2 long, id long, at int")
+    return docs.mapInArrow(cut, "h1 long, h2 long, id long, row binary, at int")
 
 
 def merged(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -233,12 +248,12 @@ SPANS = "h1 long, h2 long, lo int, hi int, owner long"
 
 
 def removed(found: DataFrame, where: DataFrame, smaller_owner: bool) -> DataFrame:
-    """(id, cuts): for each text the runs of windows to remove as start << 32 | end, in units. A run counts for a text only if a smaller id owns it, or for all."""
+    """(row, cuts): for each text the runs of windows to remove as start << 32 | end, in units. A run counts for a text only if a smaller id owns it, or for all."""
     hit = where.join(found, ["h1", "h2"])
     if smaller_owner:
         hit = hit.where("owner < id")
     packed = F.shiftleft((F.col("at") + F.col("lo")).cast("long"), 32) + (F.col("at") + F.col("hi")).cast("long")
-    return hit.groupBy("id").agg(F.collect_list(packed).alias("cuts"))
+    return hit.groupBy("row").agg(F.collect_list(packed).alias("cuts"))
 
 
 def covered(n: int, cuts: np.ndarray, window: int) -> np.ndarray:

@@ -9,7 +9,8 @@ owns the window. A window goes from every document but that one, so one copy of
 The suffixes are sorted by the threshold's words alone, which is exact for matches up to that length.
 
 Defined results: null, empty and wordless texts have no words; words are never changed; a text shorter than a window
-loses nothing; rows that repeat a key count as one document each and never remove each other's words; an empty table gives an empty
+loses nothing; rows that repeat a key count as one document each and never remove each other's words; a null key comes
+after all others (as the largest long does), so such rows lose what a key holds, and nothing to each other; an empty table gives an empty
 result; only the key and the outputs are returned, so clashing columns of the input do no harm.
 """
 
@@ -173,11 +174,12 @@ def search_shard(window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, long_gram: int = LONG_GRAM) -> DataFrame:
-    """(id, cuts) of the texts that hold a window which a smaller id also holds. docs: (id, text)."""
-    p = routing.plan(docs, word_units, window, gram, long_gram)
-    segments = routing.distinct_segments(docs, word_units, p)
+    """(row, cuts) of the texts that hold a window which a smaller id also holds. docs: (id, text, row)."""
+    plain = docs.select("id", "text")
+    p = routing.plan(plain, word_units, window, gram, long_gram)
+    segments = routing.distinct_segments(plain, word_units, p)
     found = materialize(segments.groupBy("shard").applyInArrow(search_shard(window), routing.SPANS), "found")
-    return routing.removed(found, routing.occurrences(docs, word_units, p), smaller_owner=True)
+    return routing.removed(found, routing.occurrences(docs.select("id", "text", "row"), word_units, p), smaller_owner=True)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, outputs: tuple[str, ...] = ("n_words", "n_removed", "kept")) -> DataFrame:
@@ -185,7 +187,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     outputs: of n_words, n_removed, kept (words joined by one space) and kept_sha256.
     """
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = routing.rows_of(df, key, text)
     cuts = repeated_windows(docs, window, min(GRAM, window), min(LONG_GRAM, window))
     types = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "kept_sha256": pa.string()}
 
@@ -205,7 +207,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[o], types[o]) for o in outputs)], [key, *outputs])
 
     kinds = {"n_words": "long", "n_removed": "long", "kept": "string", "kept_sha256": "string"}
-    return docs.join(cuts, "id", "left").mapInArrow(keep, f"{key} long, " + ", ".join(f"{o} {kinds[o]}" for o in outputs))
+    return docs.join(cuts, "row", "left").select("key", "text", "cuts").mapInArrow(keep, f"{key} long, " + ", ".join(f"{o} {kinds[o]}" for o in outputs))
 
 
 covered_words = routing.covered

@@ -8,7 +8,7 @@ is a prefix measured, elsewhere it is one less than its left neighbour's. Suffix
 form runs; a window repeats if its run stands for two places or more, in one document or in several.
 
 Defined results: null and empty texts have no bytes; a text shorter than a window loses nothing; bytes go whether or not
-they cut a character, so what is kept is bytes; rows that repeat a key count as texts of their own; an empty
+they cut a character, so what is kept is bytes; rows that repeat a key, and rows whose key is null, count as texts of their own; an empty
 table gives an empty result; only the key and the outputs are returned, so clashing columns of the input do no harm.
 """
 
@@ -208,11 +208,12 @@ def search_shard(window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, long_gram: int = LONG_GRAM) -> DataFrame:
-    """(id, cuts) of the texts that hold a window which stands anywhere else. docs: (id, text)."""
-    p = routing.plan(docs, byte_units, window, gram, long_gram)
-    segments = routing.distinct_segments(docs, byte_units, p)
+    """(row, cuts) of the texts that hold a window which stands anywhere else. docs: (id, text, row)."""
+    plain = docs.select("id", "text")
+    p = routing.plan(plain, byte_units, window, gram, long_gram)
+    segments = routing.distinct_segments(plain, byte_units, p)
     found = materialize(segments.groupBy("shard").applyInArrow(search_shard(window), routing.SPANS), "found")
-    return routing.removed(found, routing.occurrences(docs, byte_units, p), smaller_owner=False)
+    return routing.removed(found, routing.occurrences(docs.select("id", "text", "row"), byte_units, p), smaller_owner=False)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, outputs: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept", "spans")) -> DataFrame:
@@ -220,7 +221,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     outputs: of n_bytes, n_removed, n_spans (maximal removed runs), spans (their starts and ends), kept (bytes), kept_sha256.
     """
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = routing.rows_of(df, key, text)
     cuts = repeated_windows(docs, window, min(GRAM, window), min(LONG_GRAM, window))
     types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "spans": pa.list_(pa.list_(pa.int64())), "kept": pa.binary(), "kept_sha256": pa.string()}
 
@@ -241,7 +242,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[o], types[o]) for o in outputs)], [key, *outputs])
 
     kinds = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "spans": "array<array<long>>", "kept": "binary", "kept_sha256": "string"}
-    return docs.join(cuts, "id", "left").mapInArrow(keep, f"{key} long, " + ", ".join(f"{o} {kinds[o]}" for o in outputs))
+    return docs.join(cuts, "row", "left").select("key", "text", "cuts").mapInArrow(keep, f"{key} long, " + ", ".join(f"{o} {kinds[o]}" for o in outputs))
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
