@@ -2,15 +2,18 @@
 
 Each distinct shingle of a document falls into one of REGISTERS buckets by its hash; a bucket keeps the smallest
 remaining hash as the number of its leading zeros and MANTISSA more bits: 16 bits. Bands of ROWS registers make buckets of
-candidates; documents with equal shingle sets count as one throughout. In a bucket every member is compared with the
-most connected one, not with all others; only members that this does not bring into one component are compared with
-each other, in blocks that give back links and not pairs. A candidate pair first needs an estimated Jaccard similarity, corrected for chance collisions of
+candidates; documents with equal shingle sets count as one class throughout. In a bucket every member is compared with
+the most connected one, not with all others. What that leaves in another component than the bucket's largest one is then
+held against the bucket's members, which are cut into blocks for it; members of the largest component are never held
+against each other, and tasks give back links between components, not pairs. A candidate pair first needs an estimated Jaccard similarity, corrected for chance collisions of
 compressed registers, near the threshold, and then the exact similarity of the full sets.
 
 At similarity 0.8 a pair shares no band with probability 3e-6.
 
 Defined results: null, empty and wordless texts have 0 shingles and link with nothing; a text of fewer words than a shingle is
-one shingle; equal texts are one class and share a component; rows that repeat a key keep one row each; an empty table
+one shingle; equal texts are one class and share a component; rows that repeat a key keep one row each and are judged
+each by its own text; a row whose key is null takes part like others but names no component: its component is the
+smallest key reachable, or null (and then it is kept) if it reaches none; an empty table
 gives an empty result; only the key and the outputs are returned, so clashing columns of the input do no harm.
 """
 
@@ -32,8 +35,10 @@ MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
 #: Standard deviations below the threshold at which an estimate still lets a pair through to the exact test.
 SLACK = 5.0
-#: Members of a bucket that meet in one task at most.
-BLOCK = 512
+#: Members of a bucket in one task at most, about; a task also has those of the bucket that ask.
+BLOCK = 1024
+#: Stands for a null key: after all others.
+NO_KEY = (1 << 63) - 1
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,12 +95,12 @@ def tolerance(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return SLACK * np.sqrt(threshold * (1 - threshold) / some)
 
 
-def sketch(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """key, n_shingles, set_hash (two independent sums over the set), bands (hashes of the non-empty ones) and registers of each document."""
+def sketch(docs: DataFrame, shingle: int) -> DataFrame:
+    """id, text_hash, n_shingles, h1 and h2 (two independent sums over the set), bands (hashes of the non-empty ones) and registers of each (id, text_hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            sets, count = shingle_sets(*text_bytes(batch.column(1)), shingle)
+            sets, count = shingle_sets(*text_bytes(batch.column(2)), shingle)
             reg = registers(sets, count)
             at = np.concatenate([[0], np.cumsum(count)])
             sums = []
@@ -111,10 +116,9 @@ def sketch(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
             flat = pa.array(h[used].view(np.int64))
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used.sum(axis=1))]).astype(np.int32)), flat)
             binary = pa.array([r.tobytes() for r in reg], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), bands, binary], [key, "n_shingles", "h1", "h2", "bands", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), bands, binary], ["id", "text_hash", "n_shingles", "h1", "h2", "bands", "registers"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias(key), docs[text].alias("text")).mapInArrow(run, f"{key} {kind}, n_shingles long, h1 long, h2 long, bands array<long>, registers binary")
+    return docs.select("id", "text_hash", "text").mapInArrow(run, "id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>, registers binary")
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -184,52 +188,56 @@ def compact_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between different components within each bucket. members: (bucket, id, component, registers, set).
+    """Links (a, b) between different components within each bucket. members: (bucket, n, id, component, asks, registers, set).
 
-    A bucket is cut into blocks of about BLOCK members by a hash of the id, and each pair of blocks meets in a task of its own,
-    so no task holds a whole bucket. Pairs are held against the estimate and then against their sets; what leaves a
-    task is one link for each two components that it joins.
+    asks: whether a member is outside the bucket's largest component. A bucket of n members is cut into blocks of about BLOCK by a hash of the id;
+    what asks goes to each block, the others to theirs alone, so no task holds a whole bucket and no two members of the largest component meet. Pairs are held
+    against the estimate and then against their sets; what leaves a task is one link for each two components that it joins.
     """
-    size = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cut = members.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    whole = cut.where("blocks = 1").select("bucket", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", "component", "registers", "set", "block")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    parts = cut.where("blocks > 1").withColumn("other", other).select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "component", "registers", "set", "block")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    row = ("id", "component", "asks", "registers", "set")
+    there = members.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), *row, F.lit(False).alias("query"))
+    asking = members.where("asks").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *row, F.lit(True).alias("query"))
 
     def meet(t: pa.Table) -> pa.Table:
-        ids, comp, reg, block = t.column("id").to_numpy(), t.column("component").to_numpy(), _matrix(t.column("registers")), t.column("block").to_numpy()
+        ids, comp, reg = t.column("id").to_numpy(), t.column("component").to_numpy(), _matrix(t.column("registers"))
+        asks, query = (np.asarray(t.column(c)) for c in ("asks", "query"))
         sets = [np.frombuffer(s, np.uint32) for s in t.column("set").to_pylist()]
-        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        size = np.array([len(s) for s in sets])
+        data = np.flatnonzero(~query)
         group = np.unique(comp, return_inverse=True)[1]  # relabelled as components are joined
         out: list[tuple[int, int]] = []
-        for i in left:
-            j = right[group[right] != group[i]]
-            if x == y:
-                j = j[ids[j] > ids[i]]
+        for i in np.flatnonzero(query).tolist():
+            # of two that both ask, the one with the smaller id does
+            j = data[(group[data] != group[i]) & (~asks[data] | (ids[data] > ids[i]))]
+            j = j[np.minimum(size[j], size[i]) >= (threshold - 0.01) * np.maximum(size[j], size[i])]
             if len(j):
                 ra = np.broadcast_to(reg[i], (len(j), REGISTERS))
                 j = j[estimate(ra, reg[j]) >= threshold - tolerance(ra, reg[j], threshold)]
             for k in j.tolist():
-                n_i, n_k = len(sets[i]), len(sets[k])
-                if group[k] == group[i] or min(n_i, n_k) < (threshold - 0.01) * max(n_i, n_k):
+                if group[k] == group[i]:
                     continue
                 shared = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-                if shared >= (threshold - 0.01) * (n_i + n_k - shared):  # the exact test follows on whole hashes
+                joint = size[i] + size[k] - shared
+                if shared >= (threshold - 0.01) * joint:  # the exact test follows on whole hashes
                     out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
-                    if shared >= (threshold + 0.01) * (n_i + n_k - shared):
+                    if shared >= (threshold + 0.01) * joint:
                         group[group == group[k]] = group[i]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return whole.unionAll(parts).groupBy("bucket", "x", "y").applyInArrow(meet, "a long, b long").distinct()
+    return there.unionAll(asking).groupBy("bucket", "block").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """(key, n_shingles, component_id, kept) of each document: components of links with Jaccard similarity of at least the threshold."""
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sig = materialize(sketch(docs, "id", "text", shingle), "sketches")
-    same = sig.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep"))
-    reps = materialize(same.select(F.col("rep").alias("id")).join(sig, "id").dropDuplicates(["id"]).select("id", "bands", "registers"), "classes")
+    # a row is told by its key and a hash of its text: rows that share a key may differ in text
+    docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    sig = materialize(sketch(docs, shingle), "sketches")
+    first = sig.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("id", "text_hash")).alias("x"))
+    # numbers of classes are drawn once and written, so every later reader sees the same
+    classes = materialize(first.select(F.monotonically_increasing_id().alias("class"), "h1", "h2", "n_shingles", "x.id", "x.text_hash"), "classes")
+    reps = sig.join(classes, ["h1", "h2", "n_shingles", "id", "text_hash"]).select(F.col("class").alias("id"), "bands", "registers").dropDuplicates(["id"])
+    reps = materialize(reps, "registers")
     placed = reps.select("id", F.explode("bands").alias("bucket"))
     crowd = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(placed.join(crowd, "bucket"), "shared")
@@ -237,7 +245,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     popular = shared.groupBy("id").agg(F.sum("n").alias("met"))
     placed = shared.join(popular, "id")
     centres = placed.groupBy("bucket").agg(F.min(F.struct(-F.col("met"), F.col("id").alias("id")))["id"].alias("a"))
-    members = materialize(placed.join(centres, "bucket").select("bucket", "a", F.col("id").alias("b")), "buckets")
+    members = materialize(placed.join(centres, "bucket").select("bucket", "n", "a", F.col("id").alias("b")), "buckets")
     reg = reps.select("id", "registers")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -247,25 +255,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         )
 
     candidates = materialize(near(members.where("a <> b").select("a", "b").distinct()), "candidates")  # one for each member and bucket at most
-    involved = members.select(F.col("b").alias("id")).distinct()
-    texts = materialize(docs.join(involved, "id").dropDuplicates(["id"]), "texts")
+    involved = members.select(F.col("b").alias("class")).distinct().join(classes, "class").select("class", "id", "text_hash")
+    texts = materialize(docs.join(involved, ["id", "text_hash"]).select(F.col("class").alias("id"), "text").dropDuplicates(["id"]), "texts")
     links = materialize(verified(candidates, texts, shingle, threshold), "linked")
     comp = materialize(components(links), "components")
     # what the centres did not bring together: members of a bucket that are still in different components
-    known = members.join(comp.withColumnRenamed("node", "b"), "b", "left").select("bucket", F.col("b").alias("id"), F.coalesce("component", "b").alias("component"))
-    apart = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket")
-    rest = materialize(known.join(apart, "bucket"), "apart")
+    known = members.join(comp.withColumnRenamed("node", "b"), "b", "left").select("bucket", "n", F.col("b").alias("id"), F.coalesce("component", "b").alias("component"))
+    parts = known.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    apart = parts.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.count("*").alias("k"), F.sum("m").alias("all")).where("k > 1 and all > 2").select("bucket", "largest")
+    rest = materialize(known.join(apart, "bucket").select("bucket", "n", "id", "component", (F.col("component") != F.col("largest")).alias("asks")), "apart")
     sets = compact_sets(texts.join(rest.select("id").distinct(), "id", "left_semi"), shingle)
     more = links_in_blocks(rest.join(reg.join(sets, "id"), "id"), threshold)
     late = materialize(verified(materialize(more, "late_candidates"), texts, shingle, threshold), "late_links")
     if not late.isEmpty():
-        comp = components(links.unionAll(late))
-    rep_of = same.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        comp = materialize(components(links.unionAll(late)), "components")
+    reached = comp.withColumnRenamed("node", "class").join(classes.select("class", "id"), "class")
+    smallest = reached.groupBy("component").agg(F.min("id").alias("smallest"))
+    named = comp.join(smallest, "component").select(F.col("node").alias("class"), "smallest")
+    of_class = classes.join(named, "class", "left").select("h1", "h2", "n_shingles", F.coalesce("smallest", "id").alias("smallest"))
+    key_of = lambda c: F.when(c != NO_KEY, c)
     return (
         sig.select("id", "n_shingles", "h1", "h2")
-        .join(rep_of, ["h1", "h2", "n_shingles"], "left")
-        .select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-        .withColumn("kept", F.col(key) == F.col("component_id"))
+        .join(of_class, ["h1", "h2", "n_shingles"], "left")
+        .select(key_of(F.col("id")).alias(key), "n_shingles", key_of(F.coalesce("smallest", "id")).alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.col("component_id").isNull()))
     )
 
 

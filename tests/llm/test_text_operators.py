@@ -185,6 +185,49 @@ def test_blocks_find_what_centres_miss(spark, monkeypatch):
     assert {r.component_id for r in minhash.near_duplicates(df, shingle=2).collect()} == {0}
 
 
+def components_by_hand(texts):
+    """(set, smallest row reachable) of each text, two-word shingles."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for t in texts:
+        w = SPACE.findall((t or "").translate(low))
+        sets.append(set(zip(w, w[1:], strict=False)) if len(w) > 1 else ({tuple(w)} if w else set()))
+    top = list(range(len(texts)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
+                a, b = sorted((find(i), find(j)))
+                top[b] = a
+    return sets, [find(i) for i in range(len(sets))]
+
+
+def test_one_large_family_repeated_and_null_keys(spark, monkeypatch):
+    """A family whose members lie at, under and over the threshold from each other, in many blocks; keys that repeat or are null."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    rng = random.Random(12)
+    base = prose(rng, 150)
+    texts = [base, *(edited(rng, base, rng.choice([2, 6, 9, 11, 14])) for _ in range(700)), *(prose(rng, 40) for _ in range(50)), "one two three four", "five six seven eight", None, base]
+    keys = list(range(len(texts)))
+    keys[-4] = keys[-3] = 7_000  # two texts under one key
+    keys[400] = keys[720] = None
+    df = spark.createDataFrame(list(zip(keys, texts, strict=True)), "doc_id long, text string")
+    sets, comp = components_by_hand(texts)
+    least = {}
+    for k, c in zip(keys, comp, strict=True):
+        if k is not None:
+            least[c] = min(k, least.get(c, k))
+    want = collections.Counter((k, len(s), least.get(c), k == least.get(c) if k is not None else least.get(c) is None) for k, s, c in zip(keys, sets, comp, strict=True))
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, shingle=2).collect())
+    assert got == want and len({c for c in comp}) > 60
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(30, 16))
