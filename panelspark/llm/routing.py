@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import mix, prefix_hash, sliding_min, span_hash, steps, text_bytes
 
 #: Bits of the bitmap at most: 64 MB, whatever the corpus.
-MAX_BITS = 1 << 29
+ADDRESS = 29
+MAX_BITS = 1 << ADDRESS
 #: Text that a task gathers before it gives out what it has counted.
 FLUSH_BYTES = 16 << 20
 #: Text in one numpy step: a unit may be a byte, and takes about 20 numbers of 8 bytes then.
@@ -103,19 +104,30 @@ class Plan:
         return {"row": row[at], "at": at, "windows": count, "shard": (key[new] % np.uint64(self.shards)).astype(np.int64), "h1": key[new].view(np.int64), "h2": h2.view(np.int64)}
 
 
+def _turned(grams: np.ndarray) -> np.ndarray:
+    """The hash with the bits that address the bitmap in front."""
+    return np.left_shift(grams, np.uint64(64 - ADDRESS)) | np.right_shift(grams, np.uint64(ADDRESS))
+
+
+def _turned_back(grams: np.ndarray) -> np.ndarray:
+    return np.right_shift(grams, np.uint64(64 - ADDRESS)) | np.left_shift(grams, np.uint64(ADDRESS))
+
+
 def _power(n: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1, n)))))
 
 
-def plan(docs: DataFrame, units: Units, window: int, gram: int, long_gram: int) -> Plan:
+def plan(docs: DataFrame, units: Units, window: int, gram: int, long_gram: int, unit_bytes: int = 1) -> Plan:
     """Count minimisers over the whole corpus; keep a bitmap of those that occur twice and the list of very frequent ones. docs: (id, text)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     p = Plan(window, gram, long_gram, buckets=max(64, _power(total / SHARD_BYTES)), shards=max(64, _power(total / SHARD_BYTES)))
+    p.buckets = min(p.buckets, 1 << 22)  # a slice has 128 bits at least
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            g, n = np.unique(np.concatenate(held), return_counts=True)
-            cut = np.searchsorted(g >> np.uint64(40), np.arange(p.buckets + 1, dtype=np.uint64) * np.uint64((1 << 24) // p.buckets))
+            # in the order of the bitmap's bits, so that a bucket owns a slice of the bitmap
+            g, n = np.unique(_turned(np.concatenate(held)), return_counts=True)
+            cut = np.searchsorted(g >> np.uint64(64 - ADDRESS), np.arange(p.buckets + 1, dtype=np.uint64) * np.uint64(MAX_BITS // p.buckets))
             rows = [(b, g[i:j].tobytes(), np.minimum(n[i:j], 255).astype(np.uint8).tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "grams", "counts"])
 
@@ -131,7 +143,6 @@ def plan(docs: DataFrame, units: Units, window: int, gram: int, long_gram: int)
         if sum(map(len, held)):
             yield out()
 
-    # the top 24 bits of a minimiser choose among up to 2**24 buckets
     counted = docs.mapInArrow(count, "bucket int, grams binary, counts binary")
 
     def unify(t: pa.Table) -> pa.Table:
@@ -139,20 +150,32 @@ def plan(docs: DataFrame, units: Units, window: int, gram: int, long_gram: int)
         n = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8)
         g, back = np.unique(g, return_inverse=True)
         n = np.bincount(back, n, len(g)).astype(np.int64)
-        twice = g[n > 1]
-        hot = g[np.argsort(-n, kind="stable")][: int((n >= HOT_COUNT).sum())]  # the most frequent first, in case the list is full
-        return pa.table({"repeats": pa.array([len(twice)], pa.int64()), "bits": pa.array([np.unique(twice & np.uint64(MAX_BITS - 1)).astype(np.uint32).tobytes()], pa.binary()), "hot": pa.array([hot[:HOT_MOST // p.buckets + 1].tobytes()], pa.binary())})
-
-    rows = counted.groupBy("bucket").applyInArrow(unify, "repeats long, bits binary, hot binary")
+        twice = np.unique(g[n > 1] >> np.uint64(64 - ADDRESS)) & np.uint64(slice_bits - 1)
+        bits, packed = twice.astype(np.uint32).tobytes(), False
+        if len(bits) > slice_bits // 8:
+            full = np.zeros(slice_bits, bool)
+            full[twice.astype(np.int64)] = True
+            bits, packed = np.packbits(full, bitorder="little").tobytes(), True
+        return pa.table({"bucket": t.column("bucket").slice(0, 1), "repeats": pa.array([int((n > 1).sum())], pa.int64()), "bits": pa.array([bits], pa.binary()), "packed": pa.array([packed]), "hot": pa.array([_turned_back(g[n >= often]).tobytes()], pa.binary())})
+
+    slice_bits = MAX_BITS // p.buckets
+    # so many occurrences at least, so that at most HOT_MOST minimisers can have them: about two windows in (window - gram + 2) open a segment
+    often = max(HOT_COUNT, int(4 * total / unit_bytes / (window - gram + 2) / HOT_MOST))
+    rows = counted.groupBy("bucket").applyInArrow(unify, "bucket int, repeats long, bits binary, packed boolean, hot binary")
     hot, repeats = [], 0
-    # one bucket's bits at a time; together they fill at most MAX_BITS / 8 bytes
+    # a bucket sends its slice of the bitmap, or the places of its bits if that is less: MAX_BITS / 8 bytes together at most, whatever the corpus
     bitmap = np.zeros(MAX_BITS // 8, np.uint8)
     for r in rows.toLocalIterator():
-        i = np.frombuffer(r.bits, np.uint32)
-        np.bitwise_or.at(bitmap, i >> 3, (1 << (i & 7)).astype(np.uint8))
+        at = r.bucket * (slice_bits // 8)
+        own = bitmap[at : at + slice_bits // 8]
+        if r.packed:
+            own |= np.frombuffer(r.bits, np.uint8)
+        else:
+            i = np.frombuffer(r.bits, np.uint32)
+            np.bitwise_or.at(own, i >> 3, (1 << (i & 7)).astype(np.uint8))
         hot.append(np.frombuffer(r.hot, np.uint64))
         repeats += r.repeats
-    width = min(MAX_BITS, _power(max(1 << 16, 16 * repeats)))
+    width = min(MAX_BITS, _power(max(1 << 16, 32 * repeats)))
     p.bitmap = np.bitwise_or.reduce(bitmap.reshape(-1, width // 8), axis=0)
     p.hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *hot]))
     return p
@@ -160,7 +183,7 @@ def plan(docs: DataFrame, units: Units, window: int, gram: int, long_gram: int)
 
 #: A minimiser counted this often is split by the second one (counts are capped at 255 for each task and flush).
 HOT_COUNT = 2000
-#: Of them, so many are kept in the list at most.
+#: In a corpus where more than so many could be counted that often, the count grows, so the list stays below this.
 HOT_MOST = 1 << 20
 
 
@@ -226,8 +249,29 @@ def occurrences(docs: DataFrame, units: Units, p: Plan) -> DataFrame:
     return docs.mapInArrow(cut, "h1 long, h2 long, id long, row binary, at int")
 
 
-def merged(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The rows of one shard with equal segments made one: bodies, h1, h2, windows, smallest owner, number."""
+@dataclass
+class Merged:
+    """The distinct segments of one shard in order of (h1, h2): windows, smallest owner, number, and whether it has its minimiser to itself."""
+
+    table: pa.Table
+    rows: np.ndarray
+    h1: np.ndarray
+    h2: np.ndarray
+    windows: np.ndarray
+    owner: np.ndarray
+    times: np.ndarray
+    alone: np.ndarray
+
+    def bodies(self, which: np.ndarray) -> list[bytes]:
+        return self.table.column("body").take(pa.array(self.rows[which])).to_pylist()
+
+    def spans(self, seg: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray) -> pa.Table:
+        """One row for each run of windows lo..hi-1 of a segment."""
+        return pa.table({"h1": self.h1[seg], "h2": self.h2[seg], "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "owner": owner.astype(np.int64)})
+
+
+def merged(t: pa.Table) -> Merged:
+    """The rows of one shard with equal segments made one."""
     h1, h2 = t.column("h1").to_numpy(), t.column("h2").to_numpy()
     order = np.lexsort((h2, h1))
     new = np.ones(len(order), bool)
@@ -236,12 +280,10 @@ def merged(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray
     owner = np.minimum.reduceat(t.column("owner").to_numpy()[order], at)
     n = np.add.reduceat(t.column("n").to_numpy()[order], at)
     rows = order[at]
-    return t.column("body").take(pa.array(rows)).to_pylist(), h1[rows], h2[rows], t.column("windows").to_numpy()[rows], owner, n
-
-
-def spans_table(h1: np.ndarray, h2: np.ndarray, seg: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray) -> pa.Table:
-    """One row for each run of windows lo..hi-1 of a segment."""
-    return pa.table({"h1": h1[seg], "h2": h2[seg], "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "owner": owner.astype(np.int64)})
+    g = h1[rows]
+    edge = np.ones(len(g) + 1, bool)
+    edge[1:-1] = g[1:] != g[:-1]
+    return Merged(t, rows, g, h2[rows], t.column("windows").to_numpy()[rows], owner, n, edge[1:] & edge[:-1])
 
 
 SPANS = "h1 long, h2 long, lo int, hi int, owner long"

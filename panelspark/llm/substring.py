@@ -1,6 +1,7 @@
 """Repeated passages of words, by a compressed FM-index for each shard.
 
-Segments that may repeat are routed to shards (see routing). A shard's distinct segments form one sequence of word numbers;
+Segments that may repeat are routed to shards (see routing). A segment that has its minimiser to itself is settled: its smallest
+document owns its windows. A shard's other distinct segments form one sequence of word numbers;
 its index is the Burrows-Wheeler transform in a wavelet matrix of packed bits, with counts of smaller words. Segments
 stream through it: backward search gives for each place the longest match, up to the threshold, with the interval of
 suffixes that share it (matching statistics). Intervals of matches at the threshold tell the smallest document that
@@ -28,6 +29,8 @@ from panelspark.llm import routing
 from panelspark.llm.common import materialize, prefix_hash, span_hash, steps, text_bytes, words
 
 WINDOW, GRAM, LONG_GRAM = 13, 5, 10
+#: Bytes of a word with its space, about.
+WORD_BYTES = 6
 
 
 def word_units(raw: np.ndarray, off: np.ndarray):
@@ -148,7 +151,13 @@ def search_shard(window: int):
     """The search of one shard: runs of windows of each segment with the smallest document that owns them."""
 
     def run(t: pa.Table) -> pa.Table:
-        bodies, h1, h2, count, owner, _ = routing.merged(t)
+        m = routing.merged(t)
+        settled = np.flatnonzero(m.alone & (m.times > 1))
+        whole = m.spans(settled, np.zeros(len(settled)), m.windows[settled], m.owner[settled])
+        among = np.flatnonzero(~m.alone)
+        if not len(among):
+            return whole
+        bodies, count, owner = m.bodies(among), m.windows[among], m.owner[among]
         number: dict[bytes, int] = {}
         texts = [np.array([number.setdefault(w, len(number) + 1) for w in b.split(b" ")], np.int64) for b in bodies]
         sequence = np.concatenate([x for s in texts for x in (s, np.zeros(1, np.int64))])
@@ -168,7 +177,7 @@ def search_shard(window: int):
         new[1:] = (seg[1:] != seg[:-1]) | (smallest[1:] != smallest[:-1])
         i = np.flatnonzero(new)
         j = np.append(i[1:], len(seg))
-        return routing.spans_table(h1, h2, seg[i], i - base[seg[i]], j - base[seg[i]], smallest[i])
+        return pa.concat_tables([whole, m.spans(among[seg[i]], i - base[seg[i]], j - base[seg[i]], smallest[i])])
 
     return run
 
@@ -176,7 +185,7 @@ def search_shard(window: int):
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, long_gram: int = LONG_GRAM) -> DataFrame:
     """(row, cuts) of the texts that hold a window which a smaller id also holds. docs: (id, text, row)."""
     plain = docs.select("id", "text")
-    p = routing.plan(plain, word_units, window, gram, long_gram)
+    p = routing.plan(plain, word_units, window, gram, long_gram, unit_bytes=WORD_BYTES)
     segments = routing.distinct_segments(plain, word_units, p)
     found = materialize(segments.groupBy("shard").applyInArrow(search_shard(window), routing.SPANS), "found")
     return routing.removed(found, routing.occurrences(docs.select("id", "text", "row"), word_units, p), smaller_owner=True)

@@ -1,8 +1,10 @@
 """Repeated byte strings, by suffix arrays that are built by induced sorting.
 
-Segments that may repeat are routed to shards (see routing). A shard's distinct segments form one sequence. Its suffixes
-are classified as L or S; the leftmost S suffixes' substrings are sorted and named, the string of names is sorted by the same
-method where names repeat, and the order of the others is induced from theirs, bucket by bucket. Common prefixes of
+Segments that may repeat are routed to shards (see routing). A segment that has its minimiser to itself is settled: its windows
+repeat if it stands at two places, and can't otherwise. A shard's other distinct segments form one sequence. Its suffixes
+are classified as L or S; the leftmost S suffixes' substrings are sorted by induction and named; where names repeat, runs of
+1, 2, 4, ... names are named in turn, each from the two it is made of, until no name repeats; and the order of the other suffixes
+is induced from the leftmost S suffixes', bucket by bucket. Common prefixes of
 neighbours are computed in text order (permuted): only where a suffix and its predecessor differ in the byte before them
 is a prefix measured, elsewhere it is one less than its left neighbour's. Suffixes that share a window with a neighbour
 form runs; a window repeats if its run stands for two places or more, in one document or in several.
@@ -23,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import routing
-from panelspark.llm.common import materialize, prefix_hash, span_hash, steps, text_bytes
+from panelspark.llm.common import materialize, powers, prefix_hash, span_hash, steps, text_bytes
 
 WINDOW, GRAM, LONG_GRAM = 200, 64, 128
-#: Alphabets up to this size are induced a bucket at a time with array operations; larger ones one suffix at a time.
-SMALL_ALPHABET = 1024
+#: Common prefixes are measured by steps of this many bytes first, then by halves of it.
+REACH = 256
 
 
 def byte_units(raw: np.ndarray, off: np.ndarray):
@@ -44,12 +46,8 @@ def s_types(t: np.ndarray) -> np.ndarray:
 
 
 def induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
-    """All suffixes in the order that the given order of the leftmost S suffixes induces."""
-    return _induce_buckets(t, is_s, lms, size) if size <= SMALL_ALPHABET else _induce_each(t, is_s, lms, size)
-
-
-def _induce_buckets(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
-    none = np.zeros(0, np.int64)
+    """All suffixes in the order that the given order of the leftmost S suffixes induces, a bucket of the alphabet at a time."""
+    none = np.zeros(0, lms.dtype)
     by = np.argsort(t[lms], kind="stable")
     seeds = np.split(lms[by], np.cumsum(np.bincount(t[lms], minlength=size))[:-1])
 
@@ -59,7 +57,7 @@ def _induce_buckets(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int)
         ok = keep(c)
         left, c = left[ok], c[ok]
         if len(left):
-            order = np.argsort(c.astype(np.uint16), kind="stable")
+            order = np.argsort(c, kind="stable")
             left, c = left[order], c[order]
             cut = np.flatnonzero(c[1:] != c[:-1]) + 1
             for a, b in zip(np.append(0, cut), np.append(cut, len(c)), strict=True):
@@ -82,7 +80,7 @@ def _induce_buckets(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int)
         push(waiting, np.concatenate([part, seeds[c]]), lambda x, c=c: x > c)
     waiting = [[] for _ in range(size)]
     small: list[np.ndarray] = [none] * size
-    waiting[t[-1]].append(np.array([len(t) - 1]))
+    waiting[t[-1]].append(np.array([len(t) - 1], lms.dtype))
     for c in range(size - 1, -1, -1):
         part = run(np.concatenate([none, *waiting[c]]), c, True)
         small[c] = part[::-1]
@@ -90,62 +88,58 @@ def _induce_buckets(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int)
     return np.concatenate([x for c in range(size) for x in (large[c], small[c])])
 
 
-def _induce_each(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
-    text, n = t.tolist(), len(t)
-    left = np.arange(-1, n)  # the suffix one to the left, by type; an empty place leads nowhere
-    left[n] = -1
-    to_l, to_s = left.copy(), left.copy()
-    to_l[1:n][is_s[:-1]] = -1
-    to_s[1:n][~is_s[:-1]] = -1
-    to_l, to_s = to_l.tolist(), to_s.tolist()
-    count = np.bincount(t, minlength=size)
-    heads, tails = (np.cumsum(count) - count).tolist(), (np.cumsum(count) - 1).tolist()
-    out = [n] * n
-    end = tails[:]
-    for j in reversed(lms.tolist()):
-        c = text[j]
-        out[end[c]] = j
-        end[c] -= 1
-    for j in out:  # grows ahead of the reader
-        p = to_l[j]
-        if p >= 0:
-            c = text[p]
-            out[heads[c]] = p
-            heads[c] += 1
-    for j in reversed(out):
-        p = to_s[j]
-        if p >= 0:
-            c = text[p]
-            out[tails[c]] = p
-            tails[c] -= 1
-    out[0] = n - 1
-    return np.array(out)
+def order_of_names(name: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names: names of runs of 1, 2, 4, ... from the names of their halves, for those not told apart yet."""
+    n = len(name)
+    rank = np.concatenate([[0], np.cumsum(np.bincount(name))])[name]  # how many suffixes have a smaller name
+    step = 1
+    while True:
+        open_ = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+        if not len(open_):
+            break
+        ahead = open_ + step
+        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        order = np.argsort(rank[open_] * (n + 1) + second)
+        open_, second = open_[order], second[order]
+        first = rank[open_]
+        old = np.ones(len(open_), bool)
+        old[1:] = first[1:] != first[:-1]
+        new = old.copy()
+        new[1:] |= second[1:] != second[:-1]
+        at = np.arange(len(open_))
+        rank[open_] = first + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(old, at, 0))
+        step *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
-    """Order of the suffixes of t, whose symbols are below `size` and whose last one is smaller than all others."""
+    """Order of the suffixes of t, whose symbols are below `size`, some hundreds, and whose last one is smaller than all others."""
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)
+    t = t.astype(np.uint16)
     is_s = s_types(t)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32 if n < 1 << 31 else np.int64)
     order = induce(t, is_s, lms, size)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = order[is_lms[order]]
     # a leftmost S substring reaches to the next one, both ends included
     end = np.append(lms[1:] + 1, n)
-    h = np.zeros(n, np.uint64)
     prefix = prefix_hash(t)
-    h[lms] = span_hash(prefix, lms, end)
-    length = np.zeros(n, np.int64)
-    length[lms] = end - lms
+    h = span_hash(prefix, lms, end)
+    place = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
+    place[lms] = np.arange(len(lms))
+    i = place[order]
+    h, length = h[i], (end - lms)[i]
     new = np.ones(len(order), bool)
-    new[1:] = (h[order[1:]] != h[order[:-1]]) | (length[order[1:]] != length[order[:-1]])
-    name = np.zeros(n, np.int64)
-    name[order] = np.cumsum(new) - 1
+    new[1:] = (h[1:] != h[:-1]) | (length[1:] != length[:-1])
     if not new.all():
-        order = lms[suffix_array(name[lms], int(new.sum()))]
+        name = np.empty(len(lms), np.int64)
+        name[i] = np.cumsum(new) - 1
+        order = lms[order_of_names(name)]
     return induce(t, is_s, order, size)
 
 
@@ -157,15 +151,22 @@ def permuted_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:
     at = np.arange(n)
     irreducible = (before <= 0) | (at == 0) | (t[at - 1] != t[before - 1])
     i = np.flatnonzero(irreducible & (before >= 0))
-    j, length, prefix = before[i], np.zeros(len(i), np.int64), prefix_hash(t)
-    step = 1 << max(0, int(n).bit_length() - 1)
-    live = i
+    j, length, prefix, inv = before[i], np.zeros(len(i), np.int64), prefix_hash(t), powers(n + 1)[1]
+
+    def same(which: np.ndarray, step: int) -> np.ndarray:
+        """Those of `which` whose next `step` bytes are the same on both sides."""
+        a, b = i[which] + length[which], j[which] + length[which]
+        fits = np.maximum(a, b) + step <= n
+        which, a, b = which[fits], a[fits], b[fits]
+        return which[(prefix[a + step] - prefix[a]) * inv[a] == (prefix[b + step] - prefix[b]) * inv[b]]
+
+    far = np.arange(len(i))
+    while len(far := same(far, REACH)):
+        length[far] += REACH
+    step = REACH // 2
     while step:
-        a, b = live + length, j + length
-        ok = np.flatnonzero(np.maximum(a, b) + step <= n)
-        same = span_hash(prefix, a[ok], a[ok] + step) == span_hash(prefix, b[ok], b[ok] + step)
-        length[ok[same]] += step
-        step >>= 1
+        length[same(np.arange(len(i)), step)] += step
+        step //= 2
     value = np.zeros(n, np.int64)
     value[i] = length
     source = np.maximum.accumulate(np.where(irreducible, at, 0))
@@ -176,10 +177,16 @@ def search_shard(window: int):
     """The search of one shard: runs of windows of each segment that stand at two places or more."""
 
     def run(t: pa.Table) -> pa.Table:
-        bodies, h1, h2, count, _, times = routing.merged(t)
+        m = routing.merged(t)
+        settled = np.flatnonzero(m.alone & (m.times > 1))
+        whole = m.spans(settled, np.zeros(len(settled)), m.windows[settled], np.zeros(len(settled)))
+        among = np.flatnonzero(~m.alone)
+        if not len(among):
+            return whole
+        bodies, count, times = m.bodies(among), m.windows[among], m.times[among]
         size = np.array([len(b) for b in bodies])
         # 0 ends the sequence, 1 each segment, bytes follow
-        text = np.frombuffer(b"".join(b + b"\0" for b in bodies) + b"\0", np.uint8).astype(np.int64) + 2
+        text = np.frombuffer(b"".join(b + b"\0" for b in bodies) + b"\0", np.uint8).astype(np.uint16) + 2
         ends = np.cumsum(size + 1) - 1
         text[ends], text[-1] = 1, 0
         order = suffix_array(text, 258)
@@ -202,7 +209,7 @@ def search_shard(window: int):
         j = np.append(i[1:], len(seg))
         first = np.cumsum(count) - count
         i, j = i[hit[i]], j[hit[i]]
-        return routing.spans_table(h1, h2, seg[i], i - first[seg[i]], j - first[seg[i]], np.zeros(len(i)))
+        return pa.concat_tables([whole, m.spans(among[seg[i]], i - first[seg[i]], j - first[seg[i]], np.zeros(len(i)))])
 
     return run
 

@@ -120,9 +120,9 @@ def test_byte_strings_against_brute_force(spark, docs, texts):
     assert suffix.remove_repeats(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("small", [1024, 0])
-def test_suffix_array_and_prefixes(monkeypatch, small):
-    monkeypatch.setattr(suffix, "SMALL_ALPHABET", small)
+@pytest.mark.parametrize("reach", [256, 4])
+def test_suffix_array_and_prefixes(monkeypatch, reach):
+    monkeypatch.setattr(suffix, "REACH", reach)
     rng = random.Random(3)
     for n in (1, 2, 7, 60, 400):
         for letters in (1, 2, 4):
