@@ -1,24 +1,24 @@
 """Personal data and secrets replaced by keyed surrogates, with DataFrame functions alone.
 
-A text is split by one pattern into what is found and what stands between. What is found gets a type (numbers that fail their check
+One pattern finds what may be private, once for each text; the result is written with the rows. What is found gets a type (numbers that fail their check
 sum get none and stay), and a canonical form without the separators and the case of its spelling. The surrogate comes
-from a keyed digest of type and canonical form, so all spellings of an entity have one surrogate (coreference), in the
+from a keyed digest of type, canonical form and a person's gender, so all spellings of an entity have one surrogate (coreference), in the
 spelling's own format: digit for digit, letter for letter of the same script and case, separators where they were; card
 numbers keep a valid check digit, addresses valid numbers, titles stay and choose names of their gender and script.
 
 Distinct entities of the whole corpus are checked: if two of a type would share a surrogate, or one's surrogate is another's
-real value, all but the smallest take the digest of a further attempt, until none collide. Persons' names get a letter more with each
+real value, all but the smallest take the digest of a further attempt, until none collide. Persons' names get a syllable more with each
 attempt, so there are enough for any number of them; the other types keep their format, and if its domain is too small for
 the corpus, so that further attempts no longer help, that is an error.
 
 Defined results: null texts stay null and have no entities; texts without entities, empty ones too, are unchanged to the character; all
 columns of the input are kept, and an input column with a name of the added ones is an error that says so; repeated
-rows are treated alike; an empty table gives an empty result.
+rows are treated alike, and so are rows whose key is null or shared; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import materialize
@@ -39,20 +39,27 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
     "person": "(?<![\\p{L}\\p{N}])(?:" + "|".join(t for v in _TITLE.values() for t in v) + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
 }
-PATTERN = "|".join(PATTERNS.values())
+#: What starts a word, and what starts with a digit, a bracket or a plus: elsewhere nothing is tried.
+PATTERN = r"(?:(?<![\p{L}\p{N}])(?:%s)|(?=[\d(+])(?:%s))" % tuple("|".join(PATTERNS[k] for k in ks) for ks in (("email", "secret", "iban", "person"), ("ipv4", "ssn", "phone", "card")))
 
 LATIN, CYRILLIC, GREEK, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω", "0123456789", "0123456789abcdef"
-#: Given and family names by gender and script.
+#: Given names by gender and script; syllables and endings of family names by script.
 NAMES = {
     ("m", "latin"): ("Adam", "Albert", "Anton", "Bruno", "Carl", "Daniel", "David", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Leon", "Lucas", "Marco", "Martin", "Oscar", "Paul", "Simon", "Victor"),
     ("f", "latin"): ("Ada", "Alice", "Anna", "Bella", "Clara", "Diana", "Elena", "Emma", "Flora", "Greta", "Helen", "Ida", "Julia", "Laura", "Lena", "Maria", "Nora", "Olga", "Rosa", "Vera"),
     ("m", "cyrillic"): ("Андрей", "Борис", "Виктор", "Иван", "Максим", "Павел", "Роман", "Юрий"),
     ("f", "cyrillic"): ("Алла", "Вера", "Дарья", "Ирина", "Мария", "Нина", "Ольга", "Софья"),
 }
-FAMILY = {
-    "latin": ("Abel", "Berger", "Costa", "Duval", "Ellis", "Fischer", "Garnier", "Hansen", "Keller", "Lang", "Moreno", "Novak", "Olsen", "Perrin", "Ramos", "Stein", "Torres", "Vidal", "Weber", "Young"),
-    "cyrillic": ("Белых", "Долгих", "Живаго", "Коваленко", "Макаренко", "Петренко", "Седых", "Черных"),
+SYLLABLES = {
+    "latin": ("ba", "be", "bo", "da", "de", "di", "do", "fa", "ga", "go", "ha", "ka", "ke", "ko", "la", "le", "li", "lo", "ma", "me", "mi", "mo", "na", "ne", "no", "ra", "re", "ri", "ro", "sa", "ta", "va"),
+    "cyrillic": ("ба", "бе", "бо", "ва", "ве", "во", "га", "го", "да", "де", "до", "за", "ка", "ке", "ко", "ла", "ле", "ло", "ма", "ме", "ми", "мо", "на", "не", "но", "ра", "ре", "ро", "са", "со", "та", "то"),
 }
+ENDINGS = {"latin": ("n", "nd", "r", "rt", "s", "l", "ck", "m"), "cyrillic": ("нко", "ных", "рук", "рян", "ских", "лян", "рич", "нюк")}
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def entity_type(e: Column) -> Column:
@@ -106,7 +113,10 @@ def _pick(letters: str, n: Column) -> Column:
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column, gender: Column) -> Column:
     """Canonical form of the surrogate: of the same length for all types but addresses and persons."""
-    ks = keystream(key, kind, canon, attempt)
+    return let(keystream(key, kind, F.concat_ws("\u0001", canon, F.when(kind == "person", gender)), attempt), lambda ks: _drawn(ks, kind, canon, attempt, gender))
+
+
+def _drawn(ks: Column, kind: Column, canon: Column, attempt: Column, gender: Column) -> Column:
     at = lambda i: F.element_at(ks, i + 1)
     chars = F.split(canon, "")
     top = F.length(F.substring_index(canon, ".", -1))  # of an e-mail address the last label stays
@@ -121,25 +131,28 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column, gender: Co
             .when(c.rlike(r"^\p{Lu}$"), F.upper(_pick(LATIN, n))).when(c.rlike(r"^\p{L}$"), _pick(LATIN, n)).otherwise(c)
         )
 
-    same = F.array_join(F.transform(chars, one), "")
-    short = F.substr(same, F.lit(1), F.length(same) - 1)
-    card = F.concat(short, F.pmod(-luhn(F.concat(short, F.lit("0"))), F.lit(10)).cast("string"))
-    checked = F.concat(F.substring(same, 1, 2), F.lit("00"), F.substring(same, 5, 64))
-    iban = F.concat(F.substring(same, 1, 2), F.lpad((98 - mod97(F.upper(checked))).cast("string"), 2, "0"), F.substring(same, 5, 64))
+    def numbered(same: Column) -> Column:
+        short = F.substr(same, F.lit(1), F.length(same) - 1)
+        card = F.concat(short, F.pmod(-luhn(F.concat(short, F.lit("0"))), F.lit(10)).cast("string"))
+        checked = F.concat(F.substring(same, 1, 2), F.lit("00"), F.substring(same, 5, 64))
+        iban = F.concat(F.substring(same, 1, 2), F.lpad((98 - mod97(F.upper(checked))).cast("string"), 2, "0"), F.substring(same, 5, 64))
+        return F.when(kind == "card", card).when(kind == "iban", iban).otherwise(same)
+
     ip = F.array_join(F.transform(F.slice(ks, 1, 4), lambda n: (n % 254 + 1).cast("string")), ".")
-    return F.when(kind == "ipv4", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "person", F.lower(person(ks, canon, gender, attempt))).otherwise(same)
+    return F.when(kind == "ipv4", ip).when(kind == "person", F.lower(person(ks, canon, gender, attempt))).otherwise(let(F.array_join(F.transform(chars, one), ""), numbered))
 
 
 def person(ks: Column, canon: Column, gender: Column, attempt: Column) -> Column:
-    """A family name, and a given name before it if there were two, of the gender and script; the family name ends in two letters and one more for each further attempt."""
-    names = lambda seq, i: F.element_at(F.array(*map(F.lit, seq)), F.element_at(ks, i) % len(seq) + 1)
-    cyrillic = canon.rlike(r"\p{IsCyrillic}")
-    given = F.when(cyrillic & (gender == "f"), names(NAMES["f", "cyrillic"], 1)).when(cyrillic, names(NAMES["m", "cyrillic"], 1)).when(gender == "f", names(NAMES["f", "latin"], 1)).otherwise(names(NAMES["m", "latin"], 1))
-    drawn = F.slice(ks, F.lit(3), F.least(attempt.cast("int") + 2, F.lit(14)))  # there are 16 numbers at least
-    ending = lambda alphabet: F.array_join(F.transform(drawn, lambda n: _pick(alphabet, n)), "")
-    letters = F.when(cyrillic, ending(CYRILLIC)).otherwise(ending(LATIN))
-    family = F.concat(F.when(cyrillic, names(FAMILY["cyrillic"], 2)).otherwise(names(FAMILY["latin"], 2)), letters)
-    return F.when(canon.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
+    """A family name, and a given name before it if there were two, of the gender and script; the family name has three syllables and one more for each further attempt."""
+    pick = lambda seq, n: F.element_at(F.array(*map(F.lit, seq)), n % len(seq) + 1)
+    drawn = F.slice(ks, F.lit(3), F.least(attempt.cast("int") + 3, F.lit(14)))  # there are 16 numbers at least
+
+    def named(script: str) -> Column:
+        given = F.when(gender == "f", pick(NAMES["f", script], F.element_at(ks, 1))).otherwise(pick(NAMES["m", script], F.element_at(ks, 1)))
+        family = F.concat(F.array_join(F.transform(drawn, lambda n: pick(SYLLABLES[script], n)), ""), pick(ENDINGS[script], F.element_at(ks, 2)))
+        return F.when(canon.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
+
+    return F.when(canon.rlike(r"\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin"))
 
 
 def gender_of(e: Column) -> Column:
@@ -164,54 +177,64 @@ def spelled(e: Column, kind: Column, sub: Column) -> Column:
     return F.concat(lead, F.when(kind == "ipv4", sub).when(kind == "person", F.initcap(sub)).when(kind == "secret", sub).otherwise(laid))
 
 
-def found(text: Column) -> Column:
-    """Entities of a text in their order: what stands there, its type (null: none after all) and canonical form."""
-    each = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    typed = F.transform(each, lambda e: F.struct(e.alias("e"), entity_type(e).alias("kind")))
-    return F.transform(typed, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["e"], x["kind"]).alias("canon"), gender_of(x["e"]).alias("gender")))
+def typed(e: Column) -> Column:
+    """Type (null: nothing private after all), canonical form and a person's gender of what the pattern found."""
+    kind = lambda k: F.struct(k.alias("kind"), canonical(e, k).alias("canon"), F.when(k == "person", gender_of(e)).otherwise("").alias("gender"))
+    return let(entity_type(e), kind)
 
 
 def attempts(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, attempt) of the entities whose surrogate is not that of attempt 0, after the collision checks. entities: distinct (kind, canon, gender)."""
-    table = materialize(entities.groupBy("kind", "canon").agg(F.min("gender").alias("gender")).withColumn("attempt", F.lit(0)), "entities")
+    """(kind, canon, entity_gender, attempt) of the entities whose surrogate is not that of attempt 0, after the collision checks. entities: distinct (kind, canon, gender)."""
+    own = ["kind", "canon", "gender"]
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sub = lambda attempt: surrogate(key, F.col("kind"), F.col("canon"), attempt, F.col("gender"))
+    # few bytes but much work: dealt out by number, which Spark doesn't coalesce
+    table = materialize(entities.select(*own).repartition(tasks, *own).select(*own, F.lit(0).alias("attempt"), sub(F.lit(0)).alias("sub")), "entities")
     least, stale = None, 0
     while True:
-        tried = table.withColumn("sub", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"), F.col("gender")))
-        first = tried.groupBy("kind", "sub").agg(F.min("canon").alias("keeps"), F.count("*").alias("n")).where("n > 1").select("kind", "sub", "keeps")
-        real = table.select("kind", F.col("canon").alias("sub"), F.lit(True).alias("real"))
-        clash = (
-            tried.join(first, ["kind", "sub"], "left").join(real, ["kind", "sub"], "left")
-            .where("(keeps is not null and keeps <> canon) or real").select("kind", "canon")
-        )
-        clash = materialize(clash, "clashes")
+        forms = table.select(*own, F.col("sub").alias("form"), F.lit(False).alias("real")).unionAll(table.select(*own, F.col("canon").alias("form"), F.lit(True).alias("real")))
+        same = Window.partitionBy("kind", "form")  # one form: a few entities that collide
+        seen = forms.withColumn("taken", F.max("real").over(same)).withColumn("keeps", F.min(F.when(~F.col("real"), F.struct("canon", "gender"))).over(same))
+        clash = materialize(seen.where(~F.col("real") & (F.col("taken") | (F.struct("canon", "gender") != F.col("keeps")))).select(*own), "clashes")
         n = clash.count()
         if not n:
-            return table.where("attempt > 0").select("kind", "canon", "attempt")
+            return table.where("attempt > 0").select("kind", "canon", F.col("gender").alias("entity_gender"), "attempt")
         stale = 0 if least is None or n < least else stale + 1
         least = n if least is None else min(n, least)
         if stale >= MOST_ATTEMPTS:
             raise RuntimeError(f"{n} surrogates still collide, no fewer than {MOST_ATTEMPTS} attempts before")
-        table = materialize(table.join(clash.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", "gender", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "entities")
+        again = table.join(clash.withColumn("again", F.lit(True)), own, "left").repartition(tasks, *own)
+        again = again.withColumn("attempt", F.col("attempt") + F.when(F.col("again"), 1).otherwise(0))
+        table = materialize(again.select(*own, "attempt", F.when(F.col("again"), sub(F.col("attempt"))).otherwise(F.col("sub")).alias("sub")), "entities")
 
 
-def replace(df: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def replace(df: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
     """df with its text rewritten, and `entities`: type and surrogate of each, in order. The originals are not returned."""
-    if clash := {"entities", "__found", "__tries"} & set(df.columns):
+    if clash := {"entities", "__raw", "__row", "__late"} & set(df.columns):
         raise ValueError(f"columns in the way: {sorted(clash)}")
-    seen = df.select(F.explode(found(F.col(text))).alias("x")).select("x.kind", "x.canon", "x.gender").where("kind is not null").distinct()
-    late = attempts(seen, key)
-    out = df.withColumn("__found", found(F.col(text)))
+    # the texts are searched once; row numbers are drawn once and written, so every later reader sees the same
+    base = materialize(df.withColumn("__raw", F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).withColumn("__row", F.monotonically_increasing_id()), "found")
+    each = base.where(F.size("__raw") > 0).select("__row", F.explode("__raw").alias("e"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spellings = each.select("e").distinct().repartition(tasks, "e").select("e", typed(F.col("e")).alias("x")).select("e", "x.*").where("kind is not null")
+    spellings = materialize(spellings, "spellings")
+    late = attempts(spellings.select("kind", "canon", "gender").distinct(), key)
     if late.isEmpty():
-        out = out.withColumn("__tries", F.lit(None).cast("map<string,int>"))
+        base = base.withColumn("__late", F.lit(None).cast("map<string,int>"))
     else:  # few rows have such an entity; they meet it by a join
-        rows = out.select(id_col, F.explode("__found").alias("x")).select(id_col, F.col("x.kind").alias("kind"), F.col("x.canon").alias("canon")).distinct()
-        tries = rows.join(late, ["kind", "canon"]).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "kind", "canon"), "attempt"))).alias("__tries"))
-        out = out.join(tries, id_col, "left")
-    attempt = lambda x: F.coalesce(F.try_element_at(F.col("__tries"), F.concat_ws(" ", x["kind"], x["canon"])), F.lit(0))
-    new = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNull(), x["e"]).otherwise(spelled(x["e"], x["kind"], surrogate(key, x["kind"], x["canon"], attempt(x), x["gender"]))).alias("surrogate")))
+        tries = each.join(spellings.join(late.withColumnRenamed("entity_gender", "gender"), ["kind", "canon", "gender"]).select("e", "attempt"), "e").select("__row", "e", "attempt").distinct()
+        base = base.join(tries.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("e", "attempt"))).alias("__late")), "__row", "left")
+    with_type = F.transform("__raw", lambda e: F.struct(e.alias("e"), F.coalesce(F.try_element_at(F.col("__late"), e), F.lit(0)).alias("attempt"), typed(e).alias("x")))
+
+    def replaced(y: Column) -> Column:
+        x = y["x"]
+        new = F.when(x["kind"].isNull(), y["e"]).otherwise(let(surrogate(key, x["kind"], x["canon"], y["attempt"], x["gender"]), lambda sub: spelled(y["e"], x["kind"], sub)))
+        return F.struct(x["kind"].alias("kind"), new.alias("surrogate"))
+
+    none = F.array().cast("array<struct<kind:string,surrogate:string>>")
+    out = base.withColumn("entities", F.when(F.size("__raw") > 0, F.transform(with_type, replaced)).when(F.col(text).isNotNull(), none))
     gaps = F.split(F.col(text), PATTERN, -1)
-    woven = F.concat(F.element_at(gaps, 1), F.array_join(F.zip_with(F.transform("entities", lambda x: x["surrogate"]), F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))), lambda a, b: F.concat(a, b)), ""))
-    out = out.withColumn("entities", new)
+    woven = let(gaps, lambda g: F.concat(F.element_at(g, 1), F.array_join(F.zip_with(F.transform("entities", lambda x: x["surrogate"]), F.slice(g, F.lit(2), F.greatest(F.size(g) - 1, F.lit(0))), lambda a, b: F.concat(a, b)), "")))
     out = out.withColumn(text, F.when(F.size("entities") > 0, woven).otherwise(F.col(text)))
     return out.select(*df.columns, F.filter("entities", lambda x: x["kind"].isNotNull()).alias("entities"))
 
