@@ -3,11 +3,12 @@
 Words are runs of letters and digits in lower case. A benchmark item of w words is compared with every window of w words of
 every document that shares at least one of its shingles (a window that shares none has similarity 0). Windows and items get 64-bit
 SimHashes of their shingles, each counted as often as it occurs. The fingerprint is cut into BLOCKS blocks; two within RADIUS
-bits differ by at most RADIUS // BLOCKS in some block, so tables of each block's neighbourhood find all of them. What is
-found is verified by the exact similarity of the weighted (counted) shingles: shared weight over joint weight.
+bits differ by at most RADIUS // BLOCKS in some block, so each block has a table from its value to the groups of items near it, and a
+window is held against the items of those groups alone. What is within RADIUS
+is verified by the exact similarity of the weighted (counted) shingles: shared weight over joint weight.
 
 Defined results: null, empty and wordless texts and items never match; an item with fewer words than a shingle counts as one
-shingle; repeated items and rows are each reported; of equally similar windows the first is reported; an empty table gives
+shingle; an item whose id is null is looked for and reported with a null id; repeated items and rows are each reported; of equally similar windows the first is reported; an empty table gives
 an empty result; only the key and the outputs are returned, so clashing columns of the input do no harm.
 """
 
@@ -25,13 +26,18 @@ from panelspark.llm.common import ALNUM, fold_case, prefix_hash, span_hash, step
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints within this many of 64 bits are verified: at similarity 0.8 about 10 are expected to differ.
-RADIUS, BLOCKS = 19, 4
+RADIUS, BLOCKS = 23, 4
+#: Groups that the items of one size fall into in a block's table: a bit each.
+GROUPS = 8
+#: Sizes of items in one index at most: each has tables of 256 KB.
+INDEX_SIZES = 256
+#: Numbers in one array at most while windows are compared.
+CELLS = 1 << 20
+#: Stands for a null item id.
+NO_ID = (1 << 63) - 1
 #: Bytes of benchmark text that one index holds; a larger benchmark is indexed in as many turns as it needs.
 INDEX_BYTES = 32 << 20
 
-_NEAR = np.array(sorted(sum(1 << b for b in c) for d in range(RADIUS // BLOCKS + 1) for c in combinations(range(64 // BLOCKS), d)), np.uint64)
-
-
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word, and each row's first word."""
     raw = fold_case(raw)
@@ -45,9 +51,13 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return span_hash(prefix_hash(hashes), at, at + size)
 
 
-def lanes(shingles: np.ndarray, wide: bool) -> list[np.ndarray]:
-    """Prefix sums of the bits of each hash, eight (or four, if wide) to a word. Differences of them are exact counts."""
-    bits = 16 if wide else 8
+def lane_bits(n: int) -> int:
+    """Bits that hold a count up to n."""
+    return 8 if n < 1 << 8 else 16 if n < 1 << 16 else 32
+
+
+def lanes(shingles: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Prefix sums of the bits of each hash, 64 / bits to a word. Differences of them are exact counts below 2 ** bits."""
     mask = np.uint64(sum(1 << i for i in range(0, 64, bits)))
     out = []
     for k in range(bits):
@@ -62,12 +72,16 @@ def fingerprints(sums: list[np.ndarray], start: np.ndarray, n: int) -> np.ndarra
     bits = len(sums)
     out = np.zeros(len(start), np.uint64)
     for k, c in enumerate(sums):
-        counts = (c[start + n] - c[start]).view(np.uint16 if bits == 16 else np.uint8).reshape(len(start), -1)
+        counts = (c[start + n] - c[start]).view({8: np.uint8, 16: np.uint16, 32: np.uint32}[bits]).reshape(len(start), -1)
         for lane in range(64 // bits):
             out |= (counts[:, lane].astype(np.int64) * 2 > n).astype(np.uint64) << np.uint64(bits * lane + k)
     return out
 
 
+def block_of(prints: np.ndarray, b: int) -> np.ndarray:
+    return (prints >> np.uint64(b * 64 // BLOCKS)) & np.uint64((1 << 64 // BLOCKS) - 1)
+
+
 def counted(rows: np.ndarray) -> np.ndarray:
     """Each row of hashes sorted, with repeats told apart, so that weights become set members."""
     rows = np.sort(rows, axis=1)
@@ -97,15 +111,25 @@ class Index:
             start = first[np.array(rows)]
             s = shingle_hashes(hashes, k)
             own = s[start[:, None] + np.arange(n)]
-            prints = fingerprints(lanes(s, n > 255), start, n)
-            table = np.zeros((BLOCKS, 1 << 64 // BLOCKS), bool)
+            prints = fingerprints(lanes(s, lane_bits(n)), start, n)
+            near = np.array(sorted(sum(1 << x for x in c) for d in range(radius // BLOCKS + 1) for c in combinations(range(64 // BLOCKS), d)), np.uint64)
+            table = np.zeros((BLOCKS, 1 << 64 // BLOCKS), np.uint8)
             for b in range(BLOCKS):
-                block = (prints >> np.uint64(b * 64 // BLOCKS)) & np.uint64((1 << 64 // BLOCKS) - 1)
-                table[b, (block[:, None] ^ _NEAR).ravel()] = True
+                for i, value in enumerate(block_of(prints, b)):
+                    table[b, value ^ near] |= 1 << i % GROUPS
             self.sizes[w] = (k, np.array([items[i][0] for i in rows]), prints, table, counted(own))
             seeds.setdefault(k, []).append(own.ravel())
         self.seeds = {k: np.unique(np.concatenate(v)) for k, v in seeds.items()}
 
+    def _within(self, fp: np.ndarray, windows: np.ndarray, prints: np.ndarray, items: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (window, item) whose fingerprints are within the radius."""
+        step = max(1, CELLS // max(1, len(items)))
+        for lo in range(0, len(windows), step):
+            part = windows[lo : lo + step]
+            r, c = np.nonzero(np.bitwise_count(fp[part, None] ^ prints[None, items]) <= self.radius)
+            if len(r):
+                yield part[r], items[c]
+
     def search(self, raw: np.ndarray, off: np.ndarray, similarity: float = SIMILARITY) -> dict[str, np.ndarray]:
         """For each row and item that match: row, item, similarity, first word, words. The best window of each pair."""
         hashes, _, _, first = word_hashes(raw, off)
@@ -121,7 +145,7 @@ class Index:
                 continue
             hits = np.zeros(len(s) + 1, np.int64)
             np.cumsum(hit, out=hits[1:])
-            sums: dict[bool, list[np.ndarray]] = {}
+            sums: dict[int, list[np.ndarray]] = {}
             for w, (k_w, ids, prints, table, own) in self.sizes.items():
                 n = w - k_w + 1
                 if k_w != k or len(s) < n:
@@ -130,26 +154,26 @@ class Index:
                 start = np.flatnonzero(inside & (hits[n:] > hits[:-n]))
                 if not len(start):
                     continue
-                wide = n > 255
-                if wide not in sums:
-                    sums[wide] = lanes(s, wide)
-                fp = fingerprints(sums[wide], start, n)
-                near = np.zeros(len(fp), bool)
+                bits = lane_bits(n)
+                if bits not in sums:
+                    sums[bits] = lanes(s, bits)
+                fp = fingerprints(sums[bits], start, n)
+                groups = np.zeros(len(fp), np.uint8)
                 for b in range(BLOCKS):
-                    near |= table[b, (fp >> np.uint64(b * 64 // BLOCKS)) & np.uint64((1 << 64 // BLOCKS) - 1)]
-                start, fp = start[near], fp[near]
-                for lo in range(0, len(start), 1 << 14):
-                    part = slice(lo, lo + (1 << 14))
-                    r, c = np.nonzero(np.bitwise_count(fp[part, None] ^ prints[None, :]) <= self.radius)
-                    if not len(r):
-                        continue
-                    at = start[part][r]
-                    both = np.sort(np.concatenate([counted(s[at[:, None] + np.arange(n)]), own[c]], axis=1), axis=1)
-                    shared = (both[:, 1:] == both[:, :-1]).sum(axis=1)
-                    sim = shared / (2 * n - shared)
-                    ok = sim >= similarity
-                    row = np.searchsorted(first, at[ok], "right") - 1
-                    found.append((row, ids[c[ok]], sim[ok], at[ok] - first[row], np.full(ok.sum(), w), c[ok]))
+                    groups |= table[b, block_of(fp, b)]
+                for g in range(min(GROUPS, len(prints))):
+                    near = np.flatnonzero(groups >> g & 1)
+                    items = np.arange(g, len(prints), GROUPS)
+                    for at, c in self._within(fp, near, prints, items):
+                        # as many pairs at once as their shingles allow
+                        for lo in range(0, len(at), max(1, CELLS // n)):
+                            i, j = start[at[lo : lo + max(1, CELLS // n)]], c[lo : lo + max(1, CELLS // n)]
+                            both = np.sort(np.concatenate([counted(s[i[:, None] + np.arange(n)]), own[j]], axis=1), axis=1)
+                            shared = (both[:, 1:] == both[:, :-1]).sum(axis=1)
+                            sim = shared / (2 * n - shared)
+                            ok = sim >= similarity
+                            row = np.searchsorted(first, i[ok], "right") - 1
+                            found.append((row, ids[j[ok]], sim[ok], i[ok] - first[row], np.full(ok.sum(), w), j[ok]))
         if not found:
             z = np.zeros(0, np.int64)
             return {"row": z, "item": z, "similarity": np.zeros(0), "start_word": z, "n_words": z}
@@ -162,13 +186,18 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text", limit: int = INDEX_BYTES) -> Iterator[Index]:
-    """Indexes over the whole benchmark, each over at most about `limit` bytes of it, so that one can be broadcast."""
+    """Indexes over the whole benchmark, each over at most about `limit` bytes and INDEX_SIZES sizes of it, so that one can be broadcast."""
     items = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("long"), text)
     total = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
     turns = max(1, -(-total // limit))
     for turn in range(turns):
         part = items.where(F.pmod(F.xxhash64(item, text), F.lit(turns)) == turn) if turns > 1 else items
-        yield Index(sorted((r[0], r[1]) for r in part.collect() if r[0] is not None))
+        rows = sorted((NO_ID if r[0] is None else r[0], r[1]) for r in part.collect())
+        size = np.diff(word_hashes(*text_bytes(pa.array([t for _, t in rows], pa.large_string())))[3])
+        sizes = np.unique(size)
+        for lo in range(0, max(1, len(sizes)), INDEX_SIZES):
+            own = set(sizes[lo : lo + INDEX_SIZES].tolist())
+            yield Index([r for r, n in zip(rows, size.tolist(), strict=True) if n in own])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -180,7 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             for batch in steps(batches):
                 hit = model.value.search(*text_bytes(batch.column(1)), similarity)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit["row"])), pa.array(hit["item"], pa.int64()), pa.array(hit["similarity"]), pa.array(hit["start_word"], pa.int64()), pa.array(hit["n_words"], pa.int64())], [key, "item_id", "similarity", "start_word", "n_words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit["row"])), pa.array(hit["item"], pa.int64(), mask=hit["item"] == NO_ID), pa.array(hit["similarity"]), pa.array(hit["start_word"], pa.int64()), pa.array(hit["n_words"], pa.int64())], [key, "item_id", "similarity", "start_word", "n_words"])
 
         part = docs.select(docs[key].alias(key), docs[text].alias("text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, item_id long, similarity double, start_word long, n_words long")
         out = part if out is None else out.unionAll(part)

@@ -264,6 +264,38 @@ def test_decontamination_finds_near_items_and_leaves_the_rest(spark):
     assert {r.doc_id for r in decontam.clean(df, bench).collect()} >= {3, 4, 5}
     blocks = list(decontam.indexes(bench, limit=200))
     assert len(blocks) > 1 and sum(len(v[1]) for b in blocks for v in b.sizes.values()) == 4
+    one = decontam.Index([(i, t) for i, t in enumerate(items) if t])
+    assert {w: len(v[1]) for w, v in one.sizes.items()} == {3: 1, 15: 1, 30: 1, 59: 1}
+
+
+def test_decontamination_against_brute_force(spark):
+    """Every window of an item's size in every document, with windows on both sides of the threshold, repeated and null item ids."""
+    rng = random.Random(31)
+    items = [(i % 40, prose(rng, rng.choice([20, 48, 50, 61]))) for i in range(120)] + [(None, prose(rng, 50)), (500, prose(rng, 300))]
+    rows = []
+    for i in range(160):
+        _, t = items[i % len(items)]
+        rows.append(prose(rng, rng.randint(0, 30)) + " " + edited(rng, t, rng.choice([0, 1, 1, 2, 3])) + " " + prose(rng, rng.randint(0, 30)))
+
+    def bag(words):
+        return collections.Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+
+    want = set()
+    for d, t in enumerate(rows):
+        w = t.split()
+        for item, text in items:
+            own = bag(text.split())
+            n = len(text.split())
+            for k in range(len(w) - n + 1):
+                shared = (bag(w[k : k + n]) & own).total()
+                if shared / (2 * own.total() - shared) >= 0.8:
+                    want.add((d, item))
+                    break
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 60 and any(i is None for _, i in got)
+    assert decontam.contaminated(empty(spark), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert decontam.contaminated(docs, empty(spark).withColumnRenamed("doc_id", "item_id")).count() == 0
 
 
 def test_toxicity_learns_folds_and_spares(spark):
@@ -364,6 +396,30 @@ def test_collisions_get_another_attempt(spark, monkeypatch):
     assert len(set(subs)) == 40 and not set(subs) & {f"{i:09b}" for i in range(40)}
 
 
+def test_more_names_than_the_first_attempt_holds(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", {"latin": ("ba", "de", "go", "ki"), "cyrillic": ("ба", "де", "го", "ки")})
+    from pyspark.sql import functions as F
+
+    names = [f"surname{i}" for i in range(1500)]  # the first attempt has 512 names
+    ents = spark.createDataFrame([("person", n, g) for n in names for g in "mf"], "kind string, canon string, gender string")
+    late = pii.attempts(ents, "k").withColumnRenamed("entity_gender", "gender")
+    m = ents.join(late, ["kind", "canon", "gender"], "left").select(pii.surrogate("k", F.col("kind"), F.col("canon"), F.coalesce("attempt", F.lit(0)), F.col("gender")))
+    assert len({r[0] for r in m.collect()}) == 3000
+
+
+def test_surrogates_of_persons_and_rows_without_keys(spark):
+    rows = [(None, "Mr Kim Lee met Mrs Kim Lee. Mr. Kim Lee left."), (1, "Mr Kim Lee 10.1.2.3"), (1, "nothing 10.1.2.3 there"), (None, None)]
+    out = pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), key="k")
+    got = collections.defaultdict(list)
+    for r in out.collect():
+        got[r.doc_id].append(r)
+    (a, b), (c, d) = sorted(got[None], key=lambda r: r.text is None), sorted(got[1], key=lambda r: -len(r.entities))
+    he, she, again = (e.surrogate for e in a.entities)
+    assert he != she and he.split(" ", 1)[1] == again.split(" ", 1)[1] == c.entities[0].surrogate.split(" ", 1)[1] != she.split(" ", 1)[1]
+    assert b.text is None and b.entities is None and c.entities[1].surrogate == d.entities[0].surrogate and d.text == f"nothing {d.entities[0].surrogate} there"
+    assert pii.replace(empty(spark)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as C
 
