@@ -275,15 +275,19 @@ class Codec:
         codec = self
 
         class Parts(dict):
-            """Number of a part: of its ids in `ids`, and as decimals in `texts`."""
+            """Number of a part, which `lead` stands before: of its ids in `ids`, and as decimals in `texts`."""
+
+            def __init__(self, lead: str):
+                self.lead = lead
 
             def __missing__(self, part: str) -> int:
-                pieces = codec.find(part)
+                whole = self.lead + part
+                pieces = codec.find(whole)
                 if len(pieces) == 1:
-                    ids = codec.transducer.encode(part.encode())
+                    ids = codec.transducer.encode(whole.encode())
                     text = ",".join(map(str, ids))
                 else:
-                    at = [self[p] for p in pieces]
+                    at = [codec.parts[p] for p in pieces]
                     text = ",".join([codec.texts[k] for k in at])
                     ids = [i for k in at for i in codec.ids[codec.starts[k] : codec.starts[k] + codec.counts[k]]]
                 n = len(codec.texts)
@@ -291,18 +295,18 @@ class Codec:
                 codec.counts.append(len(ids))
                 codec.starts.append(len(codec.ids))
                 codec.ids.extend(ids)
-                if len(part) <= LONG_PIECE:
+                if len(whole) <= LONG_PIECE:
                     self[part] = n
                 return n
 
-        self.parts, self.texts, self.counts, self.starts, self.ids = Parts(), [], array("q"), array("q"), array("q")
+        self.parts, self.spaced, self.texts, self.counts, self.starts, self.ids = Parts(""), Parts(" "), [], array("q"), array("q"), array("q")
 
-    def split(self, text: str) -> list[str]:
-        """Parts whose encodings make up the text's. All but the first start with their space."""
+    def numbers(self, text: str) -> list[int]:
+        """Numbers of the parts whose encodings make up the text's. All but the first follow a space."""
         if not text:
             return []
         first, *rest = self.cut(text)
-        return [first, *(" " + p for p in rest)]
+        return [self.parts[first], *map(self.spaced.__getitem__, rest)]
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -316,7 +320,7 @@ class Codec:
         """For each text its token ids, and the same as decimals joined by commas."""
         if len(self.texts) > self.remember:
             self.forget()
-        places = [list(map(self.parts.__getitem__, self.split(t))) for t in texts]
+        places = list(map(self.numbers, texts))
         counts, starts = np.array(self.counts, np.int64), np.array(self.starts, np.int64)
         ids = np.array(self.ids, np.int64)
         out = []
