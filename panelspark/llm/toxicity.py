@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +42,20 @@ HOMOGLYPHS = {
 UNSEEN = "­​‌‍⁠﻿"
 
 
-def fold_table() -> dict[int, str | None]:
-    """Translation of single characters: by decomposition to a base letter, then through HOMOGLYPHS; what is no letter becomes a space."""
-    table: dict[int, str | None] = {}
-    for c in [*range(0x0250), *range(0x0370, 0x0530), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), *range(0x3000, 0x3040), *range(0xFF01, 0xFF5F)]:
-        base = unicodedata.normalize("NFKD", chr(c))[:1].lower()
-        base = HOMOGLYPHS.get(base, HOMOGLYPHS.get(chr(c).lower(), base))
-        table[c] = base if base.isalpha() else " "
-    for c in UNSEEN:
-        table[ord(c)] = None
-    return table
+class Folding(dict):
+    """Translation of single characters, made when first met: by decomposition to a base letter, then through HOMOGLYPHS; combining marks and what
+    has no width go, and what is no letter becomes a space."""
+
+    def __missing__(self, c: int) -> str | None:
+        char = chr(c)
+        base = unicodedata.normalize("NFKD", char)[:1].lower()
+        base = HOMOGLYPHS.get(base, HOMOGLYPHS.get(char.lower(), base))
+        out = None if char in UNSEEN or unicodedata.combining(char) else base if base.isalpha() else " "
+        self[c] = out
+        return out
 
 
-_TABLE = fold_table()
+_TABLE = Folding()
 
 
 def fold(text: str) -> str:
@@ -81,9 +84,11 @@ class Lexicon:
     def matches(self, automaton, folded: str) -> list[tuple[int, int, float, str]]:
         """(start, end, weight, term) in a folded text that starts and ends with a space; those inside an exception are left out."""
         found = [(end - n + 1, end + 1, w, t) for end, (n, w, t) in automaton.iter(folded)]
-        if self.exceptions and found:
-            spans = [(s, e) for s, e, _, t in found if not t]
-            found = [m for m in found if m[3] and not any(s <= m[0] and m[1] <= e for s, e in spans)]
+        spans = sorted((s, e) for s, e, _, t in found if not t)
+        if spans:
+            # how far the exceptions reach that start here or before
+            starts, reach = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+            found = [m for m in found if m[3] and not ((i := bisect_right(starts, m[0])) and m[1] <= reach[i - 1])]
         return found
 
     def score(self, weight: float, length: int) -> float:
@@ -128,10 +133,14 @@ def learn(texts: list[str], toxic: list[int], least: int = 3, share: float = 0.0
             out |= {f" {w[:n]}" for n in range(stems[0], min(stems[1], len(w)) + 1)}
         return out
 
+    least = max(least, math.ceil(share * n_bad))
+    # hashes are counted first, so that only the strings that may count are held
+    hashes = np.concatenate([np.fromiter(map(hash, candidates(t)), np.int64) for t, label in zip(folded, toxic, strict=True) if label])
+    kind, times = np.unique(hashes, return_counts=True)
+    often = set(kind[times >= least].tolist())
     for t, label in zip(folded, toxic, strict=True):
         if label:
-            bad.update(candidates(t))
-    least = max(least, math.ceil(share * n_bad))
+            bad.update(c for c in candidates(t) if hash(c) in often)
     seen = {t for t, n in bad.items() if n >= least}
     for t, label in zip(folded, toxic, strict=True):
         if not label:
