@@ -62,9 +62,19 @@ def report_asof(dates: DataFrame, reports: DataFrame, value: str) -> DataFrame:
 
 
 def next_trading_row(events: DataFrame, calendar: DataFrame, at: str = "date", strict: bool = True) -> DataFrame:
-    """events with entry_date and entry_pos of the first calendar row after (or at) each; events past the end are dropped."""
-    k = calendar.select(F.lit(1).alias("__k"), F.col("date").alias("entry_date"), F.col("pos").alias("entry_pos"))
-    return asof_join(events.withColumn("__k", F.lit(1)), k, ["__k"], at, "entry_date", "forward", strict).drop("__k").where("entry_date is not null")
+    """events with entry_date and entry_pos of the first calendar row after (or at) each; events past the end, or without a date, are dropped.
+
+    The calendar becomes a map from each day to its row, which events meet by equality: no sort of all events.
+    """
+    c = calendar.select(F.col("date").alias("entry_date"), F.col("pos").alias("entry_pos"))
+    gap = 0 if strict else 1  # days from the row before to the day before this one, or from the day after it to this one
+    c = c.withColumn("__before", F.lag("entry_date").over(Window.orderBy("entry_date")))  # a row a trading day
+    days = c.where("__before is not null").select(F.explode(F.sequence(F.date_add("__before", gap), F.date_add("entry_date", gap - 1))).alias("__day"), F.struct("entry_date", "entry_pos").alias("__row"))
+    first = c.agg(F.min(F.struct("entry_date", "entry_pos")).alias("__first"))
+    early = F.col(at) < F.col("__first.entry_date") if strict else F.col(at) <= F.col("__first.entry_date")
+    met = events.crossJoin(F.broadcast(first)).join(F.broadcast(days), F.col(at).cast("date") == F.col("__day"), "left")  # a row a calendar day
+    row = F.when(early, F.col("__first")).otherwise(F.col("__row"))
+    return met.withColumn("__row", row).where("__row is not null").select(*events.columns, "__row.entry_date", "__row.entry_pos")
 
 
 def positional_range(events: DataFrame, panel: DataFrame, pos: str, horizon: int) -> DataFrame:

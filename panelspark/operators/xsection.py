@@ -20,8 +20,10 @@ def winsorize(df: DataFrame, value: str, lower: float = 0.01, upper: float = 0.9
 
 
 def zscore(value, by=BY) -> Column:
+    """NULL where the values differ by no more than rounding: a deviation of at most 1e-9 of their mean."""
     w = Window.partitionBy(*by)
-    return F.try_divide(_c(value) - F.avg(_c(value)).over(w), F.stddev_samp(_c(value)).over(w))
+    mean, sd = F.avg(_c(value)).over(w), F.stddev_samp(_c(value)).over(w)
+    return F.when(sd > 1e-9 * F.abs(mean), (_c(value) - mean) / sd)
 
 
 def standardize(df: DataFrame, value: str, out: str, lower: float = 0.01, upper: float = 0.99, by=BY) -> DataFrame:

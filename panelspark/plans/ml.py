@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators import xsection as X
+from panelspark.sources.files import written
 
 
 def build_dataset(scores: DataFrame, features: list[str], fwd: str = "fwd") -> DataFrame:
@@ -29,9 +28,7 @@ def walk_forward_predict(data: DataFrame, features: list[str], folds: list, min_
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    path = f"{data.sparkSession.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='panelspark-')}/dataset-{uuid.uuid4().hex}"
-    data.write.parquet(path)
-    data = data.sparkSession.read.schema(data.schema).parquet(path)
+    data = written(data, "dataset")
     d = VectorAssembler(inputCols=features, outputCol="features").transform(data).cache()
     rows = {r["date"]: r["count"] for r in d.where(F.col("date").isin(folds)).groupBy("date").count().collect()}
     parts = []

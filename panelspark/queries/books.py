@@ -10,7 +10,7 @@ from panelspark.operators import portfolio as B
 from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
 from panelspark.queries import query
-from panelspark.queries.factors import BOX, SCORES, boxed, flagged, month_scores, rets
+from panelspark.queries.factors import BOX, LIMITS, SCORES, boxed, flagged, month_scores, rets
 
 RATES = (0.001, 0.002)
 BOOK = {
@@ -42,13 +42,16 @@ def b1r(t):
     return top_book(t)[1].select("exec_pos", "n_held", "turnover", "cost")
 
 
-@query("b3_bottom_n")
+CHEAP = BOOK | {"tg": BOOK["tg"].replace("amount DESC", "turn").replace("amount IS", "turn IS"), "rb": BOOK["rb"].replace("dw*0.001", "dw*0.0005").replace("dw*0.002", "dw*0.0005")}
+
+
+@query("b3_bottom_n", "SELECT pos, net FROM dy", "net", extra=SCORES | CHEAP)
 def b3(t):
     m = month_scores(t).withColumn("p", X.place("turn", False)).where("p <= 5").select(F.lit("a").alias("variant"), "date", "code")
-    return B.ew_portfolio(m, t.month_ends.select(F.lit("a").alias("variant"), "date"), rets(t), t.calendar, (0.0005, 0.0005))[0].select("pos", F.round("net", 6).alias("net"))
+    return B.ew_portfolio(m, t.month_ends.select(F.lit("a").alias("variant"), "date"), rets(t), t.calendar, (0.0005, 0.0005))[0].select("pos", "net")
 
 
-@query("b4_limit_blocked")
+@query("b4_limit_blocked", "SELECT b.date, code FROM (SELECT block, code, n.now, p.was FROM tb n FULL JOIN (SELECT block + 1 AS block, code, was FROM tb) p USING (block, code)) x JOIN bk b USING (block) LEFT JOIN (SELECT code, pos AS exec_pos, flag FROM flags) f USING (code, exec_pos) WHERE (now AND (was OR coalesce(flag, 0) <> 1)) OR (was AND coalesce(flag, 0) = -1)", extra=SCORES | BOOK | LIMITS | {"tb": "SELECT b.block, g.code, TRUE AS now, TRUE AS was FROM tg g JOIN bk b ON b.date = g.date"})
 def b4(t):
     m = month_scores(t).withColumn("p", X.place("amount")).where("p <= 5").select(F.lit("a").alias("variant"), "date", "code")
     blocks = B.rebalance_blocks(t.month_ends.select(F.lit("a").alias("variant"), "date"), t.calendar)
@@ -141,7 +144,9 @@ def b19(t):
     return now.join(before, "code", "left_anti").withColumn("change", F.lit("entered")).unionAll(before.join(now, "code", "left_anti").withColumn("change", F.lit("exited")))
 
 
-@query("p13_rates")
+BUY, SELL = CostSpec().rates
+
+
+@query("p13_rates", f"SELECT account, sum(CASE WHEN shares > 0 THEN shares*price*{BUY!r} ELSE -shares*price*{SELL!r} END) AS cost FROM fills GROUP BY account", "cost")
 def p13(t):
-    b, s = CostSpec().rates
-    return t.fills.groupBy("account").agg(F.round(F.sum(F.when(F.col("shares") > 0, F.col("shares") * F.col("price") * b).otherwise(-F.col("shares") * F.col("price") * s)), 4).alias("cost"))
+    return t.fills.groupBy("account").agg(F.sum(F.when(F.col("shares") > 0, F.col("shares") * F.col("price") * BUY).otherwise(-F.col("shares") * F.col("price") * SELL)).alias("cost"))

@@ -262,7 +262,7 @@ def x1(t):
 Z = {
     "zq": "SELECT date, quantile_cont(mom, 0.01) AS m1, quantile_cont(mom, 0.99) AS m9, quantile_cont(ey, 0.01) AS e1, quantile_cont(ey, 0.99) AS e9 FROM ms GROUP BY date",
     "zc": "SELECT ms.date, code, fwd, CASE WHEN mom IS NOT NULL THEN least(greatest(mom, m1), m9) END AS m, CASE WHEN ey IS NOT NULL THEN least(greatest(ey, e1), e9) END AS e FROM ms JOIN zq ON zq.date = ms.date",
-    "zz": "SELECT *, CASE WHEN zm IS NULL AND ze IS NULL THEN NULL ELSE (5*coalesce(ze, 0) - coalesce(zm, 0)) / (CASE WHEN ze IS NULL THEN 0 ELSE 5 END + CASE WHEN zm IS NULL THEN 0 ELSE 1 END) END AS score FROM (SELECT *, (m - avg(m) OVER (PARTITION BY date)) / nullif(stddev_samp(m) OVER (PARTITION BY date), 0) AS zm, (e - avg(e) OVER (PARTITION BY date)) / nullif(stddev_samp(e) OVER (PARTITION BY date), 0) AS ze FROM zc) a",
+    "zz": "SELECT *, CASE WHEN zm IS NULL AND ze IS NULL THEN NULL ELSE (5*coalesce(ze, 0) - coalesce(zm, 0)) / (CASE WHEN ze IS NULL THEN 0 ELSE 5 END + CASE WHEN zm IS NULL THEN 0 ELSE 1 END) END AS score FROM (SELECT *, CASE WHEN stddev_samp(m) OVER (PARTITION BY date) > 1e-9 * abs(avg(m) OVER (PARTITION BY date)) THEN (m - avg(m) OVER (PARTITION BY date)) / stddev_samp(m) OVER (PARTITION BY date) END AS zm, CASE WHEN stddev_samp(e) OVER (PARTITION BY date) > 1e-9 * abs(avg(e) OVER (PARTITION BY date)) THEN (e - avg(e) OVER (PARTITION BY date)) / stddev_samp(e) OVER (PARTITION BY date) END AS ze FROM zc) a",
 }
 
 

@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 from panelspark.operators import xsection as X
 from panelspark.plans import ml
 from panelspark.queries import query
-from panelspark.queries.factors import LIMITS, flagged, month_scores
+from panelspark.queries.factors import LIMITS, SCORES, Z, flagged, month_scores
+from panelspark.sources.files import fresh_path
 from panelspark.streaming import streams
 
 
 def drained(t, df, mode: str, name: str):
     """Run a streaming frame over what is there and give its rows as a table."""
-    import tempfile
-    import uuid
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelspark-")
-    at = f"{base}/stream-{name}-{uuid.uuid4().hex}"
+    at = fresh_path(t.spark, f"stream-{name}")
     w = df.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
     if mode == "complete":
         w.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{at}/out")).start().awaitTermination()
@@ -31,9 +28,9 @@ def stream_of(t, name: str):
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*" if not t.sf_dir.startswith("viewfs") else "*.parquet").parquet(t.sf_dir)
 
 
-@query("m1_build_dataset")
+@query("m1_build_dataset", "SELECT date, count(*) AS n, sum(f) AS s FROM (SELECT date, fwd - avg(fwd) OVER (PARTITION BY date) AS f FROM zz WHERE zm IS NOT NULL AND ze IS NOT NULL AND fwd IS NOT NULL) a GROUP BY date", "s", extra=SCORES | Z)
 def m1(t):
-    return ml.build_dataset(month_scores(t), ["mom", "ey"]).groupBy("date").agg(F.count("*").alias("n"), F.round(F.sum("fwd"), 6).alias("s"))
+    return ml.build_dataset(month_scores(t), ["mom", "ey"]).groupBy("date").agg(F.count("*").alias("n"), F.sum("fwd").alias("s"))
 
 
 @query("m2_m3_walk_forward")
@@ -69,11 +66,7 @@ def t4(t):
 
 @query("t6_event_detect", "SELECT code, count(*) AS n FROM (SELECT *, lag(flag) OVER (PARTITION BY code ORDER BY pos) AS prev FROM flags) x WHERE flag = 1 AND coalesce(prev, 9) <> 1 GROUP BY code", extra=LIMITS)
 def t6(t):
-    import tempfile
-    import uuid
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelspark-")
-    path = f"{base}/flags-{uuid.uuid4().hex}"
+    path = fresh_path(t.spark, "flags")
     flagged(t).select("code", "date", "flag").write.parquet(path)
     s = t.spark.readStream.schema("code string, date date, flag int").parquet(path)
     return drained(t, streams.fresh_flags(s, 1), "append", "flags").groupBy("code").agg(F.count("*").alias("n"))

@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        d = tempfile.mkdtemp(prefix="panelspark-")
+        spark.conf.set("spark.checkpoint.dir", d)
+    return d.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place under the shared folder."""
+    return f"{shared_dir(spark)}/panelspark-{uuid.uuid4().hex}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of its own under the shared folder: what is read many times is computed once, and lost executors cost their tasks only."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_bars(spark: SparkSession, path: str, fields: tuple[str, ...] = ("close",), codes: list[str] | None = None, start=None, end=None) -> DataFrame:
     d = spark.read.parquet(path)
     if codes is not None:

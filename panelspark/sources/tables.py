@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.sources.files import fresh_path
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 
 VIEWS = {
@@ -40,14 +42,14 @@ FROM (SELECT CAST(replace(p_brand,'Brand#','') AS INT) AS n, CAST(l_shipdate AS
 }
 
 
-def ctes(body: str, extra: dict[str, str] | None = None) -> str:
-    """`body` behind the WITH clause of every derived table that it names, directly or not."""
+def ctes(body: str, extra: dict[str, str] | None = None, given: tuple[str, ...] = ()) -> str:
+    """`body` behind the WITH clause of every derived table that it names, directly or not, but for those given as tables."""
     known = VIEWS | (extra or {})
     order: list[str] = []
 
     def need(sql: str, own: str = "") -> None:
         for v in known:
-            if v != own and v not in order and re.search(rf"\b(?:FROM|JOIN)\s+{v}\b", sql):
+            if v != own and v not in order and v not in given and re.search(rf"\b(?:FROM|JOIN)\s+{v}\b", sql):
                 need(known[v], v)
                 order.append(v)
 
@@ -55,16 +57,34 @@ def ctes(body: str, extra: dict[str, str] | None = None) -> str:
     return ("WITH " + ",\n".join(f"{v} AS ({known[v]})" for v in order) + "\n" if order else "") + body
 
 
+_BARS: dict[tuple[str, str], str] = {}
+
+
 class Tables:
     """The derived tables over the Parquet files of one folder, each a lazy DataFrame by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def sql(self, body: str, extra: dict[str, str] | None = None) -> DataFrame:
-        text = ctes(body, extra)
+    def _spark_sql(self, text: str) -> DataFrame:
         return self.spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(BASE)})\b", rf"\1 parquet.`{self.sf_dir}/\2.parquet`", text))
 
+    def _bars(self) -> str:
+        """Path of `bars`, written once for each application and folder, by code: all other panel tables read it and not the facts."""
+        own = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if own not in _BARS:
+            path = fresh_path(self.spark, "bars")
+            self._spark_sql(ctes("SELECT * FROM bars")).repartition("code").sortWithinPartitions("code", "date").write.parquet(path)
+            _BARS[own] = path
+        return _BARS[own]
+
+    def sql(self, body: str, extra: dict[str, str] | None = None) -> DataFrame:
+        text = ctes(body, extra, given=("bars",))
+        if re.search(r"\b(?:FROM|JOIN)\s+bars\b", text):
+            path = self._bars()
+            text = re.sub(r"\b(FROM|JOIN)\s+bars\b(?:\s+([a-z]\w*))?", lambda m: f"{m[1]} parquet.`{path}` {m[2] or 'bars'}", text)  # keywords are in capitals, so a small word is an alias
+        return self._spark_sql(text)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
