@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelspark.queries import ORACLES, QUERIES, books, events, factors, joins, live, more, sources, stats, studies  # noqa: F401
+from panelspark.queries import ORACLES, QUERIES, books, events, factors, joins, landed, live, more, sources, stats, studies  # noqa: F401
 
 
 def queries() -> dict:

@@ -32,8 +32,34 @@ def normalize_bonds(df: DataFrame) -> DataFrame:
     return df.where("listing_date is not null and not startswith(code, '40')").dropDuplicates(["code"])
 
 
-def normalize_industry(df: DataFrame) -> DataFrame:
-    return df.withColumn("csrc", csrc_class("industry"))
+def normalize_industry(df: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
+    """Adds the class code, and the bucket that `buckets` (csrc, bucket), a row for each class, gives it; an unlisted class has none."""
+    d = df.withColumn("csrc", csrc_class("industry"))
+    return d.join(F.broadcast(buckets), "csrc", "left") if buckets is not None else d
+
+
+def normalize_margin(df: DataFrame, value: str = "rzye") -> DataFrame:
+    """Dated balances, typed; rows without either are dropped, and a date keeps its first in order of value."""
+    d = typed(df, (value,), ("date",)).na.drop(subset=["date", value])
+    return d.groupBy("date").agg(F.min(value).alias(value))
+
+
+def normalize_ipo(meta: DataFrame, raw: DataFrame, adjusted: DataFrame, prefix: str = "") -> tuple[DataFrame, DataFrame]:
+    """(listings, bars): listings of a board with their proceeds (price times shares in units of 10,000), and their raw bars with the back-adjusted ones of the same date, if any."""
+    m = typed(meta, ("issue_price", "shares"), ("list_date",)).where(F.col("code").startswith(prefix)).withColumn("proceeds", F.col("issue_price") * F.col("shares") * 1e4)
+    return m, raw.join(m.select("code"), "code", "left_semi").join(adjusted, ["code", "date"], "left")
+
+
+def merge_wide_columns(have: DataFrame, more: DataFrame, value: str = "close") -> DataFrame:
+    """Panels as long rows: the codes that `have` lacks come from `more`, whatever their dates; those it has stay as they are."""
+    new = more.join(have.select("code").distinct(), "code", "left_anti")
+    return have.select("code", "date", value).unionByName(new.select("code", "date", value))
+
+
+def normalize_annual_report(df: DataFrame, value: str = "roe") -> DataFrame:
+    """Full-year reports, typed: rows without a publication date are dropped, a value that can't be read is NULL."""
+    d = typed(df, (value,), ("pub_date", "stat_date")).where("pub_date is not null")
+    return d.where((F.month("stat_date") == 12) & (F.day("stat_date") == 31))
 
 
 def upsert_keep_last(batches: DataFrame, keys: list[str], batch: str = "batch") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.sources.files import written
+
 BY = ("variant",)
 
 
@@ -27,16 +29,18 @@ def ew_portfolio(targets: DataFrame, signals: DataFrame, rets: DataFrame, calend
     Weights are equal (or `weight`, the rest cash) at the exec row and drift in the block; a NULL return counts 0. Costs are
     one-sided on the changes against the drifted weights, booked on the exec row, which still earns the block before.
     daily: by, pos, gross, cost, net. rebalances: by, block, exec_pos, n_held, turnover.
+
+    Blocks, holdings and daily positions are read many times below, so they are written to the shared folder once.
     """
-    b = rebalance_blocks(signals, calendar, by)
+    b = written(rebalance_blocks(signals, calendar, by), "blocks")
     keys = [*by, "block"]
     held = targets.join(F.broadcast(b), [*by, "date"])  # a row for each rebalance
     w0 = F.col(weight) if weight else 1 / F.count("*").over(Window.partitionBy(*keys))
-    held = held.withColumn("w0", w0).select(*keys, "code", "exec_pos", "next_exec", "w0")
+    held = written(held.withColumn("w0", w0).select(*keys, "code", "exec_pos", "next_exec", "w0"), "held")
     days = held.withColumn("pos", F.explode(F.sequence(F.col("exec_pos") + 1, F.greatest(F.col("next_exec"), F.col("exec_pos") + 1)))).where("pos <= next_exec")
     d = days.join(rets.select("code", "pos", "ret"), ["code", "pos"], "left")
     w = Window.partitionBy(*keys, "code").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("g", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w))
+    d = written(d.withColumn("g", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w)), "positions")
     cash = held.groupBy(*keys).agg((1 - F.sum("w0")).alias("cash"))
     value = d.groupBy(*keys, "pos").agg(F.sum(F.col("w0") * F.col("g")).alias("v")).join(cash, keys).withColumn("v", F.col("v") + F.col("cash")).drop("cash")
     gross = value.withColumn("gross", F.col("v") / F.lag("v", 1, 1.0).over(Window.partitionBy(*keys).orderBy("pos")) - 1)

@@ -136,6 +136,14 @@ def w27(t):
     return d.select("code", "date", (F.col("close") / (F.col("c0") * F.pow(1 + F.col("m"), F.date_diff("date", "d0") / 365.25)) - 1).alias("dev"))
 
 
+@query("w31_paid_share", "SELECT code, min(ex_date) AS paid FROM (SELECT d.code, d.ex_date, sum(d.dps) OVER (PARTITION BY d.code ORDER BY d.ex_date) AS s, f.c0 FROM dividends d JOIN (SELECT code, min_by(close, date) AS c0 FROM bars GROUP BY code) f ON f.code = d.code) x WHERE s >= 0.002 * c0 GROUP BY code")
+def w31s(t):
+    """The payback clock of 0.2 % of the first price, which dividends do reach here."""
+    base = t.bars.groupBy("code").agg(F.min_by("close", "date").alias("c0"))
+    s = F.sum("dps").over(Window.partitionBy("code").orderBy("ex_date").rowsBetween(Window.unboundedPreceding, 0))
+    return t.dividends.join(base, "code").withColumn("s", s).where("s >= 0.002 * c0").groupBy("code").agg(F.min("ex_date").alias("paid"))
+
+
 @query("w31_payback_clock", "SELECT code, min(ex_date) AS paid FROM (SELECT d.code, d.ex_date, sum(d.dps) OVER (PARTITION BY d.code ORDER BY d.ex_date) AS s, f.c0 FROM dividends d JOIN (SELECT code, min_by(close, date) AS c0 FROM bars GROUP BY code) f ON f.code = d.code) x WHERE s >= c0 GROUP BY code")
 def w31(t):
     base = t.bars.groupBy("code").agg(F.min_by("close", "date").alias("c0"))

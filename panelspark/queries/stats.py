@@ -142,6 +142,21 @@ def a28(t):
     return t.codes.join(t.holders.where("stat_date >= date'1998-10-01'"), "code", "left_anti")
 
 
+@query("a28_missing_in_window", "SELECT c.code, count(*) AS missing FROM codes c CROSS JOIN (SELECT date FROM calendar WHERE date >= DATE '1998-01-01') d WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.code = c.code AND b.date = d.date) GROUP BY c.code")
+def a28w(t):
+    """Trading days of a window on which a code has no row."""
+    days = t.calendar.where("date >= date'1998-01-01'").select("date")
+    return t.codes.crossJoin(F.broadcast(days)).join(t.bars.select("code", "date"), ["code", "date"], "left_anti").groupBy("code").agg(F.count("*").alias("missing"))
+
+
+@query("a37_incomplete_days", "SELECT date, n_codes - n AS lacking FROM (SELECT date, count(DISTINCT code) AS n FROM bars GROUP BY date) d, (SELECT count(*) AS n_codes FROM codes) c WHERE n < n_codes")
+def a37(t):
+    """Days that lack a key of the whole set, and how many."""
+    total = t.codes.agg(F.count("*").alias("n_codes"))
+    d = t.bars.groupBy("date").agg(F.count_distinct("code").alias("n")).crossJoin(F.broadcast(total))
+    return d.where("n < n_codes").select("date", (F.col("n_codes") - F.col("n")).alias("lacking"))
+
+
 @query("a29_s25_freshness", "SELECT code, (SELECT max(date) FROM bars) - max(date) AS lag_days FROM bars GROUP BY code HAVING (SELECT max(date) FROM bars) - max(date) <= 45")
 def a29(t):
     run = t.bars.agg(F.max("date").alias("run"))
@@ -182,6 +197,18 @@ def a36(t):
     return t.bars.groupBy("code").agg(F.max("date").alias("last")).where("date_diff(date'1998-12-01', last) > 15")
 
 
+@query("a36_truncated_series", "SELECT code, max(date) AS last FROM supplier_days GROUP BY code HAVING max(date) < (SELECT max(date) FROM supplier_days) - INTERVAL 15 DAY")
+def a36s(t):
+    """Series that end more than 15 days before the last of all."""
+    end = t.supplier_days.agg(F.max("date").alias("end"))
+    return t.supplier_days.groupBy("code").agg(F.max("date").alias("last")).crossJoin(F.broadcast(end)).where("date_diff(end, last) > 15").select("code", "last")
+
+
+@query("a10_ann_vol", "SELECT code, stddev_samp(ret) * sqrt(252) AS ann_vol FROM rets WHERE ret IS NOT NULL GROUP BY code", "ann_vol")
+def a10(t):
+    return rets(t).where("ret is not null").groupBy("code").agg((F.stddev_samp("ret") * F.sqrt(F.lit(252))).alias("ann_vol"))
+
+
 @query("f4_distributions")
 def f4(t):
     d = rets(t).where("ret is not null").groupBy("code").agg(A.t_of("ret").alias("t"), F.count("*").alias("n"), F.count_if(F.col("ret") > 0).alias("w"))

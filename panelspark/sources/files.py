@@ -41,9 +41,12 @@ def scan_bars(spark: SparkSession, path: str, fields: tuple[str, ...] = ("close"
     return d.select("code", "date", *fields)
 
 
-def scan_keyed_dir(spark: SparkSession, path: str, key: str = "code") -> DataFrame:
-    """Files named by their key, as one table with the key as a column."""
-    return spark.read.parquet(path).withColumn(key, F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?\.parquet$", 1))
+def scan_keyed_dir(spark: SparkSession, path: str, key: str = "code", folder: str | None = None) -> DataFrame:
+    """Files, or folders `folder=key.parquet`, named by their key, as one table with the key as a column."""
+    d = spark.read.parquet(path)
+    if folder:
+        return d.withColumn(key, F.regexp_replace(folder, r"\.parquet$", "")).drop(folder)
+    return d.withColumn(key, F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?\.parquet$", 1))
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str, where: str | None = None) -> DataFrame:
