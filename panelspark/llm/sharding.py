@@ -1,7 +1,7 @@
 """Sharding through fixed virtual slots: records hash into thousands of slots, shards own slots.
 
-A record's slot never changes; a versioned map says which shard owns each slot. Rebalancing edits the map:
-it moves a few slots, chosen by the bytes they hold, and adds a version. Native DataFrame functions only.
+A record's slot comes from its key and text alone (an edited text is another record); a versioned map says which shard owns each slot. Rebalancing edits the map
+that is stored: it moves a few slots, chosen by the bytes they hold, and adds a version. Native DataFrame functions only.
 
 Defined results: a null text counts 0 bytes, so its record has the fixed overhead alone; rows that are equal in every
 key column share a slot and are told apart by their place in it; an empty table gives an empty result and a map
@@ -66,42 +66,58 @@ def rebalanced(owner: list[int], bytes_of: dict[int, int], shards: int) -> list[
     return owner
 
 
-def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
+def map_table(spark: SparkSession, versions: dict[int, list[int]]) -> DataFrame:
     """The versioned map as a table (version, vslot, shard)."""
     return spark.createDataFrame(
-        [(v, s, shard) for v, owner in enumerate(versions) for s, shard in enumerate(owner)],
+        [(v, s, shard) for v, owner in versions.items() for s, shard in enumerate(owner)],
         "version int, vslot int, shard int",
     )
 
 
 def save_map(table: DataFrame, path: str) -> None:
-    """Store the map, a partition for each version."""
-    table.write.mode("overwrite").partitionBy("version").parquet(path)
+    """Add the newest version to the stored map, all of them where nothing is stored; a partition for each version."""
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
 
 
-def shard(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+def load_map(spark: SparkSession, path: str) -> DataFrame:
+    """The stored map with all its versions."""
+    return spark.read.schema("vslot int, shard int, version int").parquet(path).select("version", "vslot", "shard")
+
+
+def latest(table: DataFrame) -> tuple[int, list[int]]:
+    """Number and owners of the newest version: a row for each slot."""
+    version = table.agg(F.max("version")).first()[0]
+    rows = table.where(F.col("version") == version).select("vslot", "shard").collect()
+    return version, [r.shard for r in sorted(rows)]
+
+
+def shard(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", slots: int = SLOTS, current: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Deal the records of df into `shards` shards of near equal bytes.
 
-    Returns the records (key, size, text_crc32, vslot, version, shard, slot) and the versioned map. `slot` is a record's
+    current: the stored map, whose newest version is edited; without one, slots are dealt in turn as version 0.
+    Returns the records (key, size, text_crc32, vslot, version, shard, slot) and the version edited and the new one. `slot` is a record's
     place in its shard, gapless from 0: the rows of the shard's earlier virtual slots and the place within its own,
     so that no shard is sorted as a whole.
     """
     records = with_slots(df, key, text, slots)
     totals = {r.vslot: (r.bytes, r.rows) for r in slot_totals(records).collect()}  # at most `slots` rows
-    first = even_map(shards, slots)
-    last = rebalanced(first, {s: b for s, (b, _) in totals.items()}, shards)
+    version, first = latest(current) if current is not None else (0, even_map(shards, slots))
+    if len(first) != slots:
+        raise ValueError(f"the stored map has {len(first)} slots, not {slots}")
+    # slots of shards that are no more are dealt in turn
+    last = rebalanced([o if o < shards else s % shards for s, o in enumerate(first)], {s: b for s, (b, _) in totals.items()}, shards)
     before, offset = [0] * shards, []
     for slot, owner in enumerate(last):
-        offset.append((slot, 1, owner, before[owner]))
+        offset.append((slot, version + 1, owner, before[owner]))
         before[owner] += totals.get(slot, (0, 0))[1]
-    current = df.sparkSession.createDataFrame(offset, "vslot int, version int, shard int, base long")
+    owners = df.sparkSession.createDataFrame(offset, "vslot int, version int, shard int, base long")
     place = F.row_number().over(Window.partitionBy("vslot").orderBy(key, "text_crc32", "size"))
     dealt = (
-        records.join(F.broadcast(current), "vslot")  # `slots` rows, whatever the input
+        records.join(F.broadcast(owners), "vslot")  # `slots` rows, whatever the input
         .withColumn("slot", F.col("base") + place - 1)
         .drop("base")
     )
-    return dealt, map_table(df.sparkSession, [first, last])
+    return dealt, map_table(df.sparkSession, {version: first, version + 1: last})
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -368,6 +368,34 @@ def test_shards_are_even_gapless_and_versioned(spark, docs, texts):
     assert sharding.shard(empty(spark), 5)[0].count() == 0
 
 
+def test_rebalancing_edits_the_stored_map(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    sharding.save_map(sharding.shard(docs, 5, slots=512)[1], path)
+    more = docs.select("doc_id", "text").unionAll(docs.where("doc_id % 3 = 0").selectExpr("doc_id + 10000", "concat(text, ' more')"))
+    dealt, table = sharding.shard(more, 6, slots=512, current=sharding.load_map(spark, path))
+    sharding.save_map(table, path)
+    stored = sharding.load_map(spark, path)
+    by = {v: {r.vslot: r.shard for r in stored.where(f"version = {v}").collect()} for v in (0, 1, 2)}
+    assert stored.count() == 3 * 512 and all(len(m) == 512 for m in by.values())
+    moved = [s for s in range(512) if by[1][s] != by[2][s]]
+    rows = dealt.collect()
+    held = {r.vslot for r in rows}
+    loads = collections.Counter()
+    for r in rows:
+        loads[r.shard] += r.size
+        assert r.version == 2 and r.shard == by[2][r.vslot]
+    assert 0 < len(moved) <= len(held) / 3 and set(moved) <= held
+    assert len(loads) == 6 and max(loads.values()) - min(loads.values()) <= max(r.size for r in rows)
+    with pytest.raises(ValueError):
+        sharding.shard(docs, 5, slots=256, current=stored)
+
+
+def test_no_labelled_row_is_no_language(spark, docs):
+    field = langid.train(docs.withColumn("lang", docs["id"]).where("doc_id < 0"))
+    got = {(r.lang_pred, r.score) for r in langid.identify(docs, field).collect()}
+    assert got == {("und", 0.0)} and langid.identify(empty(spark), field).count() == 0
+
+
 def test_surrogates_keep_format_and_identity(spark):
     text = "Mail Bob.Smith@Mail.example.com, bob.smith@mail.example.com; +1 (386) 555-3733, 10.0.0.1. 4041894974608795 4041-8949-7460-8795 1234567812345678 token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" Mrs. Jane Doe and Г-жа Анна Иванова"
     rows = [(0, text, "x"), (1, None, "x"), (2, "", "x"), (3, "plain 12 words.", "x"), (4, text, "y")]
