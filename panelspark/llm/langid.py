@@ -207,8 +207,8 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 def label_words(field: Field, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of each row, each row's first word, and the marginals of every word."""
     raw, start, end, first = word_table(raw, off)
-    if not len(start):
-        return start, end, first, np.zeros((0, len(field.labels)))
+    if not len(start) or not field.labels:
+        return start, end, first, np.zeros((len(start), len(field.labels)))
     hashes = span_hash(prefix_hash(raw), start, end)
     kind, at, back = np.unique(hashes, return_index=True, return_inverse=True)
     return start, end, first, marginals(field.scores(raw, start[at], end[at], kind)[back], first, field.transitions)
