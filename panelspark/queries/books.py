@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.scalars import CostSpec, StopSpec
 from panelspark.operators import portfolio as B
+from panelspark.operators import stats as A
 from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
 from panelspark.queries import query
@@ -27,6 +28,33 @@ BOOK = {
 }
 
 
+SUMMARY = "log_wealth max_drawdown sharpe ann_mean"
+SUMMED = f"variant, {', '.join(SUMMARY.split())}"
+
+
+def book_sql(targets: str, signals: str, buy: float = RATES[0], sell: float = RATES[1], weight: str = "") -> dict[str, str]:
+    """Derived tables of a book by variant; vp is its summary. targets: (variant, date, code[, weight]), signals: (variant, date)."""
+    return {
+        "vt": targets,
+        "vs": signals,
+        "vk": "SELECT variant, date, block, exec_pos, coalesce(lead(exec_pos) OVER (PARTITION BY variant ORDER BY exec_pos), last) AS next_exec FROM (SELECT s.variant, s.date, c.pos + 1 AS exec_pos, row_number() OVER (PARTITION BY s.variant ORDER BY c.pos) AS block, (SELECT max(pos) FROM calendar) AS last FROM vs s JOIN calendar c ON c.date = s.date) z WHERE exec_pos <= last",
+        "vh": f"SELECT k.variant, k.block, t.code, k.exec_pos, k.next_exec, {f't.{weight}' if weight else '1.0 / count(*) OVER (PARTITION BY k.variant, k.block)'} AS w0 FROM vt t JOIN vk k ON k.variant = t.variant AND k.date = t.date",
+        "vg": "SELECT h.variant, h.block, h.code, h.w0, h.next_exec, r.pos, exp(sum(ln(1 + coalesce(r.ret, 0))) OVER (PARTITION BY h.variant, h.block, h.code ORDER BY r.pos)) AS g FROM vh h JOIN rets r ON r.code = h.code AND r.pos > h.exec_pos AND r.pos <= h.next_exec",
+        "vv": "SELECT variant, block, pos, sum(w0*g) + 1 - sum(w0) AS v, max(next_exec) AS next_exec FROM vg GROUP BY variant, block, pos",
+        "vr": "SELECT variant, pos, v / lag(v, 1, 1.0) OVER (PARTITION BY variant, block ORDER BY pos) - 1 AS gross FROM vv",
+        "ve": "SELECT g.variant, g.block + 1 AS block, g.code, g.w0*g.g/v.v AS w FROM vg g JOIN vv v ON v.variant = g.variant AND v.block = g.block AND v.pos = g.pos WHERE g.pos = g.next_exec",
+        "vd": "SELECT variant, block, code, coalesce(h.w0, 0) - coalesce(e.w, 0) AS dw FROM vh h FULL JOIN ve e USING (variant, block, code)",
+        "vb": f"SELECT k.variant, k.exec_pos, coalesce(sum(CASE WHEN dw > 0 THEN dw*{buy} ELSE -dw*{sell} END), 0) AS cost FROM vk k LEFT JOIN vd d ON d.variant = k.variant AND d.block = k.block GROUP BY k.variant, k.exec_pos",
+        "vy": "SELECT f.variant, c.pos, c.date, ln(1 + coalesce(g.gross, 0)) + ln(1 - coalesce(b.cost, 0)) AS l FROM (SELECT variant, min(exec_pos) AS lo FROM vk GROUP BY variant) f JOIN calendar c ON c.pos >= f.lo LEFT JOIN vr g ON g.variant = f.variant AND g.pos = c.pos LEFT JOIN vb b ON b.variant = f.variant AND b.exec_pos = c.pos",
+        "vl": "SELECT variant, pos, date, exp(l) - 1 AS net, sum(l) OVER (PARTITION BY variant ORDER BY pos) AS lw FROM vy",
+        "vp": "SELECT variant, max_by(lw, pos) AS log_wealth, min(exp(lw - greatest(hi, 0)) - 1) AS max_drawdown, avg(net)/stddev_samp(net)*sqrt(252.0) AS sharpe, avg(net)*252 AS ann_mean FROM (SELECT *, max(lw) OVER (PARTITION BY variant ORDER BY pos) AS hi FROM vl) z GROUP BY variant",
+    }
+
+
+def summary(d, by=("variant",)):
+    return A.perf_summary(d, "net", by).select(*by, F.log("wealth").alias("log_wealth"), "max_drawdown", "sharpe", "ann_mean")
+
+
 def top_book(t, n: int = 5, score: str = "amount", rates=RATES):
     m = month_scores(t).withColumn("p", X.place(score)).where(F.col("p") <= n).select(F.lit("a").alias("variant"), "date", "code")
     return B.ew_portfolio(m, t.month_ends.select(F.lit("a").alias("variant"), "date"), rets(t), t.calendar, rates)
@@ -58,16 +86,24 @@ def b4(t):
     return B.limit_blocked(m, blocks, flagged(t)).select("date", "code")
 
 
-@query("b5_fractional_target")
+FRAC = {
+    "fc": "SELECT *, coalesce(ret, 0) AS r, sum(chg) OVER (PARTITION BY code ORDER BY pos) AS seg FROM (SELECT *, CASE WHEN target <> lag(target) OVER (PARTITION BY code ORDER BY pos) THEN 1 ELSE 0 END AS chg FROM boxt) a",
+    "fg": "SELECT *, target*g/(1 - target + target*g) AS f FROM (SELECT *, exp(sum(CASE WHEN k = 1 THEN 0 ELSE ln(1 + r) END) OVER (PARTITION BY code, seg ORDER BY pos)) AS g FROM (SELECT *, row_number() OVER (PARTITION BY code, seg ORDER BY pos) AS k FROM fc) a) b",
+    "fn": "SELECT *, CASE WHEN chg = 1 THEN target - bf*(1 + r)/(1 + bf*r) ELSE 0 END AS traded FROM (SELECT *, coalesce(lag(f) OVER (PARTITION BY code ORDER BY pos), 0) AS bf FROM fg) a",
+    "fp": "SELECT *, bf*r AS gross, bf*r - CASE WHEN traded > 0 THEN traded*0.001 ELSE -traded*0.002 END AS net FROM fn",
+}
+
+
+@query("b5_fractional_target", "SELECT code, date, gross, traded, net FROM fp", "gross traded net", extra=BOX | FRAC)
 def b5(t):
     d = B.fractional_target(boxed(t), rates=RATES)
-    return d.select("code", "date", *(F.round(c, 6).alias(c) for c in ("gross", "traded", "net")))
+    return d.select("code", "date", "gross", "traded", "net")
 
 
-@query("b6_ew_excess")
+@query("b6_ew_excess", "SELECT date, avg(net - r) AS excess FROM fp JOIN (SELECT code, min(pos) AS lo, max(pos) AS hi FROM dense WHERE close IS NOT NULL GROUP BY code) a USING (code) WHERE pos BETWEEN lo AND hi GROUP BY date", "excess", extra=BOX | FRAC)
 def b6(t):
     d = B.fractional_target(boxed(t), rates=RATES).withColumn("alive", W.alive()).where("alive")
-    return d.groupBy("date").agg(F.round(F.avg(F.col("net") - F.coalesce("ret", F.lit(0.0))), 6).alias("excess"))
+    return d.groupBy("date").agg(F.avg(F.col("net") - F.coalesce("ret", F.lit(0.0))).alias("excess"))
 
 
 @query("b7_rotation", "SELECT d.pos, r.ret AS gross FROM (SELECT c.pos, (SELECT max_by(p.pick, p.pos) FROM pk p WHERE p.pos + 2 <= c.pos) AS held FROM calendar c) d JOIN rets r ON r.code = d.held AND r.pos = d.pos WHERE r.ret IS NOT NULL".replace("(SELECT c.pos, (SELECT max_by(p.pick, p.pos) FROM pk p WHERE p.pos + 2 <= c.pos) AS held FROM calendar c)", "(SELECT c.pos, max_by(p.pick, p.pos) AS held FROM calendar c JOIN pk p ON p.pos + 2 <= c.pos GROUP BY c.pos)"), "gross", extra=SCORES | {"pk": "SELECT c.pos, x.code AS pick FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY mom DESC, code) AS r FROM ms WHERE mom IS NOT NULL) x JOIN calendar c ON c.date = x.date WHERE r = 1"})
@@ -82,19 +118,21 @@ def b9(t):
     return t.index_series.withColumn("x", F.coalesce(W.moving_average_regime("close", 60, w), F.lit(1.0))).select("date", (F.col("close") * F.col("x")).alias("scaled"))
 
 
-@query("b10_sleeve_mix", "SELECT pos, sum(CASE WHEN code LIKE 'sh%' THEN 0.6 ELSE 0.4 END * coalesce(ret, 0)) AS ret FROM rets WHERE code IN ('sh.600004', 'sz.300006') GROUP BY pos", "ret")
+@query("b10_sleeve_mix", "SELECT pos, 0.6*coalesce(avg(CASE WHEN code LIKE 'sh%' THEN ret END), 0) + 0.4*coalesce(avg(CASE WHEN code LIKE 'sz%' THEN ret END), 0) AS ret FROM rets GROUP BY pos", "ret")
 def b10(t):
-    d = rets(t).where(F.col("code").isin("sh.600004", "sz.300006")).select(F.col("code").alias("sleeve"), "pos", "ret")
-    w = t.spark.createDataFrame([("sh.600004", 0.6), ("sz.300006", 0.4)], "sleeve string, w double")
-    return B.sleeve_mix(d, w, ret="ret")
+    """Two sleeves, each the mean return of all names of an exchange."""
+    d = rets(t).groupBy(F.substr("code", F.lit(1), F.lit(2)).alias("sleeve"), "pos").agg(F.avg("ret").alias("ret"))
+    return B.sleeve_mix(d, t.spark.createDataFrame([("sh", 0.6), ("sz", 0.4)], "sleeve string, w double"), ret="ret")
 
 
-@query("b11_parameter_sweep")
+@query("b11_parameter_sweep", "SELECT variant, count(*) AS days, avg(net) AS mean FROM vl GROUP BY variant", "mean", extra=SCORES | book_sql(
+    "SELECT variant, date, code FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY amount DESC, code) AS r FROM ms WHERE amount IS NOT NULL) a, (VALUES ('top3', 3), ('top5', 5), ('top10', 10)) v(variant, n) WHERE r <= n",
+    "SELECT variant, date FROM month_ends, (VALUES ('top3'), ('top5'), ('top10')) v(variant)"))
 def b11(t):
     v = t.spark.createDataFrame([("top3", 3), ("top5", 5), ("top10", 10)], "variant string, n int")
     m = month_scores(t).withColumn("p", X.place("amount")).crossJoin(F.broadcast(v)).where(F.col("p") <= F.col("n")).select("variant", "date", "code")
     sig = t.month_ends.crossJoin(F.broadcast(v.select("variant")))
-    return B.ew_portfolio(m, sig, rets(t), t.calendar, RATES)[0].groupBy("variant").agg(F.count("*").alias("days"), F.round(F.avg("net"), 6).alias("mean"))
+    return B.ew_portfolio(m, sig, rets(t), t.calendar, RATES)[0].groupBy("variant").agg(F.count("*").alias("days"), F.avg("net").alias("mean"))
 
 
 @query("b12_tier_feasibility", "SELECT tier, sum(CASE WHEN floor(tier*0.2/(close*100))*100 > 0 THEN 1 ELSE 0 END) AS afford, count(*) AS names FROM bars, (VALUES (10000.0), (100000.0), (1000000.0)) v(tier) GROUP BY tier", "tier")
@@ -116,7 +154,7 @@ def b15(t):
     return B.ledger(t.fills, t.marks)
 
 
-@query("b16_ledger_parity")
+@query("b16_ledger_parity", "SELECT max(abs(equity - other)) < 1e-4 AS equal, count(*) AS n FROM (SELECT a.account, d.date, 1e6 - coalesce(sum(f.shares*f.price + f.fee), 0) + coalesce(sum(f.shares*coalesce(m.close, 0)), 0) AS equity, 1e6 + coalesce(sum(f.shares*(coalesce(m.close, 0) - f.price) - f.fee), 0) AS other FROM (SELECT DISTINCT account FROM fills) a CROSS JOIN (SELECT DISTINCT date FROM marks) d JOIN fills f ON f.account = a.account AND f.date <= d.date LEFT JOIN marks m ON m.code = f.code AND m.date = d.date GROUP BY 1, 2) x")
 def b16(t):
     a = B.ledger(t.fills, t.marks).select("account", "date", "equity")
     f = t.fills.join(F.broadcast(t.marks.select(F.col("date").alias("day")).distinct()), F.col("date") <= F.col("day")).join(t.marks.select("code", F.col("date").alias("day"), "close"), ["code", "day"], "left")
@@ -129,10 +167,10 @@ def b17(t):
     return B.cost_basis(t.fills).select("account", "code", "shares", F.round("basis", 6).alias("basis"))
 
 
-@query("b18_stop_outcome")
+@query("b18_stop_outcome", "SELECT code, pos, count(fill) > 0 AS stopped, coalesce(min(row) FILTER (fill IS NOT NULL), max(row) FILTER (close IS NOT NULL)) AS exit_row, coalesce(arg_min(fill, row) FILTER (fill IS NOT NULL), arg_max(close, row) FILTER (close IS NOT NULL)) AS exit_price FROM (SELECT e.code, e.pos, r.pos AS row, r.close, CASE WHEN r.close <= e.close*(1 - 0.1) OR r.close >= e.close*(1 + 0.2) THEN r.close END AS fill FROM flags e JOIN dense r ON r.code = e.code AND r.pos BETWEEN e.pos + 1 AND e.pos + 20 WHERE e.flag = 1) x GROUP BY code, pos", "exit_price", extra=LIMITS)
 def b18(t):
     e = flagged(t).where("flag = 1").select("code", "pos", F.col("close").alias("basis"))
-    return B.stop_outcome(e, rets(t), StopSpec(0.1, 0.2), 20).withColumn("exit_price", F.round("exit_price", 6)).drop("basis")
+    return B.stop_outcome(e, rets(t), StopSpec(0.1, 0.2), 20).drop("basis")
 
 
 @query("b19_u5_target_changes", "SELECT code, 'entered' AS change FROM tg WHERE date = (SELECT max(date) FROM bk) AND code NOT IN (SELECT code FROM tg WHERE date = (SELECT max(date) FROM bk WHERE date < (SELECT max(date) FROM bk))) UNION ALL SELECT code, 'exited' AS change FROM tg WHERE date = (SELECT max(date) FROM bk WHERE date < (SELECT max(date) FROM bk)) AND code NOT IN (SELECT code FROM tg WHERE date = (SELECT max(date) FROM bk))", extra=SCORES | BOOK)

@@ -52,23 +52,27 @@ def e4(t):
     return cars(t).select("code", "pos", "horizon", "car", "n_days")
 
 
-@query("e5_frozen_log_car")
+FROZEN = {"lx": "SELECT code, pos, sum(ln(1 + greatest(coalesce(abn, 0), -0.999999))) OVER (PARTITION BY code ORDER BY pos) AS s FROM ab"}
+
+
+@query("e5_frozen_log_car", "SELECT h.horizon, count(*) AS n, avg(exp(b.s - a.s) - 1) AS mean FROM en n CROSS JOIN (VALUES (5), (20)) h(horizon) JOIN lx a ON a.code = n.code AND a.pos = n.entry_pos JOIN lx b ON b.code = n.code AND b.pos = least(n.entry_pos + h.horizon, (SELECT max(pos) FROM calendar)) GROUP BY h.horizon", "mean", extra=ABN | FROZEN)
 def e5(t):
     e, p = locks(t)
-    return E.frozen_log_car(e, p, [5, 20]).groupBy("horizon").agg(F.count("*").alias("n"), F.round(F.avg("car"), 6).alias("mean"))
+    return E.frozen_log_car(e, p, [5, 20]).groupBy("horizon").agg(F.count("*").alias("n"), F.avg("car").alias("mean"))
 
 
 OWN = {
     "ow": "SELECT code, date, close, row_number() OVER (PARTITION BY code ORDER BY date) AS pos FROM bars",
-    "pa": "SELECT e.code, e.pos, e.close AS p0, w.pos AS row, w.close FROM ow e JOIN ow w ON w.code = e.code AND w.pos BETWEEN e.pos + 1 AND e.pos + 20 WHERE e.pos % 50 = 0",
+    "pa": "SELECT e.code, e.pos, e.close AS p0, w.pos AS row, w.close FROM ow e JOIN ow w ON w.code = e.code AND w.pos BETWEEN e.pos + 1 AND e.pos + 20",
     "py": "SELECT code, pos, any_value(p0) AS p0, max_by(close, row) AS pn, min_by(close, row) FILTER (close <= 0.925*p0) AS f0, min_by(close, row) FILTER (close <= 0.85*p0) AS f1 FROM pa GROUP BY code, pos",
 }
 
 
 @query("e7_e8_pyramid_vs_lump", "SELECT code, pos, 0.999*pn/p0 - 1 AS lump, (0.999*pn/p0 + coalesce(0.999*pn/f0, 1) + coalesce(0.999*pn/f1, 1))/3 - 1 AS pyramid, 1 + CAST(f0 IS NOT NULL AS INT) + CAST(f1 IS NOT NULL AS INT) AS filled FROM py", "lump pyramid", extra=OWN)
 def e7(t):
+    """Every traded row as an entry."""
     own = t.bars.withColumn("pos", F.row_number().over(Window.partitionBy("code").orderBy("date"))).select("code", "pos", "close")
-    return E.pyramid_vs_lump(own.where("pos % 50 = 0").select("code", "pos"), own, 20, 0.001)
+    return E.pyramid_vs_lump(own.select("code", "pos"), own, 20, 0.001)
 
 
 LAD = REV | EPI | {

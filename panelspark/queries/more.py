@@ -117,7 +117,7 @@ def q16(t):
 
 @query("q21_pyramid_entry", "SELECT filled, count(*) AS n, avg(pyramid - lump) AS edge FROM (SELECT 0.999*pn/p0 - 1 AS lump, (0.999*pn/p0 + coalesce(0.999*pn/f0, 1) + coalesce(0.999*pn/f1, 1))/3 - 1 AS pyramid, 1 + CAST(f0 IS NOT NULL AS INT) + CAST(f1 IS NOT NULL AS INT) AS filled FROM py) x GROUP BY filled", "edge", extra={
     "ow": "SELECT code, date, close, row_number() OVER (PARTITION BY code ORDER BY date) AS pos FROM bars",
-    "pa": "SELECT e.code, e.pos, e.close AS p0, w.pos AS row, w.close FROM ow e JOIN ow w ON w.code = e.code AND w.pos BETWEEN e.pos + 1 AND e.pos + 20 WHERE e.pos % 50 = 0",
+    "pa": "SELECT e.code, e.pos, e.close AS p0, w.pos AS row, w.close FROM ow e JOIN ow w ON w.code = e.code AND w.pos BETWEEN e.pos + 1 AND e.pos + 20",
     "py": "SELECT code, pos, any_value(p0) AS p0, max_by(close, row) AS pn, min_by(close, row) FILTER (close <= 0.925*p0) AS f0, min_by(close, row) FILTER (close <= 0.85*p0) AS f1 FROM pa GROUP BY code, pos"})
 def q21(t):
     from panelspark.queries.events import e7

@@ -14,48 +14,21 @@ from panelspark.operators import stats as A
 from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
 from panelspark.queries import query
-from panelspark.queries.books import RATES
+from panelspark.queries.books import FRAC, RATES, SUMMARY, SUMMED, book_sql, summary
 from panelspark.queries.factors import LIMITS, SCORES, Z, blended, flagged, month_scores, rets
 from panelspark.queries.joins import w23
 from panelspark.sources import files
 
-SUMMARY = "log_wealth max_drawdown sharpe ann_mean"
-
-
-def book_sql(targets: str, signals: str, buy: float = RATES[0], sell: float = RATES[1]) -> dict[str, str]:
-    """Derived tables of a book by variant; vp is its summary. targets: (variant, date, code), signals: (variant, date)."""
-    return {
-        "vt": targets,
-        "vs": signals,
-        "vk": "SELECT variant, date, block, exec_pos, coalesce(lead(exec_pos) OVER (PARTITION BY variant ORDER BY exec_pos), last) AS next_exec FROM (SELECT s.variant, s.date, c.pos + 1 AS exec_pos, row_number() OVER (PARTITION BY s.variant ORDER BY c.pos) AS block, (SELECT max(pos) FROM calendar) AS last FROM vs s JOIN calendar c ON c.date = s.date) z WHERE exec_pos <= last",
-        "vh": "SELECT k.variant, k.block, t.code, k.exec_pos, k.next_exec, 1.0 / count(*) OVER (PARTITION BY k.variant, k.block) AS w0 FROM vt t JOIN vk k ON k.variant = t.variant AND k.date = t.date",
-        "vg": "SELECT h.variant, h.block, h.code, h.w0, h.next_exec, r.pos, exp(sum(ln(1 + coalesce(r.ret, 0))) OVER (PARTITION BY h.variant, h.block, h.code ORDER BY r.pos)) AS g FROM vh h JOIN rets r ON r.code = h.code AND r.pos > h.exec_pos AND r.pos <= h.next_exec",
-        "vv": "SELECT variant, block, pos, sum(w0*g) AS v, max(next_exec) AS next_exec FROM vg GROUP BY variant, block, pos",
-        "vr": "SELECT variant, pos, v / lag(v, 1, 1.0) OVER (PARTITION BY variant, block ORDER BY pos) - 1 AS gross FROM vv",
-        "ve": "SELECT g.variant, g.block + 1 AS block, g.code, g.w0*g.g/v.v AS w FROM vg g JOIN vv v ON v.variant = g.variant AND v.block = g.block AND v.pos = g.pos WHERE g.pos = g.next_exec",
-        "vd": "SELECT variant, block, code, coalesce(h.w0, 0) - coalesce(e.w, 0) AS dw FROM vh h FULL JOIN ve e USING (variant, block, code)",
-        "vb": f"SELECT k.variant, k.exec_pos, coalesce(sum(CASE WHEN dw > 0 THEN dw*{buy} ELSE -dw*{sell} END), 0) AS cost FROM vk k LEFT JOIN vd d ON d.variant = k.variant AND d.block = k.block GROUP BY k.variant, k.exec_pos",
-        "vy": "SELECT f.variant, c.pos, c.date, ln(1 + coalesce(g.gross, 0)) + ln(1 - coalesce(b.cost, 0)) AS l FROM (SELECT variant, min(exec_pos) AS lo FROM vk GROUP BY variant) f JOIN calendar c ON c.pos >= f.lo LEFT JOIN vr g ON g.variant = f.variant AND g.pos = c.pos LEFT JOIN vb b ON b.variant = f.variant AND b.exec_pos = c.pos",
-        "vl": "SELECT variant, pos, date, exp(l) - 1 AS net, sum(l) OVER (PARTITION BY variant ORDER BY pos) AS lw FROM vy",
-        "vp": "SELECT variant, max_by(lw, pos) AS log_wealth, min(exp(lw - greatest(hi, 0)) - 1) AS max_drawdown, avg(net)/stddev_samp(net)*sqrt(252.0) AS sharpe, avg(net)*252 AS ann_mean FROM (SELECT *, max(lw) OVER (PARTITION BY variant ORDER BY pos) AS hi FROM vl) z GROUP BY variant",
-    }
-
 
 def daily(t, targets, signals, rates=RATES):
     """Daily returns by variant, with their dates."""
     return B.ew_portfolio(targets.select("variant", "date", "code"), signals.select("variant", "date"), rets(t), t.calendar, rates)[0].join(F.broadcast(t.calendar), "pos")
 
 
-def summary(d, by=("variant",)):
-    return A.perf_summary(d, "net", by).select(*by, F.log("wealth").alias("log_wealth"), "max_drawdown", "sharpe", "ann_mean")
-
-
 def variants(t, rows, schema):
     return F.broadcast(t.spark.createDataFrame(rows, schema))  # a handful of rows
 
 
-SUMMED = f"variant, {', '.join(SUMMARY.split())}"
-
 # Books
 
 
@@ -328,17 +301,13 @@ def q17(t):
     return b.groupBy("change", "horizon").agg(F.sum("n").alias("n"), (F.sum("c") / F.sum("n")).alias("caar"), F.count("*").alias("batches"), A.t_of(x).alias("batch_t"), F.sum("d").alias("dead"), (F.sum("h") / F.sum("n")).alias("hit"))
 
 
-FRAC = {
+OWNBOX = {
     "fx": "SELECT *, close / lag(close) OVER (PARTITION BY code ORDER BY pos) - 1 AS ret, CASE WHEN count(close) OVER w >= 120 THEN CASE WHEN (close - min(close) OVER w) / nullif(max(close) OVER w - min(close) OVER w, 0) <= 0.1 THEN 1.0 WHEN (close - min(close) OVER w) / nullif(max(close) OVER w - min(close) OVER w, 0) >= 0.9 THEN 0.3 END END AS sig FROM ow WINDOW w AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)",
-    "ft": "SELECT code, date, pos, coalesce(ret, 0) AS r, coalesce(last_value(sig IGNORE NULLS) OVER (PARTITION BY code ORDER BY pos), 1.0) AS target FROM fx",
-    "fc": "SELECT *, sum(chg) OVER (PARTITION BY code ORDER BY pos) AS seg FROM (SELECT *, CASE WHEN target <> lag(target) OVER (PARTITION BY code ORDER BY pos) THEN 1 ELSE 0 END AS chg FROM ft) a",
-    "fg": "SELECT *, target*g/(1 - target + target*g) AS f FROM (SELECT *, exp(sum(CASE WHEN k = 1 THEN 0 ELSE ln(1 + r) END) OVER (PARTITION BY code, seg ORDER BY pos)) AS g FROM (SELECT *, row_number() OVER (PARTITION BY code, seg ORDER BY pos) AS k FROM fc) a) b",
-    "fn": "SELECT *, CASE WHEN chg = 1 THEN target - bf*(1 + r)/(1 + bf*r) ELSE 0 END AS traded FROM (SELECT *, coalesce(lag(f) OVER (PARTITION BY code ORDER BY pos), 0) AS bf FROM fg) a",
-    "fp": "SELECT *, bf*r AS gross, bf*r - CASE WHEN traded > 0 THEN traded*0.001 ELSE -traded*0.002 END AS net FROM fn",
+    "boxt": "SELECT code, date, pos, ret, coalesce(last_value(sig IGNORE NULLS) OVER (PARTITION BY code ORDER BY pos), 1.0) AS target FROM fx",
 }
 
 
-@query("q23_box_vs_hold", "SELECT code, count(*) AS days, count(*) FILTER (traded <> 0) AS trades, sum(ln(1 + r)) AS hold, sum(ln(1 + gross)) AS gross, sum(ln(1 + net)) AS net, avg(target) AS exposure, avg(net - r) * 252 AS excess FROM fp GROUP BY code", "hold gross net exposure excess", extra=OWN | FRAC)
+@query("q23_box_vs_hold", "SELECT code, count(*) AS days, count(*) FILTER (traded <> 0) AS trades, sum(ln(1 + r)) AS hold, sum(ln(1 + gross)) AS gross, sum(ln(1 + net)) AS net, avg(target) AS exposure, avg(net - r) * 252 AS excess FROM fp GROUP BY code", "hold gross net exposure excess", extra=OWN | OWNBOX | FRAC)
 def q23(t):
     """The box trader on each name's own rows, 120 of them before: log growth gross and net against holding, trades, exposure, yearly excess."""
     w = Window.partitionBy("code").orderBy("pos")
@@ -361,13 +330,6 @@ def w11(t):
     return t.index_series.select("series_id", "date", W.moving_average_regime("close", 200, Window.partitionBy("series_id").orderBy("date")).alias("regime"))
 
 
-@query("b10_exchange_sleeves", "SELECT pos, 0.6*coalesce(avg(CASE WHEN code LIKE 'sh%' THEN ret END), 0) + 0.4*coalesce(avg(CASE WHEN code LIKE 'sz%' THEN ret END), 0) AS ret FROM rets GROUP BY pos", "ret")
-def b10(t):
-    """Two sleeves, each the mean return of all names of an exchange."""
-    d = rets(t).groupBy(F.substr("code", F.lit(1), F.lit(2)).alias("sleeve"), "pos").agg(F.avg("ret").alias("ret"))
-    return B.sleeve_mix(d, t.spark.createDataFrame([("sh", 0.6), ("sz", 0.4)], "sleeve string, w double"), ret="ret")
-
-
 # Data sets
 
 
