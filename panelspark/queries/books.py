@@ -51,8 +51,8 @@ def book_sql(targets: str, signals: str, buy: float = RATES[0], sell: float = RA
     }
 
 
-def summary(d, by=("variant",)):
-    return A.perf_summary(d, "net", by).select(*by, F.log("wealth").alias("log_wealth"), "max_drawdown", "sharpe", "ann_mean")
+def summary(d, by=("variant",), ret: str = "net"):
+    return A.perf_summary(d, ret, by).select(*by, F.log("wealth").alias("log_wealth"), "max_drawdown", "sharpe", "ann_mean")
 
 
 def top_book(t, n: int = 5, score: str = "amount", rates=RATES):

@@ -338,10 +338,10 @@ def x18(t):
     return X.inverse_vol_weights(d).select("date", "code", "w")
 
 
-@query("x19_weight_cap")
+@query("x19_weight_cap", "SELECT date, code, CASE WHEN n*0.25 < 1 THEN w WHEN k < big THEN 0.25 ELSE w*(1 - big*0.25)/rest END AS w FROM (SELECT *, max(CASE WHEN k = big THEN s END) OVER (PARTITION BY date) AS rest FROM (SELECT *, min(CASE WHEN w*(1 - k*0.25)/s <= 0.25 + 1e-12 THEN k END) OVER (PARTITION BY date) AS big FROM (SELECT date, code, w, row_number() OVER (PARTITION BY date ORDER BY w DESC, code) - 1 AS k, count(*) OVER (PARTITION BY date) AS n, sum(w) OVER (PARTITION BY date ORDER BY w DESC, code ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS s FROM (SELECT date, code, amount / sum(amount) OVER (PARTITION BY date) AS w FROM bars) a) b) c) d", "w")
 def x19(t):
     d = t.bars.withColumn("w", X.basket_weights("amount"))
-    return X.weight_cap(d).select("date", "code", F.round("w", 9).alias("w"))
+    return X.weight_cap(d).select("date", "code", "w")
 
 
 @query("x20_basket_weights", "SELECT date, code, amount / sum(amount) OVER (PARTITION BY date) AS w, 1.0 / count(*) OVER (PARTITION BY date) AS equal FROM bars", "w equal")

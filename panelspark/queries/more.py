@@ -12,11 +12,11 @@ from panelspark.operators import stats as A
 from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
 from panelspark.queries import query
-from panelspark.queries.books import BOOK, top_book
+from panelspark.queries.books import BOOK, SUMMARY, SUMMED, book_sql, top_book
 from panelspark.queries.events import abnormal
-from panelspark.queries.factors import IC, LIMITS, REV, SCORES, month_scores, rets, series
+from panelspark.queries.factors import IC, LIMITS, REV, SCORES, Z, month_scores, rets, series
 from panelspark.queries.stats import IXR, ixr
-from panelspark.queries.studies import book, report
+from panelspark.queries.studies import DRIFT, MONTHLY, book, drift_sql, report
 
 
 @query("a26_pull_health", "SELECT avg(CASE WHEN n >= 10 THEN 1.0 ELSE 0.0 END) AS healthy, count(*) AS names FROM (SELECT code, count(*) AS n FROM bars GROUP BY code) x", "healthy")
@@ -79,10 +79,14 @@ def e10(t):
     return J.asof_join(a, i, ["series_id"], "end", "date").select("code", "ex_date", (F.col("close") / F.col("c0")).alias("growth"))
 
 
-@query("q3_turnstd_blend")
+@query("q3_turnstd_blend", f"SELECT {SUMMED} FROM vp", SUMMARY, extra=SCORES | Z | {
+    "tq": "SELECT date, quantile_cont(-turn, 0.01) AS t1, quantile_cont(-turn, 0.99) AS t9 FROM ms GROUP BY date",
+    "tw": "SELECT ms.date, ms.code, CASE WHEN turn IS NOT NULL THEN least(greatest(-turn, t1), t9) END AS c FROM ms JOIN tq ON tq.date = ms.date",
+    "tz": "SELECT date, code, CASE WHEN stddev_samp(c) OVER w > 1e-9 * abs(avg(c) OVER w) THEN (c - avg(c) OVER w) / stddev_samp(c) OVER w END AS zt FROM tw WINDOW w AS (PARTITION BY date)",
+} | book_sql("SELECT 'a' AS variant, date, code FROM (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY sc DESC, code) AS p FROM (SELECT z.date, z.code, CASE WHEN ze IS NOT NULL OR zt IS NOT NULL THEN round((coalesce(ze, 0) + 0.5*coalesce(zt, 0)) / (CASE WHEN ze IS NULL THEN 0 ELSE 1 END + CASE WHEN zt IS NULL THEN 0 ELSE 0.5 END), 9) END AS sc FROM zz z JOIN tz ON tz.date = z.date AND tz.code = z.code) a WHERE sc IS NOT NULL) b WHERE p <= 5", MONTHLY))
 def q3(t):
     s = X.standardize(X.standardize(month_scores(t).withColumn("ts", -F.col("turn")), "ts", "zt"), "ey", "ze")
-    return report(book(t, s.withColumn("sc", X.blend(["ze", "zt"], [1.0, 0.5])), "sc"))
+    return report(book(t, s.withColumn("sc", F.round(X.blend(["ze", "zt"], [1.0, 0.5]), 9)), "sc"))
 
 
 @query("q5_quality_concentration", "SELECT avg(h) AS hhi, avg(m) AS top_share FROM (SELECT date, sum(s*s) AS h, max(s) AS m FROM (SELECT date, k / sum(k) OVER (PARTITION BY date) AS s FROM (SELECT date, coalesce(bucket, '<none>') AS b, count(*) AS k FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY ey DESC, code) AS r FROM ms WHERE ey IS NOT NULL) x JOIN industry USING (code) WHERE r <= 5 GROUP BY 1, 2) y) z GROUP BY date) w", "hhi top_share", extra=SCORES)
@@ -95,7 +99,9 @@ def q6(t):
     return X.rank_ic(month_scores(t).withColumn("sz", -F.col("amount")), "sz", "fwd").select("date", "ic")
 
 
-@query("q10_cadence")
+@query("q10_cadence", f"SELECT {SUMMED} FROM vp", SUMMARY, extra=SCORES | book_sql(
+    "SELECT variant, a.date, code FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY ey DESC, code) AS p FROM ms WHERE ey IS NOT NULL) a JOIN vs s ON s.date = a.date WHERE p <= 5",
+    "SELECT variant, date FROM month_ends, (VALUES ('M'), ('Q')) v(variant) WHERE variant = 'M' OR quarter(date) * 3 = month(date)"))
 def q10(t):
     """Monthly and quarterly rebalances of one book, in one job."""
     m = t.month_ends.withColumn("q", F.quarter("date") * 3 == F.month("date"))
@@ -125,11 +131,17 @@ def q21(t):
     return e7(t).groupBy("filled").agg(F.count("*").alias("n"), F.avg(F.col("pyramid") - F.col("lump")).alias("edge"))
 
 
-@query("q22_cyclical_pe")
+@query("q22_cyclical_pe", f"SELECT {SUMMED} FROM vp", SUMMARY, extra={
+    "pq": "SELECT code, date, close, round(pe_ttm, 4) AS pe, pos FROM dense",
+    "pw": "SELECT *, CASE WHEN count(CASE WHEN pe > 0 THEN pe END) OVER w >= 5 THEN round(quantile_cont(CASE WHEN pe > 0 THEN pe END, 0.7) OVER w, 6) END AS q70, CASE WHEN count(CASE WHEN pe > 0 THEN pe END) OVER w >= 5 THEN round(quantile_cont(CASE WHEN pe > 0 THEN pe END, 0.3) OVER w, 6) END AS q30 FROM pq WINDOW w AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)",
+    "ph": "SELECT code, date, close, coalesce(last_value(CASE WHEN pe > 0 AND pe <= q30 THEN 0 WHEN pe < 0 OR pe >= q70 THEN 1 END IGNORE NULLS) OVER (PARTITION BY code ORDER BY pos), 0) AS held FROM pw",
+} | book_sql(
+    "SELECT variant, date, code FROM ph JOIN month_ends USING (date), (VALUES ('inverse'), ('all')) v(variant) WHERE close IS NOT NULL AND (variant = 'all' OR held = 1)",
+    "SELECT variant, date FROM month_ends, (VALUES ('inverse'), ('all')) v(variant)"))
 def q22(t):
     """Held on a high or negative multiple, sold on a low one, against holding all."""
     pos = F.when(F.col("pe_ttm") > 0, F.col("pe_ttm"))
-    d = rets(t).withColumn("q70", W.rolling_quantile(pos, 0.7, 60, 5)).withColumn("q30", W.rolling_quantile(pos, 0.3, 60, 5))
+    d = rets(t).withColumn("pe_ttm", F.round("pe_ttm", 4)).withColumn("q70", F.round(W.rolling_quantile(pos, 0.7, 60, 5), 6)).withColumn("q30", F.round(W.rolling_quantile(pos, 0.3, 60, 5), 6))
     d = d.withColumn("held", W.state_hold((F.col("pe_ttm") < 0) | (F.col("pe_ttm") >= F.col("q70")), (F.col("pe_ttm") > 0) & (F.col("pe_ttm") <= F.col("q30"))))
     m = d.join(F.broadcast(t.month_ends), "date").where("held = 1 and close is not null").select(F.lit("inverse").alias("variant"), "date", "code")
     a = d.join(F.broadcast(t.month_ends), "date").where("close is not null").select(F.lit("all").alias("variant"), "date", "code")
@@ -137,28 +149,34 @@ def q22(t):
     return report(B.ew_portfolio(m.unionAll(a), sig, rets(t), t.calendar, (0.001, 0.002))[0].join(F.broadcast(t.calendar), "pos"))
 
 
-@query("q28_anchor_quintiles")
+@query("q28_anchor_quintiles", "SELECT q, count(*) AS n_periods, avg(m) AS mean, avg(m)/(stddev_samp(m)/sqrt(count(*))) AS t FROM (SELECT q, date_trunc('month', date) AS k, avg(fwd) AS m FROM (SELECT date, fwd, CASE WHEN n >= 5 THEN greatest(0, CAST(ceil(r*5.0/greatest(n - 1, 1)) AS INT) - 1) END AS q FROM (SELECT s.date, s.fwd, row_number() OVER (PARTITION BY s.date ORDER BY dev, s.code) - 1 AS r, count(*) OVER (PARTITION BY s.date) AS n FROM ms s JOIN dv ON dv.date = s.date AND dv.code = s.code WHERE s.fwd IS NOT NULL AND dev IS NOT NULL) a) b WHERE q IS NOT NULL GROUP BY 1, 2) c GROUP BY q", "mean t", extra=SCORES | {
+    "dv": "SELECT b.code, b.date, b.close / (f.c0 * pow(1 + r.m, (b.date - f.d0) / 365.25)) - 1 AS dev FROM bars b ASOF JOIN (SELECT code, pub_date, avg(roe) OVER (PARTITION BY code ORDER BY pub_date) AS m FROM annual_reports) r ON r.code = b.code AND r.pub_date <= b.date JOIN (SELECT code, min(date) AS d0, min_by(close, date) AS c0 FROM bars GROUP BY code) f ON f.code = b.code",
+})
 def q28(t):
     from panelspark.queries.joins import w27
 
     d = w27(t).join(month_scores(t), ["date", "code"]).where("fwd is not null").withColumn("q", X.quantile_bin("dev", 5))
-    return A.clustered_t(d.where("q is not null"), "fwd", by=("q",)).select("q", "n_periods", F.round("mean", 6).alias("mean"), F.round("t", 5).alias("t"))
+    return A.clustered_t(d.where("q is not null"), "fwd", by=("q",)).select("q", "n_periods", "mean", "t")
 
 
 def drift(t, events, horizons=(20, 60)):
     ev = J.next_trading_row(events, t.calendar, "pub_date")
     c = E.event_cars(ev, abnormal(t), list(horizons)).withColumn("date", F.col("pub_date"))
-    return A.event_summary(c, "car", ("horizon",)).select("horizon", "n", *(F.round(k, 5).alias(k) for k in ("mean", "median", "t_event", "share")))
+    return A.event_summary(c, "car", ("horizon",)).select("horizon", "n", "mean", "median", "t_event", "share")
 
 
-@query("q29_roe_decline")
+FELL = "SELECT code, pub_date FROM (SELECT code, pub_date, roe, avg(roe) OVER (PARTITION BY code ORDER BY pub_date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS m, row_number() OVER (PARTITION BY code ORDER BY pub_date) AS k FROM annual_reports) x WHERE k > 3 AND m >= 0.11 AND m - roe >= 0.005"
+TURNED = "SELECT code, min(pub_date) AS pub_date FROM (SELECT code, pub_date, capex, max(capex) OVER w AS hi, min(capex) OVER w AS lo, count(*) OVER w AS n FROM annual_reports WINDOW w AS (PARTITION BY code ORDER BY pub_date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) x WHERE n = 3 AND lo > 0 AND capex <= 0.9*hi GROUP BY code"
+
+
+@query("q29_roe_decline", DRIFT, "mean median t_event share", extra=drift_sql(FELL))
 def q29(t):
     from panelspark.queries.joins import w25
 
     return drift(t, w25(t))
 
 
-@query("q32_capex_transition")
+@query("q32_capex_transition", DRIFT, "mean median t_event share", extra=drift_sql(TURNED))
 def q32(t):
     from panelspark.queries.joins import w26
 
