@@ -6,6 +6,8 @@ within that distance of it (the distance to the bisecting plane of two centroids
 asymmetric distances to the codes come from tables of query part against codeword; each vector keeps its own
 quantisation error, so a code further than distance plus error is no neighbour for certain. The rest is ranked by exact cosine.
 
+A pair of vectors from different lists meets once, in the later list, and both are credited.
+
 Equal vectors of a label count as one with a multiplicity, so copies are never paired. Lists are cut into blocks, and each pair of
 blocks meets in a task of its own. Tasks give back counts and a spanning forest of the links, not all pairs.
 
@@ -21,9 +23,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +37,12 @@ from panelspark.llm.graph import components
 #: Vectors that centroids and codewords are fitted on, at most about.
 SAMPLE_ROWS = 20_000
 LISTS, SUBSPACES, CODEWORDS = 64, 8, 64
+#: Lists grow as the square root of the vectors up to this many, so that a sample of SAMPLE_ROWS fits about 20 vectors a list.
+MOST_LISTS = 1024
 #: Vectors of a list that are data, or queries, in one task at most about.
 BLOCK = 2048
+#: Vectors that are placed at once: their distances to all centroids are held in memory.
+STEP = 2048
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -79,11 +87,15 @@ class Quantiser:
         return near, codes, np.sqrt(((r - back) ** 2).sum(axis=1))
 
     def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) for each list whose cell comes within `radius` of the row."""
+        """(row, list) for the row's own list and each later one whose cell comes within `radius` of it.
+
+        Two rows within the radius of each other each reach the other's cell, so the one of the earlier list finds the pair.
+        """
         near, d = nearest(x, self.centroids)
         apart = np.sqrt(nearest(self.centroids, self.centroids)[1])[near]
         plane = (d - d[np.arange(len(x)), near][:, None]) / np.maximum(2 * apart, 1e-12)
         ok = (plane <= radius + 1e-6) | (apart < 1e-9)
+        ok &= np.arange(len(self.centroids))[None, :] > near[:, None]
         ok[np.arange(len(x)), near] = True
         return np.nonzero(ok)
 
@@ -142,13 +154,14 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     picked = bounded(classes, "rep", SAMPLE_ROWS).select("v").toArrow().column("v")
     if not len(picked):
         return alone
-    model = spark.sparkContext.broadcast(Quantiser.fit(unit_rows(picked, width)[0]))  # LISTS + SUBSPACES * CODEWORDS vectors
+    lists = min(max(LISTS, isqrt(classes.count())), MOST_LISTS)
+    model = spark.sparkContext.broadcast(Quantiser.fit(unit_rows(picked, width)[0], lists))  # MOST_LISTS + SUBSPACES * CODEWORDS vectors at most
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = model.value
-        for b in batches:
-            if len(b):
+        for whole in batches:
+            for b in (whole.slice(lo, STEP) for lo in range(0, len(whole), STEP)):
                 x = unit_rows(b.column(2), width)[0]
                 lists, codes, error = q.encode(x)
                 r, to = q.probes(x, radius)
@@ -158,21 +171,22 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     kind = classes.schema["label"].dataType.simpleString()
     indexed = materialize(classes.mapInArrow(place, f"rep long, label {kind}, v array<double>, copies long, list int, codes binary, error double, probes array<int>"), "index")
     block = lambda n: F.pmod(F.xxhash64("rep", F.lit(n)), F.col(n)).cast("int")
-    queries = indexed.select("rep", "label", "v", "copies", F.explode("probes").alias("list"))
+    queries = indexed.select("rep", "label", "v", "copies", F.col("list").alias("own"), F.explode("probes").alias("list"))
     sizes = (
         indexed.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nd"))
         .join(queries.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nq")), ["label", "list"])
     )
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     none = F.lit(None)
-    data = indexed.join(sizes, ["label", "list"]).withColumn("d", block("nd")).withColumn("q", every("nq")).select("label", "list", "d", "q", "rep", "v", "copies", "codes", "error")
-    asked = queries.join(sizes, ["label", "list"]).withColumn("q", block("nq")).withColumn("d", every("nd")).select("label", "list", "d", "q", "rep", "v", "copies", none.cast("binary").alias("codes"), none.cast("double").alias("error"))
+    data = indexed.join(sizes, ["label", "list"]).withColumn("d", block("nd")).withColumn("q", every("nq")).select("label", "list", "d", "q", "rep", "v", "copies", none.cast("int").alias("own"), "codes", "error")
+    asked = queries.join(sizes, ["label", "list"]).withColumn("q", block("nq")).withColumn("d", every("nd")).select("label", "list", "d", "q", "rep", "v", "copies", "own", none.cast("binary").alias("codes"), none.cast("double").alias("error"))
 
     def meet(t: pa.Table) -> pa.Table:
-        """Links of this block's queries to its data: how many vectors each query links with, and a spanning forest."""
+        """Links of this block's queries to its data: how many vectors each links with, and a spanning forest; data of the queries' own list ask for themselves."""
         q, which = model.value, t.column("list")[0].as_py()
         is_data = np.asarray(t.column("codes").is_valid())
         x, ids, copies = unit_rows(t.column("v"), width)[0], t.column("rep").to_numpy(), t.column("copies").to_numpy()
+        other = np.asarray(pc.fill_null(pc.not_equal(t.column("own"), which), False))
         d, a = np.flatnonzero(is_data), np.flatnonzero(~is_data)
         e = np.zeros(0, np.int64)
         out_a, out_b, out_n = [e], [e], [e]
@@ -185,8 +199,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                 i, j = part[i], d[j]
                 ok = (ids[i] != ids[j]) & (np.einsum("ij,ij->i", x[i], x[j]) >= cosine)
                 i, j = i[ok], j[ok]
-                own, back = np.unique(i, return_inverse=True)
-                out_a.append(ids[own]), out_b.append(ids[own]), out_n.append(np.bincount(back, copies[j], len(own)).astype(np.int64))
+                apart = other[i]
+                got, linked = np.concatenate([i, j[apart]]), np.concatenate([j, i[apart]])
+                one, back = np.unique(got, return_inverse=True)
+                out_a.append(ids[one]), out_b.append(ids[one]), out_n.append(np.bincount(back, copies[linked], len(one)).astype(np.int64))
                 f = forest(i, j, len(ids))
                 out_a.append(ids[i[f]]), out_b.append(ids[j[f]]), out_n.append(np.zeros(len(f), np.int64))
         return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "n": np.concatenate(out_n)})
