@@ -111,7 +111,9 @@ class Quantiser:
 def unit_rows(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of length 1 in double precision, and which rows have one."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    x = np.array([v if v is not None and len(v) == width and None not in v else [np.nan] * width for v in col.to_pylist()], np.float64).reshape(len(col), width)
+    fits = pc.fill_null(pc.equal(pc.list_value_length(col), width), False)
+    x = np.full((len(col), width), np.nan)
+    x[np.asarray(fits)] = pc.list_flatten(col.filter(fits)).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)  # null parts become NaN
     with np.errstate(invalid="ignore", over="ignore"):
         big = np.abs(x).max(axis=1, keepdims=True) if width else np.zeros((len(x), 1))
         ok = np.isfinite(big[:, 0]) & (big[:, 0] > 0) & np.isfinite(x).all(axis=1)
