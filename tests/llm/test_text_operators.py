@@ -252,6 +252,21 @@ def test_vectors_against_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 906))
 
 
+def test_probes_of_the_earlier_list_find_every_pair():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8))
+    x[200:] = x[:200] + rng.normal(size=(200, 8)) * 0.06
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q = pq.Quantiser.fit(x, 24)
+    lists, probes = q.encode(x)[0], set(zip(*map(list, q.probes(x, 0.2)), strict=True))
+    near = [(i, j) for i in range(400) for j in range(i) if np.linalg.norm(x[i] - x[j]) <= 0.2]
+    assert any(lists[i] != lists[j] for i, j in near)
+    for i, j in near:
+        i, j = (i, j) if lists[i] <= lists[j] else (j, i)
+        assert (i, lists[j]) in probes
+    assert all(to >= lists[i] for i, to in probes)
+
+
 def test_decontamination_finds_near_items_and_leaves_the_rest(spark):
     rng = random.Random(6)
     items = [prose(rng, n) for n in (15, 30, 59, 3)] + [None, ""]
