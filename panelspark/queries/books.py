@@ -40,7 +40,7 @@ def book_sql(targets: str, signals: str, buy: float = RATES[0], sell: float = RA
         "vk": "SELECT variant, date, block, exec_pos, coalesce(lead(exec_pos) OVER (PARTITION BY variant ORDER BY exec_pos), last) AS next_exec FROM (SELECT s.variant, s.date, c.pos + 1 AS exec_pos, row_number() OVER (PARTITION BY s.variant ORDER BY c.pos) AS block, (SELECT max(pos) FROM calendar) AS last FROM vs s JOIN calendar c ON c.date = s.date) z WHERE exec_pos <= last",
         "vh": f"SELECT k.variant, k.block, t.code, k.exec_pos, k.next_exec, {f't.{weight}' if weight else '1.0 / count(*) OVER (PARTITION BY k.variant, k.block)'} AS w0 FROM vt t JOIN vk k ON k.variant = t.variant AND k.date = t.date",
         "vg": "SELECT h.variant, h.block, h.code, h.w0, h.next_exec, r.pos, exp(sum(ln(1 + coalesce(r.ret, 0))) OVER (PARTITION BY h.variant, h.block, h.code ORDER BY r.pos)) AS g FROM vh h JOIN rets r ON r.code = h.code AND r.pos > h.exec_pos AND r.pos <= h.next_exec",
-        "vv": "SELECT variant, block, pos, sum(w0*g) + 1 - sum(w0) AS v, max(next_exec) AS next_exec FROM vg GROUP BY variant, block, pos",
+        "vv": "SELECT variant, block, pos, sum(w0*g) + (1 - sum(w0)) AS v, max(next_exec) AS next_exec FROM vg GROUP BY variant, block, pos",
         "vr": "SELECT variant, pos, v / lag(v, 1, 1.0) OVER (PARTITION BY variant, block ORDER BY pos) - 1 AS gross FROM vv",
         "ve": "SELECT g.variant, g.block + 1 AS block, g.code, g.w0*g.g/v.v AS w FROM vg g JOIN vv v ON v.variant = g.variant AND v.block = g.block AND v.pos = g.pos WHERE g.pos = g.next_exec",
         "vd": "SELECT variant, block, code, coalesce(h.w0, 0) - coalesce(e.w, 0) AS dw FROM vh h FULL JOIN ve e USING (variant, block, code)",
