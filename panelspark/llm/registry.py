@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.llm import bpe, decontam, langid, minhash, pii, pq, sharding, substring, suffix, toxicity
+from panelspark.llm import bpe, decontam, langid, minhash, mixing, pii, pq, sharding, substring, suffix, toxicity
 
-MODULES = (langid, bpe, toxicity, decontam, substring, suffix, sharding, pii, minhash, pq)
+MODULES = (langid, bpe, toxicity, decontam, substring, suffix, sharding, pii, minhash, pq, mixing)
 
 
 def queries() -> dict:
