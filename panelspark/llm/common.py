@@ -155,3 +155,31 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
         out = np.minimum(out[: len(out) - step], out[step:])
         have += step
     return out
+
+
+def strings(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The runs [start, end) of UTF-8 bytes as a column of strings."""
+    off = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    body = raw[np.repeat(start - off[:-1], end - start) + np.arange(off[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(body.tobytes())]).cast(pa.string())
+
+
+#: Bits of a map of hashes at most.
+MOST_BITS = 1 << 26
+
+
+def hash_bits(hashes: DataFrame, most: int = MOST_BITS) -> np.ndarray:
+    """Bitmap of a column `hash`, of at most `most` bits however many there are. Spark puts its words together, so at most most / 64 rows arrive here."""
+    n = hashes.distinct().count()
+    width = min(most, 1 << max(10, int(n * 64 - 1).bit_length() if n else 0))
+    at = F.shiftright(F.col("hash").bitwiseAND(width - 1), 6).cast("int").alias("at")
+    w = hashes.select(at, F.expr("shiftleft(1L, CAST(hash & 63 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(width // 64, np.uint64)
+    out[w.column("at").to_numpy()] = w.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def has_bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has each hash: always for those it was made of, and for few others."""
+    bit = h & np.uint64(len(bits) * 64 - 1)
+    return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.llm import bpe, decontam, langid, minhash, mixing, pii, pq, search, sharding, substring, suffix, toxicity
+from panelspark.llm import bpe, decontam, langid, minhash, mixing, phrases, pii, pq, search, sharding, substring, suffix, toxicity
 
-MODULES = (langid, bpe, toxicity, decontam, substring, suffix, sharding, pii, minhash, pq, mixing, search)
+MODULES = (langid, bpe, toxicity, decontam, substring, suffix, sharding, pii, minhash, pq, phrases, mixing, search)
 
 
 def queries() -> dict:

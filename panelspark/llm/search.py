@@ -10,7 +10,7 @@ After each stage the tenth best score so far of an item is a bound that its resu
 when what it has and all that later owners can add at most stay below the bound; and where all that is left
 stays below it, an owner opens no further accumulators. Both are exact: nothing that could rank is lost, ties included.
 
-Which documents' words are kept for the lists is told by a bitmap of the items' term hashes, at most BITS bits whatever the number of items; what it
+Which documents' words are kept for the lists is told by a bitmap of the items' term hashes, at most 8 MB whatever the number of items; what it
 lets through besides falls out when lists meet the terms themselves.
 
 Defined results: rows that share an item_id are one item with the terms of all; null texts have no terms; an item without
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ALNUM, LOWER, materialize, prefix_hash, span_hash, steps, text_bytes, words
+from panelspark.llm.common import ALNUM, LOWER, has_bit, hash_bits, materialize, prefix_hash, span_hash, steps, strings, text_bytes, words
 
 #: Results of an item.
 TOP = 10
@@ -39,8 +39,6 @@ BLOCK_DOCS, BLOCK_BYTES = 4096, 1 << 26
 BUNDLE_TERMS, BUNDLE_ITEMS = 16384, 512
 #: Weights below which a term goes to the next owner.
 OWNERS = (6900, 4100, 2000)
-#: Bits of the map of asked terms at most.
-BITS = 1 << 26
 
 
 def spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,26 +55,13 @@ def item_terms(items: DataFrame, key: str, text: str) -> DataFrame:
             raw, off = text_bytes(batch.column(1))
             raw = LOWER[raw]
             start, end, h, first = spans(raw, off)
-            body = raw.tobytes()
             row = np.repeat(np.arange(len(batch)), np.diff(first))
-            terms = pa.array([body[i:j].decode() for i, j in zip(start.tolist(), end.tolist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), terms, pa.array(h.view(np.int64))], ["item_id", "term", "hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), strings(raw, start, end), pa.array(h.view(np.int64))], ["item_id", "term", "hash"])
 
     d = items.select(F.col(key).alias("item_id"), F.col(text).alias("text"))
     return d.mapInArrow(run, f"item_id {d.schema['item_id'].dataType.simpleString()}, term string, hash long")
 
 
-def asked_bits(terms: DataFrame) -> np.ndarray:
-    """Bitmap of the hashes of terms (term, hash); its words are put together in Spark, so at most BITS / 64 rows arrive here."""
-    n = terms.select("hash").distinct().count()
-    width = min(BITS, 1 << max(10, int(n * 64 - 1).bit_length() if n else 0))
-    bit = F.col("hash").bitwiseAND(width - 1)
-    w = terms.select(F.shiftright(bit, 6).cast("int").alias("at"), F.expr("shiftleft(1L, CAST(hash & 63 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(width // 64, np.uint64)
-    out[w.column("at").to_numpy()] = w.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
 def inverted(docs: DataFrame, bits: np.ndarray, key: str, text: str) -> DataFrame:
     """The index: for each block a row with null term (ids, documents with terms, terms), and a row (block, term, df, most, list) for each term whose hash `bits` has.
 
@@ -87,7 +72,6 @@ def inverted(docs: DataFrame, bits: np.ndarray, key: str, text: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, number = known.value, TaskContext.get().partitionId() << 32
-        mask = np.uint64(len(table) * 64 - 1)
 
         def flush() -> pa.RecordBatch:
             doc, h, n = (np.concatenate(x) for x in (at, hashes, lengths))
@@ -115,8 +99,7 @@ def inverted(docs: DataFrame, bits: np.ndarray, key: str, text: str) -> DataFram
                 raw, off = text_bytes(part.column(1))
                 raw = LOWER[raw]
                 start, end, h, first = spans(raw, off)
-                bit = h & mask
-                hit = np.flatnonzero((table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+                hit = np.flatnonzero(has_bit(table, h))
                 row = np.repeat(np.arange(len(part)), np.diff(first))
                 at.append(row[hit] + count)
                 hashes.append(h[hit])
@@ -220,7 +203,7 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     named = materialize(terms.groupBy("item_id").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("item"), "item_id", "n"), "items")
     count, pairs = named.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bundles = max(1, -(-pairs // BUNDLE_TERMS), -(-count // BUNDLE_ITEMS))
-    index = materialize(inverted(docs, asked_bits(terms), key, text), "index")
+    index = materialize(inverted(docs, hash_bits(terms.select("hash")), key, text), "index")
     blocks = index.where("term IS NULL").select("block", "df", "most", F.col("list").alias("ids"))
     n, total = blocks.agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("most"), F.lit(0))).first()
     per = index.where("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df"), F.max("most").alias("most"))
