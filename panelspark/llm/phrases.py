@@ -271,15 +271,20 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""WITH pc AS (SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)),
-ws AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pc),
-g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM ws, (VALUES (1), (2), (3), (4)) v(k), unnest(range(1, len(w) - k + 2)) t(i)),
-f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+ws AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pc),
+wd AS (SELECT pid, lang, unnest(w) AS x, generate_subscripts(w, 1) AS pos FROM ws),
+nx AS (SELECT lang, x, lead(x, 1) OVER p AS x2, lead(x, 2) OVER p AS x3, lead(x, 3) OVER p AS x4 FROM wd WINDOW p AS (PARTITION BY pid ORDER BY pos)),
+g AS (SELECT lang, 1 AS k, x AS phrase FROM nx UNION ALL SELECT lang, 2, x || ' ' || x2 FROM nx UNION ALL SELECT lang, 3, x || ' ' || x2 || ' ' || x3 FROM nx UNION ALL SELECT lang, 4, x || ' ' || x2 || ' ' || x3 || ' ' || x4 FROM nx),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g WHERE phrase IS NOT NULL GROUP BY lang, k, phrase),
 nn AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {LEAST_COUNT}),
-cut AS (SELECT lang, phrase, a, i, array_to_string(w[1:i], ' ') AS x, array_to_string(w[i + 1:], ' ') AS y FROM c, unnest(range(1, k)) t(i)),
+each AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS i FROM c),
+cut AS MATERIALIZED (SELECT lang, phrase, a, i, array_to_string(w[1:i], ' ') AS x, array_to_string(w[i + 1:], ' ') AS y FROM each),
 sc AS (SELECT cut.*, lf.f AS l, rf.f AS r, CAST((2000000::HUGEINT * a) // (lf.f + rf.f) AS BIGINT) AS score FROM cut JOIN f lf ON lf.lang = cut.lang AND lf.phrase = x JOIN f rf ON rf.lang = cut.lang AND rf.phrase = y),
 worst AS (SELECT lang, phrase, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS o FROM sc) WHERE o = 1),
-inn AS (SELECT lang, array_to_string(w[b : b + m - 1], ' ') AS phrase, max(a) AS around FROM c, unnest(range(2, k)) t(m), unnest(range(1, k - m + 2)) u(b) GROUP BY ALL),
+longer AS (SELECT lang, a, k, w, unnest(range(2, k)) AS m FROM c WHERE k > 2),
+inside AS (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS b FROM longer),
+inn AS (SELECT lang, array_to_string(w[b : b + m - 1], ' ') AS phrase, max(a) AS around FROM inside GROUP BY ALL),
 kept AS (SELECT worst.* FROM worst LEFT JOIN inn USING (lang, phrase) WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a)
 SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN nn USING (lang) WHERE rank <= {TOP}"""
 
