@@ -209,7 +209,7 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     per = index.where("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df"), F.max("most").alias("most"))
     w = F.floor(1000 * F.ln(F.lit(2.0 * n + 2) / (2 * F.col("df") + 1)))
     bound = F.expr("w * ((1000000000 * most) div (1000 * most + 80))")  # a document's m is at least 10
-    owner = sum((F.col("w") < x).cast("int") for x in OWNERS)
+    owner = sum(((F.col("w") < x).cast("int") for x in OWNERS), F.lit(0))
     asked = terms.join(per, "term").join(named.select("item", F.col("item_id").alias("own")), F.col("item_id").eqNullSafe(F.col("own"))).withColumn("w", w).where("w > 0")
     asked = asked.select("item", F.pmod(F.xxhash64("item"), F.lit(bundles)).cast("int").alias("bundle"), "term", "w", bound.alias("bound"), owner.alias("owner"))
     asked = materialize(asked, "asked")
