@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import LOWER, materialize, mix, prefix_hash, span_hash, steps, text_bytes, within, words
+from panelspark.llm.common import LOWER, NO_KEY, materialize, mix, prefix_hash, span_hash, steps, text_bytes, within, words
 from panelspark.llm.graph import components
 
 BANDS, ROWS = 32, 5
@@ -37,8 +37,6 @@ EMPTY = np.uint16(0xFFFF)
 SLACK = 5.0
 #: Members of a bucket in one task at most, about; a task also has those of the bucket that ask.
 BLOCK = 1024
-#: Stands for a null key: after all others.
-NO_KEY = (1 << 63) - 1
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,6 +228,24 @@ def links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """(key, n_shingles, component_id, kept) of each document: components of links with Jaccard similarity of at least the threshold."""
+    return judged(docs, key, text, shingle, threshold).drop("text_hash", "first")
+
+
+def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs with one row of each component: the one of the smallest key, and among its rows of that key the one of the smallest text hash.
+
+    Rows are judged each by its own text, null keys too; of rows equal in key and text one stays, the first by the other columns.
+    """
+    own = docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), "__hash": F.xxhash64(text)})
+    gone = judged(docs, key, text, shingle, threshold).where("not first").select(F.coalesce(F.col(key), F.lit(NO_KEY)).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    left = own.join(gone, ["__id", "__hash"], "left_anti")
+    others = [c for c in docs.columns if c not in (key, text)]
+    place = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.xxhash64(*others) if others else F.lit(0)))
+    return left.withColumn("__place", place).where("__place = 1").select(*docs.columns)
+
+
+def judged(docs: DataFrame, key: str, text: str, shingle: int, threshold: float) -> DataFrame:
+    """near_duplicates with text_hash, and first: whether the rows of this key and text stand for their component."""
     # a row is told by its key and a hash of its text: rows that share a key may differ in text
     docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     sig = materialize(sketch(docs, shingle), "sketches")
@@ -269,15 +285,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     late = materialize(verified(materialize(more, "late_candidates"), texts, shingle, threshold), "late_links")
     if not late.isEmpty():
         comp = materialize(components(links.unionAll(late)), "components")
-    reached = comp.withColumnRenamed("node", "class").join(classes.select("class", "id"), "class")
-    smallest = reached.groupBy("component").agg(F.min("id").alias("smallest"))
+    reached = comp.withColumnRenamed("node", "class").join(classes.select("class", "id", "text_hash"), "class")
+    smallest = reached.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("smallest"))
     named = comp.join(smallest, "component").select(F.col("node").alias("class"), "smallest")
-    of_class = classes.join(named, "class", "left").select("h1", "h2", "n_shingles", F.coalesce("smallest", "id").alias("smallest"))
+    of_class = classes.join(named, "class", "left").select("h1", "h2", "n_shingles", F.coalesce("smallest", F.struct("id", "text_hash")).alias("smallest"))
     key_of = lambda c: F.when(c != NO_KEY, c)
     return (
-        sig.select("id", "n_shingles", "h1", "h2")
+        sig.select("id", "text_hash", "n_shingles", "h1", "h2")
         .join(of_class, ["h1", "h2", "n_shingles"], "left")
-        .select(key_of(F.col("id")).alias(key), "n_shingles", key_of(F.coalesce("smallest", "id")).alias("component_id"))
+        .withColumn("smallest", F.coalesce("smallest", F.struct("id", "text_hash")))
+        .select(key_of(F.col("id")).alias(key), "n_shingles", key_of(F.col("smallest.id")).alias("component_id"), "text_hash", (F.struct("id", "text_hash") == F.col("smallest")).alias("first"))
         .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.col("component_id").isNull()))
     )
 

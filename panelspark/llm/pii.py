@@ -8,8 +8,8 @@ numbers keep a valid check digit, addresses valid numbers, titles stay and choos
 
 Distinct entities of the whole corpus are checked: if two of a type would share a surrogate, or one's surrogate is another's
 real value, all but the smallest take the digest of a further attempt, until none collide. Persons' names get a syllable more with each
-attempt, so there are enough for any number of them; the other types keep their format, and if its domain is too small for
-the corpus, so that further attempts no longer help, that is an error.
+attempt; the other types keep their format for WIDE_AFTER attempts, and then get a letter or digit more with each (an IPv4 address a
+port), so there are enough surrogates however many entities there are, even if the real ones are all that the format has.
 
 Defined results: null texts stay null and have no entities; texts without entities, empty ones too, are unchanged to the character; all
 columns of the input are kept, and an input column with a name of the added ones is an error that says so; repeated
@@ -18,14 +18,17 @@ rows are treated alike, and so are rows whose key is null or shared; an empty ta
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import materialize
 
-#: So many attempts in a row that leave no fewer collisions are an error; the domains are large, so a few attempts do.
-MOST_ATTEMPTS = 12
-DEFAULT_KEY = "change-me"
+#: Attempts that keep an entity's own length; the domains are large, so few entities need as many.
+WIDE_AFTER = 4
+#: The setting that holds the key of the surrogates. Where it is unset the application draws a key of its own.
+KEY_CONF = "spark.panelspark.pii.key"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "Госпожа")}
@@ -57,6 +60,15 @@ SYLLABLES = {
 ENDINGS = {"latin": ("n", "nd", "r", "rt", "s", "l", "ck", "m"), "cyrillic": ("нко", "ных", "рук", "рян", "ских", "лян", "рич", "нюк")}
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key of KEY_CONF; without one a random key, the same for all that this session does and unknown to others."""
+    key = spark.conf.get(KEY_CONF, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_CONF, key)
+    return key
+
+
 def let(value: Column, f) -> Column:
     """f of a value that is computed once, however often f uses it."""
     return F.element_at(F.transform(F.array(value), f), 1)
@@ -138,8 +150,18 @@ def _drawn(ks: Column, kind: Column, canon: Column, attempt: Column, gender: Col
         iban = F.concat(F.substring(same, 1, 2), F.lpad((98 - mod97(F.upper(checked))).cast("string"), 2, "0"), F.substring(same, 5, 64))
         return F.when(kind == "card", card).when(kind == "iban", iban).otherwise(same)
 
+    # from the end of the numbers, of which there are 16 at least; more than 8 further characters are never needed
+    more = F.slice(ks, -8, F.least(F.greatest(attempt.cast("int") - WIDE_AFTER, F.lit(0)), F.lit(8)))
+    letters = F.array_join(F.transform(more, lambda n: _pick(LATIN, n)), "")
+    digits = F.array_join(F.transform(more, lambda n: _pick(DIGITS, n)), "")
+
+    def widened(same: Column) -> Column:
+        return F.when(kind == "email", F.concat(F.substring_index(same, "@", 1), letters, F.lit("@"), F.substring_index(same, "@", -1))).when(kind == "secret", F.concat(same, letters)).otherwise(F.concat(same, digits))
+
     ip = F.array_join(F.transform(F.slice(ks, 1, 4), lambda n: (n % 254 + 1).cast("string")), ".")
-    return F.when(kind == "ipv4", ip).when(kind == "person", F.lower(person(ks, canon, gender, attempt))).otherwise(let(F.array_join(F.transform(chars, one), ""), numbered))
+    port = F.when(F.size(more) > 0, F.concat(F.lit(":"), F.array_join(F.transform(more, lambda n: n.cast("string")), ""))).otherwise("")
+    laid = let(F.array_join(F.transform(chars, one), ""), lambda same: numbered(widened(same)))
+    return F.when(kind == "ipv4", F.concat(ip, port)).when(kind == "person", F.lower(person(ks, canon, gender, attempt))).otherwise(laid)
 
 
 def person(ks: Column, canon: Column, gender: Column, attempt: Column) -> Column:
@@ -173,7 +195,7 @@ def spelled(e: Column, kind: Column, sub: Column) -> Column:
         skip = separates & c.rlike(r"^[^\p{L}\p{N}]$")
         return F.when(skip, state(F.concat(s["o"], c), s["n"])).otherwise(state(F.concat(s["o"], new), s["n"] + 1))
 
-    laid = F.aggregate(F.split(body, ""), state(F.lit(""), F.lit(0)), step, lambda s: s["o"])
+    laid = F.aggregate(F.split(body, ""), state(F.lit(""), F.lit(0)), step, lambda s: F.concat(s["o"], F.substr(sub, s["n"] + 1)))
     return F.concat(lead, F.when(kind == "ipv4", sub).when(kind == "person", F.initcap(sub)).when(kind == "secret", sub).otherwise(laid))
 
 
@@ -190,26 +212,21 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
     sub = lambda attempt: surrogate(key, F.col("kind"), F.col("canon"), attempt, F.col("gender"))
     # few bytes but much work: dealt out by number, which Spark doesn't coalesce
     table = materialize(entities.select(*own).repartition(tasks, *own).select(*own, F.lit(0).alias("attempt"), sub(F.lit(0)).alias("sub")), "entities")
-    least, stale = None, 0
     while True:
         forms = table.select(*own, F.col("sub").alias("form"), F.lit(False).alias("real")).unionAll(table.select(*own, F.col("canon").alias("form"), F.lit(True).alias("real")))
         same = Window.partitionBy("kind", "form")  # one form: a few entities that collide
         seen = forms.withColumn("taken", F.max("real").over(same)).withColumn("keeps", F.min(F.when(~F.col("real"), F.struct("canon", "gender"))).over(same))
         clash = materialize(seen.where(~F.col("real") & (F.col("taken") | (F.struct("canon", "gender") != F.col("keeps")))).select(*own), "clashes")
-        n = clash.count()
-        if not n:
+        if clash.isEmpty():
             return table.where("attempt > 0").select("kind", "canon", F.col("gender").alias("entity_gender"), "attempt")
-        stale = 0 if least is None or n < least else stale + 1
-        least = n if least is None else min(n, least)
-        if stale >= MOST_ATTEMPTS:
-            raise RuntimeError(f"{n} surrogates still collide, no fewer than {MOST_ATTEMPTS} attempts before")
         again = table.join(clash.withColumn("again", F.lit(True)), own, "left").repartition(tasks, *own)
         again = again.withColumn("attempt", F.col("attempt") + F.when(F.col("again"), 1).otherwise(0))
         table = materialize(again.select(*own, "attempt", F.when(F.col("again"), sub(F.col("attempt"))).otherwise(F.col("sub")).alias("sub")), "entities")
 
 
-def replace(df: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
-    """df with its text rewritten, and `entities`: type and surrogate of each, in order. The originals are not returned."""
+def replace(df: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
+    """df with its text rewritten, and `entities`: type and surrogate of each, in order. The originals are not returned. key: that of the session if none is given."""
+    key = key or session_key(df.sparkSession)
     if clash := {"entities", "__raw", "__row", "__late"} & set(df.columns):
         raise ValueError(f"columns in the way: {sorted(clash)}")
     # the texts are searched once; row numbers are drawn once and written, so every later reader sees the same

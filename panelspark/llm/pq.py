@@ -15,7 +15,9 @@ Centroids and codewords are fitted on a bounded sample; every row is indexed. Th
 for any centroids.
 
 Defined results: null or zero vectors, and those with null or non-finite parts or of another length than most, link with
-nothing; a null label links with nothing; rows that repeat a key keep one row each and link as copies; an empty table
+nothing; a null label links with nothing; rows that repeat a key keep one row each, and each links by its own vector; a
+row whose key is null takes part like others but names no component: its component is the smallest key reachable, or null (and then
+it is kept) if it reaches none; an empty table
 gives an empty result; only the key and the outputs are returned, so clashing columns of the input do no harm.
 """
 
@@ -31,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import bounded, materialize
+from panelspark.llm.common import NO_KEY, bounded, materialize
 from panelspark.llm.graph import components
 
 #: Vectors that centroids and codewords are fitted on, at most about.
@@ -144,16 +146,18 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98) -> DataFrame:
     """(key, n_links, component_id, kept) of each vector: links join vectors of one label with at least that cosine."""
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    alone = rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    named = lambda c: F.when(c != NO_KEY, c)
+    alone = rows.select(named(F.col("id")).alias(key), F.lit(0).cast("long").alias("n_links"), named(F.col("id")).alias("component_id"), F.lit(True).alias("kept"))
     width = rows.where("v is not null").groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     if width is None or not width.w:
         return alone
     width = width.w
     usable = rows.where(F.col("label").isNotNull() & (F.size("v") == width) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
-    classes = usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialize(classes.select("rep", "label", "v", "copies"), "classes")
-    picked = bounded(classes, "rep", SAMPLE_ROWS).select("v").toArrow().column("v")
+    classes = usable.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    # numbers of classes are drawn once and written, so every later reader sees the same
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "label", "v", "copies", "least"), "classes")
+    picked = bounded(classes, "v", SAMPLE_ROWS).select("v").toArrow().column("v")
     if not len(picked):
         return alone
     lists = min(max(LISTS, isqrt(classes.count())), MOST_LISTS)
@@ -171,7 +175,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), probe], [*b.schema.names, "list", "codes", "error", "probes"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    indexed = materialize(classes.mapInArrow(place, f"rep long, label {kind}, v array<double>, copies long, list int, codes binary, error double, probes array<int>"), "index")
+    indexed = materialize(classes.drop("least").mapInArrow(place, f"rep long, label {kind}, v array<double>, copies long, list int, codes binary, error double, probes array<int>"), "index")
     block = lambda n: F.pmod(F.xxhash64("rep", F.lit(n)), F.col(n)).cast("int")
     queries = indexed.select("rep", "label", "v", "copies", F.col("list").alias("own"), F.explode("probes").alias("list"))
     sizes = (
@@ -212,11 +216,14 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     met = materialize(data.unionAll(asked).groupBy("label", "list", "d", "q").applyInArrow(meet, "a long, b long, n long"), "met")
     counts = met.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comp = components(met.where("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
-    of_class = classes.join(counts, "rep", "left").join(comp, "rep", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    linked = classes.join(comp, "rep")
+    smallest = linked.groupBy("component").agg(F.min("least").alias("smallest"))
+    of_class = classes.join(counts, "rep", "left").join(linked.select("rep", "component").join(smallest, "component"), "rep", "left")
+    of_class = of_class.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("smallest", "least").alias("c"))
     return (
         rows.join(of_class, ["label", "v"], "left")
-        .select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"))
-        .withColumn("kept", F.col(key) == F.col("component_id"))
+        .select(named(F.col("id")).alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), named(F.coalesce("c", "id")).alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.col("component_id").isNull()))
     )
 
 

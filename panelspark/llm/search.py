@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ALNUM, LOWER, has_bit, hash_bits, materialize, prefix_hash, span_hash, steps, strings, text_bytes, words
+from panelspark.llm.common import ALNUM, LOWER, NO_KEY, has_bit, hash_bits, materialize, prefix_hash, span_hash, steps, strings, text_bytes, words
 
 #: Results of an item.
 TOP = 10
@@ -119,10 +119,6 @@ def inverted(docs: DataFrame, bits: np.ndarray, key: str, text: str) -> DataFram
     return d.mapInArrow(run, "block long, term string, df long, most long, list binary")
 
 
-#: Stands for a null doc_id: after all others.
-NO_KEY = (1 << 63) - 1
-
-
 def visit(state: DataFrame, lists: DataFrame, n: int, total: int) -> DataFrame:
     """The bundles' accumulators after one owner. state: (bundle, block, item, docs, scores, low, rest); lists: (bundle, block, w, items, list).
 

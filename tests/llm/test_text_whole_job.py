@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import pii, substring, suffix
+from panelspark.llm import minhash, pii, pq, substring, suffix
 
 
 @pytest.mark.parametrize("letters, gender, n", [("abcdefghijklmnopqrstuvwxyz", "m", 15_000), (pii.CYRILLIC, "f", 7_000)])
@@ -20,12 +20,82 @@ def test_more_names_than_the_first_attempt_has(spark, letters, gender, n):
     assert len(set(subs)) == n and not set(subs) & set(names)
 
 
-def test_a_domain_too_small_for_its_entities_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(pii, "DIGITS", "0")
-    monkeypatch.setattr(pii, "MOST_ATTEMPTS", 2)
-    ents = spark.createDataFrame([("ssn", f"{i:09d}", "m") for i in range(3)], "kind string, canon string, gender string")
-    with pytest.raises(RuntimeError):
-        pii.attempts(ents, "k")
+def test_entities_that_are_all_their_format_has_get_longer_surrogates(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    real = {f"{a}@{b}.io" for a in letters for b in letters}
+    rows = [(i, f"write {e.upper() if i % 2 else e} now") for i, e in enumerate(sorted(real))]
+    got = pii.replace(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), key="k").collect()
+    subs = [r.entities[0].surrogate.lower() for r in got]
+    assert len(set(subs)) == 676 and not set(subs) & real and all(x.endswith(".io") and x.count("@") == 1 for x in subs)
+    assert all(r.text == f"write {r.entities[0].surrogate} now" for r in got)
+
+
+def test_the_key_of_the_session_is_drawn_once_and_can_be_set(spark):
+    spark.conf.unset(pii.KEY_CONF)
+    one = pii.session_key(spark)
+    assert len(one) == 64 and pii.session_key(spark) == one
+    spark.conf.set(pii.KEY_CONF, "mine")
+    df = spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string")
+    assert pii.replace(df).first().text == pii.replace(df, key="mine").first().text
+    spark.conf.unset(pii.KEY_CONF)
+
+
+def test_vectors_of_null_and_repeated_keys(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.999, 0.01, 0.0], [0.0, 1.0, 0.0]
+    rows = [(None, a, 1), (5, b, 1), (None, c, 1), (7, a, 1), (7, c, 1), (3, c, 2), (None, [0.0, 0.0, 1.0], 1), (None, None, 1), (9, [0.0] * 3, 1)]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "vec_id long, embedding array<double>, label int, n_links int, rep string")
+    got = collections.Counter(map(tuple, pq.near_duplicates(df).collect()))
+    # (None, a), (5, b), (7, a) are one component; (None, c) and (7, c) another
+    want = [(None, 2, 5, False), (5, 2, 5, True), (7, 2, 5, False), (None, 1, 7, False), (7, 1, 7, True), (3, 0, 3, True), (None, 0, None, True), (None, 0, None, True), (9, 0, 9, True)]
+    assert got == collections.Counter(want)
+    assert pq.near_duplicates(df.limit(0)).count() == 0
+
+
+def jaccard(x, y, size=5):
+    sets = []
+    for t in (x, y):
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(3, a), (7, a), (7, b), (8, c), (8, c), (8, c + " tail"), (None, a + " end"), (None, prose(40)), (None, None), (11, None), (12, ""), (2, b + " more")]
+    df = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "doc_id long, text string, component_id int, first string").repartition(3)
+    got = minhash.without_duplicates(df)
+    assert got.columns == df.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(left) == len(set(left)) and set(left) <= set(rows)
+    # what stays is linked with nothing else that stays, and stands for what is gone
+    assert all(jaccard(x, y) < 0.8 for i, (_, x) in enumerate(left) for _, y in left[:i])
+    assert all(any(t == y or jaccard(t, y) >= 0.8 for _, y in left) for _, t in rows)
+    assert {(3, a), (2, b + " more")} <= set(left) and sum(k is None for k, _ in left) == 2
+
+
+def test_the_pipeline_judges_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    item = prose(30)
+    texts = [prose(50) for _ in range(6)]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (2, texts[0]), (4, prose(9) + " " + item), (5, None), (6, ""), (6, ""), (7, texts[3] + " call Mr Jonas Welck"), (8, "word " * 30_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, entities string, place int"
+    spark.createDataFrame([(k, t, "en", None, len(t or ""), "own", 3) for k, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter((r.doc_id, r.n_tokens > 0) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    # (2, texts[0]) repeats (1, texts[0]); (4, ..) holds the item; of equal rows one stays
+    assert got == collections.Counter([(1, True), (1, True), (None, True), (5, False), (6, False), (7, True), (8, True)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs.limit(0), str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0, name
+    masked = corpus_pipeline.replace_private(spark, docs.where("doc_id = 7"), str(tmp_path)).first()
+    assert "Welck" not in masked.text and masked.entities == "own" and masked.n_chars == len(masked.text)
 
 
 @pytest.fixture(scope="module")
