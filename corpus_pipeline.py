@@ -2,7 +2,7 @@
 benchmark items go, private data gets surrogates, and what is left is encoded and decoded again.
 
 Each stage reads what its predecessor kept, as a table, and returns the columns of documents; the last returns tokens.
-Rows without a doc_id are kept by every filter that goes by doc_id. Extra columns are carried to the last stage.
+Every filter judges rows, each by its own text, whatever their doc_id; rows equal in doc_id and text are one document. Extra columns are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -26,8 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles are linked by a similarity of 0.8 or more."""
-    gone = minhash.near_duplicates(docs.select("doc_id", "text").where("doc_id is not null")).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return minhash.without_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +36,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With surrogates in place of private data; n_chars follows the text."""
-    out = pii.replace(docs).drop("entities")
+    held = docs.withColumnsRenamed({c: f"__own_{c}" for c in ("entities",) if c in docs.columns})
+    out = pii.replace(held).drop("entities").withColumnsRenamed({"__own_entities": "entities"}).select(docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
