@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from panelspark.operators import ingest as I
 from panelspark.queries import query
 from panelspark.queries.factors import rets
+from panelspark.queries.live import arriving
 from panelspark.sources import files
+from panelspark.sources.versions import VersionedTable
 from panelspark.streaming import streams
 
 
@@ -44,12 +46,16 @@ def s27(t):
     return I.normalize_annual_report(landed.unionAll(late).unionAll(landed.withColumn("pub_date", F.lit("unknown"))))
 
 
-@query("s22_sink_parquet", "SELECT code, count(*) AS n, max(close) AS high FROM bars WHERE code LIKE 'sz%' GROUP BY code", "high")
+@query("s22_sink_parquet", "SELECT code, count(*) AS n, max(close) AS high, max(close)*2 AS before FROM bars WHERE code LIKE 'sz%' GROUP BY code", "high before")
 def s22(t):
-    """Bars partitioned by code; only the codes asked for are read back."""
-    path = files.fresh_path(t.spark, "by_code")
-    files.sink_parquet(t.bars.select("code", "date", "close"), path, ("code",))
-    return files.scan_bars(t.spark, path).where("code like 'sz%'").groupBy("code").agg(F.count("*").alias("n"), F.max("close").alias("high"))
+    """A table replaced as a whole while it is read: who opened the version before still sees all of it."""
+    table = VersionedTable(t.spark, files.fresh_path(t.spark, "replaced"), "code string, date date, close double")
+    b = t.bars.select("code", "date", "close")
+    table.publish(b.withColumn("close", F.col("close") * 2))
+    before = table.read()
+    table.publish(b)
+    old = before.where("code like 'sz%'").groupBy("code").agg(F.max("close").alias("before"))
+    return table.read().where("code like 'sz%'").groupBy("code").agg(F.count("*").alias("n"), F.max("close").alias("high")).join(old, "code")
 
 
 @query("s2_scan_keyed_dir", "SELECT code, count(*) AS n, sum(capex) AS capex FROM annual_reports GROUP BY code", "capex")
@@ -106,29 +112,44 @@ def u6(t):
     return d.groupBy("date").agg(F.avg(F.when(F.col("b"), F.col("ret"))).alias("biased"), F.avg(F.when(F.col("m"), F.col("ret"))).alias("pit")).where("biased is not null")
 
 
-@query("t1_stream_bars_merge", "SELECT code, count(*) AS n, max(close) AS high FROM bars GROUP BY code", "high")
+#: What a second arrival does to a code: nothing new, all at another price, a new code, or later days.
+MERGED = {
+    "half": "SELECT CAST(floor(max(pos) / 2.0) AS BIGINT) AS mid FROM calendar",
+    "kinds": "SELECT b.code, b.date, b.close, c.pos, mid, substr(b.code, 9, 1) AS k FROM bars b JOIN calendar c ON c.date = b.date JOIN half ON TRUE",
+}
+
+
+@query("t1_stream_bars_merge", "SELECT code, count(*) AS n, max(CASE WHEN k = '1' THEN close*2 ELSE close END) AS high FROM kinds WHERE k <> '0' OR pos <= mid GROUP BY code", "high", extra=MERGED)
 def t1(t):
-    """Bars arrive in two files as a stream, the later one overlapping the earlier; each batch is merged into the next version."""
-    spark, base = t.spark, files.fresh_path(t.spark, "arriving")
-    b = t.bars.select("code", "date", "close")
-    mid = t.calendar.agg((F.max("pos") / 2).cast("int").alias("mid"))
-    both = b.join(F.broadcast(t.calendar), "date").crossJoin(F.broadcast(mid))
-    last = both.where("pos <= mid").groupBy("code").agg(F.max("pos").alias("seen"))
-    both.where("pos <= mid").select("code", "date", "close").coalesce(1).write.parquet(f"{base}/in/batch=0")
-    both.join(last, "code", "left").where("pos >= coalesce(seen, 0)").select("code", "date", "close").coalesce(1).write.parquet(f"{base}/in/batch=1")
-    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
-    streams.bars_merge(stream, f"{base}/out", f"{base}/state").awaitTermination()
-    kept = spark.read.parquet(f"{base}/out")
-    newest = kept.agg(F.max("v").alias("v"))
-    return kept.join(F.broadcast(newest), "v").groupBy("code").agg(F.count("*").alias("n"), F.max("close").alias("high"))
-
-
-@query("t5_publication_gate", "SELECT code, count(*) AS n FROM bars GROUP BY code")
+    """Bars in two arrivals, merged into a versioned table. Codes that end in 0 bring nothing later (skip), in 1 their history at another price (rebase), in 3 are new; the others overlap by a day (append)."""
+    spark = t.spark
+    mid = t.calendar.agg(F.floor(F.max("pos") / 2).alias("mid"))
+    b = t.bars.select("code", "date", "close").join(F.broadcast(t.calendar), "date").crossJoin(F.broadcast(mid)).withColumn("k", F.substr("code", F.lit(9), F.lit(1)))
+    first = b.where("pos <= mid and k <> '3'")
+    seen = first.groupBy("code").agg(F.max("pos").alias("seen"))
+    late = b.join(seen, "code", "left")
+    price = F.when(F.col("k") == "1", F.col("close") * 2).when(F.col("k") == "0", F.col("close") * 3).otherwise(F.col("close"))
+    second = late.where("CASE k WHEN '0' THEN pos < seen WHEN '1' THEN true WHEN '3' THEN true ELSE pos >= coalesce(seen, 0) END").withColumn("close", price)
+    table = VersionedTable(spark, files.fresh_path(spark, "versions"), "code string, date date, close double")
+    start = lambda stream, base: streams.bars_merge(stream, table, f"{base}/state")
+    arriving(t, "bars", [x.select("code", "date", "close") for x in (first, second)], start)
+    return table.read().groupBy("code").agg(F.count("*").alias("n"), F.max("close").alias("high"))
+
+
+#: Every third day comes thin, with one exchange only; the rest of every second one of those comes later.
+GATED = {
+    "shares": "SELECT date, count(*) AS due, sum(CASE WHEN code LIKE 'sh%' THEN 1 ELSE 0 END) AS sh FROM bars GROUP BY date",
+    "passed": "SELECT b.code, CASE WHEN pos % 3 <> 0 THEN 0 WHEN b.code LIKE 'sh%' AND sh >= 0.9 * due THEN 0 WHEN pos % 6 = 0 THEN 1 END AS batch FROM bars b JOIN calendar c ON c.date = b.date JOIN shares s ON s.date = b.date",
+}
+
+
+@query("t5_publication_gate", "SELECT code, batch, count(*) AS n FROM passed WHERE batch IS NOT NULL GROUP BY code, batch", extra=GATED)
 def t5(t):
-    """A batch passes the gate when enough members have posted its latest date, and is written only then."""
-    spark, base = t.spark, files.fresh_path(t.spark, "gate")
-    t.bars.select("code", "date", "close").coalesce(1).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema("code string, date date, close double").parquet(f"{base}/in")
-    members = t.bars.join(F.broadcast(t.bars.agg(F.max("date").alias("date"))), "date").select("code").distinct()
-    streams.publication_gate(stream, members, lambda d, n: d.write.mode("overwrite").parquet(f"{base}/out/v={n}"), f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/out").groupBy("code").agg(F.count("*").alias("n"))
+    """Thin days wait until nine tenths of the codes due have posted; a later batch completes some of them, others wait on. batch: when rows went on."""
+    b = t.bars.select("code", "date", "close").join(F.broadcast(t.calendar), "date")
+    batches = [b.where("pos % 3 <> 0 or code like 'sh%'"), b.where("pos % 6 = 0 and code not like 'sh%'")]
+    due = t.bars.select("date", "code")
+    start = lambda stream, base: streams.publication_gate(stream, due, f"{base}/gate", f"{base}/state")
+    base = arriving(t, "gate", [x.select("code", "date", "close") for x in batches], start)
+    out = t.spark.read.schema("code string, date date, close double, v int").parquet(f"{base}/gate/released")
+    return out.groupBy("code", F.col("v").alias("batch")).agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.operators import xsection as X
@@ -44,24 +45,92 @@ def m2(t):
 
 
 
-@query("t3_minute_bars", "SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS start, max(value) AS high, min(value) AS low, count(*) AS n FROM events GROUP BY 1, 2", "high low")
+def arriving(t, name: str, batches: list, start):
+    """Write batch after batch into one folder and run the stream over what is new: start(stream, base) gives a started query, and each run takes up where the last one ended."""
+    base = fresh_path(t.spark, name)
+    for b in batches:
+        b.write.mode("append").parquet(f"{base}/in")
+        start(t.spark.readStream.schema(b.schema).parquet(f"{base}/in"), base).awaitTermination()
+    return base
+
+
+#: Events as they arrive: the first half, the second half, and then every tenth of all, most of them late.
+ARRIVALS = {"arrivals": "SELECT *, CASE WHEN event_id % 10 = 7 THEN 2 WHEN event_id * 2 < (SELECT count(*) FROM events) THEN 0 ELSE 1 END AS batch FROM events"}
+MINUTES = (1, 5, 60)
+
+
+def arrivals(t):
+    d = t.sql("SELECT * FROM arrivals", ARRIVALS).withColumn("ts", F.col("ts").cast("timestamp"))
+    return [d.where(F.col("batch") == k).drop("batch") for k in range(3)]
+
+
+def latest(t, path: str, keys: list[str], schema: str):
+    """The row of the last batch for each key."""
+    d = t.spark.read.schema(f"{schema}, v int").parquet(path)
+    return d.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("v")))).where("__k = 1").drop("__k", "v")
+
+
+#: mark: the watermark when a batch begins, the latest time before it in whole milliseconds less the delay.
+WINDOWED = ARRIVALS | {
+    "marks": "SELECT max(CASE WHEN batch = 0 THEN ts END) AS b0, max(CASE WHEN batch < 2 THEN ts END) AS b1, max(ts) AS b2 FROM arrivals",
+    "marked": "SELECT a.*, m, CAST(floor(epoch_us(ts) / (m * 60000000.0)) AS BIGINT) * m AS first, date_trunc('milliseconds', CASE batch WHEN 1 THEN b0 WHEN 2 THEN b1 END) - INTERVAL 10 MINUTE AS mark, date_trunc('milliseconds', b2) - INTERVAL 10 MINUTE AS last_mark FROM arrivals a JOIN marks ON TRUE JOIN (VALUES (1), (5), (60)) v(m) ON TRUE",
+    "ended": "SELECT *, mark IS NOT NULL AND (first + m) * 60000 <= epoch_ms(mark) AS late, (first + m) * 60000 <= epoch_ms(last_mark) AS closed FROM marked",
+}
+
+
+@query("t3_minute_bars", "SELECT event_type, m AS minutes, first, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n FROM ended WHERE NOT late AND closed GROUP BY event_type, m, first", "open high low close", extra=WINDOWED)
 def t3(t):
-    b = streams.period_bars(t.events.withColumn("one", F.lit(1)), "1 day", "event_type", "ts", "value", "one")
-    return b.select("event_type", F.to_date("start").alias("start"), "high", "low", F.col("volume").alias("n"))
+    """Bars of three lengths from one stream in three arrivals; windows close as the watermark passes, rows for closed windows are dropped. first: minutes since 1970."""
 
+    def start(stream, base):
+        bars = streams.many_period_bars(stream.withColumn("one", F.lit(1)), MINUTES, key="event_type", price="value", volume="one", late="10 minutes", tie="event_id")
+        return bars.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
 
-@query("t2_stream_dedup", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+    base = arriving(t, "minute_bars", arrivals(t), start)
+    out = t.spark.read.schema("event_type string, start timestamp, open double, high double, low double, close double, volume long, minutes int").parquet(f"{base}/out")
+    return out.select("event_type", "minutes", F.expr("unix_seconds(start) div 60").alias("first"), "open", "high", "low", "close", F.col("volume").alias("n"))
+
+
+@query("t3_late_rows", "SELECT event_type, m AS minutes, count(*) AS late FROM ended WHERE late GROUP BY event_type, m", extra=WINDOWED)
+def t3_late(t):
+    """How many rows of each length came after their window had closed."""
+
+    def start(stream, base):
+        rows = streams.with_periods(stream, MINUTES)
+        return streams.into_versions(streams.late_rows(rows, ["event_type", "minutes"], F.col("end")), f"{base}/out", f"{base}/state")
+
+    base = arriving(t, "late_rows", arrivals(t), start)
+    return latest(t, f"{base}/out", ["event_type", "minutes"], "event_type string, minutes int, late long")
+
+
+DEDUP = ARRIVALS | {
+    "marks": "SELECT max(CASE WHEN batch = 0 THEN ts END) AS b0, max(CASE WHEN batch < 2 THEN ts END) AS b1 FROM arrivals",
+    "marked": "SELECT a.*, batch > 0 AND epoch_ms(ts) <= epoch_ms(CASE batch WHEN 1 THEN b0 ELSE b1 END - INTERVAL 5 DAY) AND ts <= date_trunc('milliseconds', CASE batch WHEN 1 THEN b0 ELSE b1 END - INTERVAL 5 DAY) AS late FROM arrivals a JOIN marks ON TRUE",
+}
+
+
+@query("t2_stream_dedup", "SELECT event_type, count(*) AS n FROM marked WHERE NOT late GROUP BY event_type", extra=DEDUP)
 def t2(t):
-    s = stream_of(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return drained(t, streams.minute_dedup(s, ["event_id"], "ts", "40 days").select("event_id", "event_type"), "append", "dedup").groupBy("event_type").agg(F.count("*").alias("n"))
+    """Overlapping windows: the second arrival holds the first one again, the third comes twice, and most of it after its time has passed."""
+    one, two, three = arrivals(t)
+
+    def start(stream, base):
+        kept = streams.minute_dedup(stream, ["event_id"], "ts", "5 days").select("event_id", "event_type")
+        return kept.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+
+    base = arriving(t, "dedup", [one, one.unionAll(two), three.unionAll(three)], start)
+    return t.spark.read.schema("event_id long, event_type string").parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("t4_t7_stream_ledger", "SELECT account, code, CAST(sum(shares) AS BIGINT) AS shares, sum(shares*price + fee) AS paid FROM fills GROUP BY 1, 2", "paid")
+@query("t4_t7_stream_ledger", "SELECT account, code, CAST(sum(shares) AS BIGINT) AS shares, sum(CAST(round((shares*price + fee)*1e7) AS BIGINT)) / 1e7 AS paid FROM fills GROUP BY 1, 2", "paid")
 def t4(t):
-    e = stream_of(t, "events")
-    f = e.select((F.col("user_id") % 20).alias("account"), F.col("event_type").alias("code"), (F.when(F.col("event_id") % 3 == 0, -100).otherwise(100) * (1 + F.col("event_id") % 5)).alias("shares"), F.col("value").alias("price"))
+    """Fills that arrive in three batches, most of them more than once: the stream's positions are those of the fills."""
+    e = t.events
+    f = e.select((F.col("user_id") % 20).alias("account"), F.col("event_type").alias("code"), F.col("event_id").alias("fill_id"), F.col("ts").cast("timestamp").alias("ts"), (F.when(F.col("event_id") % 3 == 0, -100).otherwise(100) * (1 + F.col("event_id") % 5)).alias("shares"), F.col("value").alias("price"))
     f = f.withColumn("fee", F.greatest(F.lit(5.0), F.abs("shares") * F.col("price") * 0.00025))
-    return drained(t, streams.ledger_state(f), "complete", "ledger")
+    start = lambda stream, base: streams.into_versions(streams.ledger_stream(stream, late="40 days"), f"{base}/out", f"{base}/state")
+    base = arriving(t, "ledger", [f.where("fill_id % 2 = 0"), f.unionAll(f.where("fill_id % 5 = 1")), f], start)
+    return latest(t, f"{base}/out", ["account", "code"], "account long, code string, shares long, paid double")
 
 
 @query("t6_event_detect", "SELECT code, count(*) AS n FROM (SELECT *, lag(flag) OVER (PARTITION BY code ORDER BY pos) AS prev FROM flags) x WHERE flag = 1 AND coalesce(prev, 9) <> 1 GROUP BY code", extra=LIMITS)
