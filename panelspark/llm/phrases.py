@@ -32,7 +32,7 @@ from panelspark.llm.transducer import Transducer, summed
 MOST, PREFIX = 4, 3
 LEAST_COUNT, TOP = 30, 2000
 #: Sequences that a shard sorts at once, and that a range's task holds before it sums.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Words of the corpus for each range, and least and most ranges.
 RANGE_WORDS, RANGES = 1 << 20, (64, 1 << 16)
 
