@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.asof import asof_join
 from panelspark.sources.files import written
 
 BY = ("variant",)
@@ -113,12 +114,38 @@ def ledger(fills: DataFrame, marks: DataFrame, seed: float = 1e6) -> DataFrame:
     grid = fills.select("account").distinct().crossJoin(F.broadcast(dates))  # one row a trading date
     w = Window.partitionBy("account").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     cash = grid.join(flow, ["account", "date"], "left").withColumn("cash", F.lit(seed) - F.sum(F.coalesce("out", F.lit(0.0))).over(w)).select("account", "date", "cash")
-    held = fills.groupBy("account", "code", "date").agg(F.sum("shares").alias("d"))
-    names = fills.select("account", "code").distinct().join(F.broadcast(dates))
-    wc = Window.partitionBy("account", "code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    pos = names.join(held, ["account", "code", "date"], "left").withColumn("shares", F.sum(F.coalesce("d", F.lit(0))).over(wc))
-    value = pos.join(marks, ["code", "date"], "left").groupBy("account", "date").agg(F.sum(F.col("shares") * F.coalesce("close", F.lit(0.0))).alias("value"))
-    return cash.join(value, ["account", "date"]).withColumn("equity", F.col("cash") + F.col("value"))
+    value = held_values(position_runs(fills), marks).groupBy("account", "date").agg(F.sum(F.col("shares") * F.col("close")).alias("value"))
+    return cash.join(value, ["account", "date"], "left").withColumn("value", F.coalesce("value", F.lit(0.0))).withColumn("equity", F.col("cash") + F.col("value"))
+
+
+def position_runs(fills: DataFrame) -> DataFrame:
+    """(account, code, since, until, shares): spans of dates, the last open, in which a position that isn't flat stays the same. Rows grow with the changes."""
+    daily = fills.groupBy("account", "code", "date").agg(F.sum("shares").alias("d"))
+    w = Window.partitionBy("account", "code").orderBy("date")
+    shares = F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    runs = daily.withColumn("shares", shares).withColumn("until", F.lead("date").over(w))
+    return runs.where("shares <> 0").select("account", "code", F.col("date").alias("since"), "until", "shares")
+
+
+def held_values(runs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(account, code, date, shares, close): each run with the marks of its span. They meet by equality, on the code and a month of the span."""
+    ends = marks.groupBy("code").agg(F.max("date").alias("__last"))
+    r = runs.join(ends, "code").withColumn("__end", F.least(F.coalesce(F.date_sub("until", 1), F.col("__last")), F.col("__last"))).where("__end >= since")
+    r = r.withColumn("__month", F.explode(F.sequence(F.trunc("since", "month"), F.trunc("__end", "month"), F.expr("INTERVAL 1 MONTH"))))
+    m = marks.where("close is not null").select("code", "date", "close", F.trunc("date", "month").alias("__month"))
+    return r.join(m, ["code", "__month"]).where("date between since and __end").select("account", "code", "date", "shares", "close")
+
+
+def equity_by_marks(fills: DataFrame, marks: DataFrame, seed: float = 1e6) -> DataFrame:
+    """(account, date, equity) the other way round, to hold the ledger against: each mark looks up the position that was last left in its name, each day what was last spent."""
+    total = lambda by, c: F.sum(c).over(Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    names = ["account", "code"]
+    left = fills.groupBy(*names, "date").agg(F.sum("shares").alias("d")).withColumn("left", total(names, "d")).select(*names, F.col("date").alias("at"), "left")
+    spent = fills.groupBy("account", "date").agg(F.sum(F.col("shares") * F.col("price") + F.col("fee")).alias("d")).withColumn("spent", total(["account"], "d")).select("account", F.col("date").alias("at"), "spent")
+    first = left.groupBy(*names).agg(F.min("at").alias("first"))
+    days = marks.join(first, "code").where("date >= first").select(*names, "date", "close")
+    each = asof_join(days, left, names, "date", "at").groupBy("account", "date").agg(F.sum(F.col("left") * F.coalesce("close", F.lit(0.0))).alias("value"))
+    return asof_join(each, spent, ["account"], "date", "at").select("account", "date", (F.lit(seed) - F.col("spent") + F.col("value")).alias("equity"))
 
 
 def cost_basis(fills: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import dist
+from panelspark.operators.order import exact_quantiles
 
 TINY = 1e-12
 
@@ -91,8 +92,9 @@ def sign_test(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def winsorized_clustered_t(df: DataFrame, value: str, lo: float = 0.01, hi: float = 0.99, date: str = "date") -> DataFrame:
-    q = df.agg(F.percentile(value, F.array(F.lit(lo), F.lit(hi))).alias("__q"))
-    d = df.crossJoin(F.broadcast(q)).withColumn(value, F.when(F.col(value).isNotNull(), F.least(F.greatest(value, F.col("__q")[0]), F.col("__q")[1])))
+    """clustered_t of values cut to their pooled quantiles, which are found at once, see exact_quantiles."""
+    low, high = exact_quantiles(df, value, [lo, hi])
+    d = df.withColumn(value, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.lit(low)), F.lit(high))))
     return clustered_t(d, value, date)
 
 

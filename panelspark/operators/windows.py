@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from panelspark.operators.order import sliding_quantiles
+
 
 def by_code(*more: str) -> WindowSpec:
     return Window.partitionBy(*more, "code").orderBy("pos")
@@ -65,11 +67,6 @@ def prior_traded_days(close="close") -> Column:
     return F.count(_c(close)).over(by_code().rowsBetween(Window.unboundedPreceding, -1))
 
 
-def rolling_quantile(x, q: float, window: int, least: int, w=None) -> Column:
-    frame = (w or by_code()).rowsBetween(-(window - 1), 0)
-    return gate(F.percentile(_c(x), F.lit(q)).over(frame), x, frame, least)
-
-
 def moving_average_regime(close="close", window: int = 200, w=None) -> Column:
     ma = trailing(F.avg, close, window, window, w)
     return F.when(ma.isNotNull(), F.when(_c(close) >= ma, 1.0).otherwise(0.0))
@@ -126,7 +123,7 @@ def threshold_reversal_state(df: DataFrame, x: str = "x", arm: float = 0.2, sell
     """Adds `state`: armed at or below the low quantile, bought on the first positive `reversal`-row change from then on, sold at or above the high one."""
     w = Window.partitionBy(*keys).orderBy("pos")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    d = df.withColumn("q_lo", rolling_quantile(x, arm, lookback, least, w)).withColumn("q_hi", rolling_quantile(x, sell, lookback, least, w))
+    d = sliding_quantiles(df, {"q_lo": (x, arm, lookback, least), "q_hi": (x, sell, lookback, least)}, keys)
     d = d.withColumn("chg", F.col(x) - F.lag(x, reversal).over(w))
     d = d.withColumn("armed", F.max(F.when(F.col(x) <= F.col("q_lo"), F.col("pos"))).over(upto)).withColumn("up", F.max(F.when(F.col("chg") > 0, F.col("pos"))).over(before))
     buy = (F.col("chg") > 0) & F.col("armed").isNotNull() & (F.col("armed") > F.coalesce("up", F.lit(-1)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.order import exact_quantiles
+
 BY = ("date",)
 
 
@@ -96,9 +98,9 @@ def selection_excess(df: DataFrame, score: str, fwd: str, n: int, bins: int = 5,
 
 
 def pooled_terciles(df: DataFrame, value: str, out: str = "tercile") -> DataFrame:
-    """Thirds of the pooled sample, edges right-closed."""
-    cuts = df.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("__q"))
-    return df.crossJoin(F.broadcast(cuts)).withColumn(out, F.when(F.col(value).isNotNull(), F.when(F.col(value) <= F.col("__q")[0], 0).when(F.col(value) <= F.col("__q")[1], 1).otherwise(2))).drop("__q")
+    """Thirds of the pooled sample, edges right-closed. The edges are found at once, see exact_quantiles."""
+    lo, hi = exact_quantiles(df, value, [1 / 3, 2 / 3])
+    return df.withColumn(out, F.when(F.col(value).isNotNull(), F.when(F.col(value) <= F.lit(lo), 0).when(F.col(value) <= F.lit(hi), 1).otherwise(2)))
 
 
 def sector_demean(value, sector, by=BY) -> Column:
@@ -146,13 +148,40 @@ def basket_weights(raw=None, by=BY) -> Column:
 
 
 def hysteresis_band(df: DataFrame, score: str, n: int, band: int, order: str = "date") -> DataFrame:
-    """Adds held: in at rank n, out below rank n + band. Per name, so the number held may exceed n; band 0 is the plain top n."""
+    """Adds held: in at rank n, out below rank n + band. Per name, so the number held may exceed n; band 0 is the plain top n. See hysteresis_book for a book of n names."""
     d = df.withColumn("rank", place(score))
     w = Window.partitionBy("code").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sig = F.when(F.coalesce(F.col("rank") > n + band, F.lit(True)), 0).when(F.col("rank") <= n, 1)
     return d.withColumn("held", F.coalesce(F.last(sig, True).over(w), F.lit(0)) == 1)
 
 
+def hysteresis_book(df: DataFrame, score: str, n: int | str, band: int | str, by: tuple[str, ...] = (), order: str = "date") -> DataFrame:
+    """(by, order, code) of a book of at most n names: those held stay while their rank is n + band or better, best first; places left go to names of rank n or better.
+
+    What is held decides what is held next, so the dates of a book are folded in order: an array of at most n + band names each, one row for a
+    book. n and band may be columns among `by`, so a sweep is one job.
+    """
+    size, slack = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (n, band))
+    d = df.withColumn("__r", place(score, True, (*by, order)))
+    near = F.array_sort(F.collect_list(F.when(F.col("__r") <= size + slack, F.struct("__r", "code"))))
+    # grouped by date first: a fold then has an array a date, whatever the number of names
+    dates = d.groupBy(*by, order).agg(F.transform(near, lambda x: x["code"]).alias("__near"))
+    row = F.struct(F.col(order).alias("at"), F.col("__near").alias("near"), size.cast("int").alias("n"))
+    folds = dates.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("__days"))
+    day = f"array<struct<at:{df.schema[order].dataType.simpleString()},held:array<string>>>"
+    state = lambda held, out: F.struct(held.alias("held"), out.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        stay = F.slice(F.filter(x["near"], lambda c: F.array_contains(s["held"], c)), F.lit(1), x["n"])
+        fresh = F.filter(F.slice(x["near"], F.lit(1), x["n"]), lambda c: ~F.array_contains(stay, c))
+        held = F.slice(F.concat(stay, fresh), F.lit(1), x["n"])
+        return state(held, F.concat(s["out"], F.array(F.struct(x["at"].alias("at"), held.alias("held")))))
+
+    none = state(F.array().cast("array<string>"), F.array().cast(day))
+    out = folds.select(*by, F.explode(F.aggregate("__days", none, step, lambda s: s["out"])).alias("x"))
+    return out.select(*by, F.col("x.at").alias(order), F.explode("x.held").alias("code"))
+
+
 def argmax_asset(df: DataFrame, value: str, asset: str = "code", by=BY) -> DataFrame:
     """(by, pick): the asset with the largest value; the lowest name among equals; none where all are NULL."""
     best = F.min(F.struct((-F.col(value)).alias("v"), F.col(asset).alias("a")))

@@ -157,8 +157,7 @@ def b15(t):
 @query("b16_ledger_parity", "SELECT max(abs(equity - other)) < 1e-4 AS equal, count(*) AS n FROM (SELECT a.account, d.date, 1e6 - coalesce(sum(f.shares*f.price + f.fee), 0) + coalesce(sum(f.shares*coalesce(m.close, 0)), 0) AS equity, 1e6 + coalesce(sum(f.shares*(coalesce(m.close, 0) - f.price) - f.fee), 0) AS other FROM (SELECT DISTINCT account FROM fills) a CROSS JOIN (SELECT DISTINCT date FROM marks) d JOIN fills f ON f.account = a.account AND f.date <= d.date LEFT JOIN marks m ON m.code = f.code AND m.date = d.date GROUP BY 1, 2) x")
 def b16(t):
     a = B.ledger(t.fills, t.marks).select("account", "date", "equity")
-    f = t.fills.join(F.broadcast(t.marks.select(F.col("date").alias("day")).distinct()), F.col("date") <= F.col("day")).join(t.marks.select("code", F.col("date").alias("day"), "close"), ["code", "day"], "left")
-    b = f.groupBy("account", F.col("day").alias("date")).agg((1e6 + F.sum(F.col("shares") * (F.coalesce("close", F.lit(0.0)) - F.col("price")) - F.col("fee"))).alias("other"))
+    b = B.equity_by_marks(t.fills, t.marks).withColumnRenamed("equity", "other")
     return a.join(b, ["account", "date"]).agg((F.max(F.abs(F.col("equity") - F.col("other"))) < 1e-4).alias("equal"), F.count("*").alias("n"))
 
 

@@ -9,6 +9,7 @@ from panelspark.functions import scalars as S
 from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
 from panelspark.operators.asof import membership_asof
+from panelspark.operators.order import sliding_quantiles
 from panelspark.queries import query
 
 CODES = "code, date"
@@ -145,15 +146,15 @@ def w7(t):
 
 @query("w8_w9_rolling_quantiles", "SELECT code, date, CASE WHEN count(close*volume) OVER a >= 10 THEN quantile_cont(close*volume, 0.5) OVER a END AS med, CASE WHEN count(pe_ttm) OVER b >= 20 THEN quantile_cont(pe_ttm, 0.7) OVER b END AS q70 FROM dense WINDOW a AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)", "med q70")
 def w8(t):
-    d = rets(t).withColumn("v", F.col("close") * F.col("volume"))
-    return d.select("code", "date", W.rolling_quantile("v", 0.5, 20, 10).alias("med"), W.rolling_quantile("pe_ttm", 0.7, 60, 20).alias("q70"))
+    d = W.densify_panel(t.bars, t.calendar, t.codes).select("code", "date", "pos", (F.col("close") * F.col("volume")).alias("v"), "pe_ttm")
+    return sliding_quantiles(d, {"med": ("v", 0.5, 20, 10), "q70": ("pe_ttm", 0.7, 60, 20)}).select("code", "date", "med", "q70")
 
 
 @query("w10_pe_gates", "SELECT code, date, n >= 20 AS valid, n >= 20 AND coalesce(pe_ttm < 0 OR pe_ttm >= q70, false) AS high, n >= 20 AND coalesce(pe_ttm > 0 AND pe_ttm <= q30, false) AS low FROM (SELECT *, count(pe_ttm) OVER w AS n, quantile_cont(CASE WHEN pe_ttm > 0 THEN pe_ttm END, 0.7) OVER w AS q70, quantile_cont(CASE WHEN pe_ttm > 0 THEN pe_ttm END, 0.3) OVER w AS q30 FROM (SELECT code, date, pos, round(pe_ttm, 4) AS pe_ttm FROM dense) y WINDOW w AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) x")
 def w10(t):
-    pos = F.when(F.col("pe_ttm") > 0, F.col("pe_ttm"))
-    frame = W.by_code().rowsBetween(-59, 0)
-    d = rets(t).withColumn("pe_ttm", F.round("pe_ttm", 4)).withColumn("n", F.count("pe_ttm").over(frame)).withColumn("q70", W.rolling_quantile(pos, 0.7, 60, 1)).withColumn("q30", W.rolling_quantile(pos, 0.3, 60, 1))
+    d = W.densify_panel(t.bars, t.calendar, t.codes).select("code", "date", "pos", F.round("pe_ttm", 4).alias("pe_ttm"))
+    d = d.withColumn("n", F.count("pe_ttm").over(W.by_code().rowsBetween(-59, 0))).withColumn("own", F.when(F.col("pe_ttm") > 0, F.col("pe_ttm")))
+    d = sliding_quantiles(d, {"q70": ("own", 0.7, 60, 1), "q30": ("own", 0.3, 60, 1)})
     ok = F.col("n") >= 20
     return d.select("code", "date", ok.alias("valid"), S.eligible(ok, (F.col("pe_ttm") < 0) | (F.col("pe_ttm") >= F.col("q70"))).alias("high"), S.eligible(ok, (F.col("pe_ttm") > 0) & (F.col("pe_ttm") <= F.col("q30"))).alias("low"))
 
@@ -282,9 +283,26 @@ def x5(t):
     return t.bars.withColumn("hi", X.place("amount")).withColumn("lo", X.place("amount", False)).where("hi <= 3 or lo <= 3").select("date", "code", (F.col("hi") <= 3).alias("top"), (F.col("lo") <= 3).alias("bottom"))
 
 
-@query("x7_hysteresis", "SELECT date, code FROM (SELECT date, code, last_value(CASE WHEN rk IS NULL OR rk > 8 THEN 0 WHEN rk <= 5 THEN 1 END IGNORE NULLS) OVER (PARTITION BY code ORDER BY date) AS h FROM (SELECT date, code, CASE WHEN amount IS NOT NULL THEN row_number() OVER (PARTITION BY date, amount IS NULL ORDER BY amount DESC, code) END AS rk FROM ms) a) b WHERE h = 1", extra=SCORES)
+def fold_sql(ranked: str, keys: str = "") -> str:
+    """(keys, date, code) of books folded over their dates; ranked: (keys, dn, date, near, n), near the names by rank, dn the dates from 1."""
+    k = f"{keys}, " if keys else ""
+    r = "".join(f"r.{c.strip()}, " for c in keys.split(",")) if keys else ""
+    on = "".join(f" AND r.{c.strip()} = st.{c.strip()}" for c in keys.split(",")) if keys else ""
+    seed = f"SELECT DISTINCT {k}CAST(0 AS BIGINT) AS dn, CAST(NULL AS DATE) AS date, CAST([] AS VARCHAR[]) AS held FROM {ranked}"
+    step = f"SELECT {k}dn, date, list_concat(stay, list_filter(near[1:n], lambda c: NOT list_contains(stay, c)))[1:n] FROM (SELECT {r}r.dn, r.date, r.near, r.n, list_filter(r.near, lambda c: list_contains(st.held, c))[1:r.n] AS stay FROM st JOIN {ranked} r ON r.dn = st.dn + 1{on}) q"
+    return f"SELECT {k}date, unnest(held) AS code FROM (WITH RECURSIVE st AS ({seed} UNION ALL {step}) SELECT * FROM st) s WHERE dn > 0"
+
+
+NEAR = {
+    "placed": "SELECT date, code, CASE WHEN amount IS NOT NULL THEN row_number() OVER (PARTITION BY date, amount IS NULL ORDER BY amount DESC, code) END AS rk FROM ms",
+    "folded": "SELECT date, row_number() OVER (ORDER BY date) AS dn, 5 AS n, coalesce(list(code ORDER BY rk) FILTER (WHERE rk <= 8), []) AS near FROM placed GROUP BY date",
+}
+
+
+@query("x7_hysteresis", fold_sql("folded"), extra=SCORES | NEAR)
 def x7(t):
-    return X.hysteresis_band(month_scores(t), "amount", 5, 3).where("held").select("date", "code")
+    """A book of five names by amount: a name stays down to rank 8, a new one comes in at rank 5 while there is room."""
+    return X.hysteresis_book(month_scores(t), "amount", 5, 3)
 
 
 @query("x8_rank_pct", "SELECT date, code, (rank() OVER (PARTITION BY date ORDER BY turn) + (count(*) OVER (PARTITION BY date, turn) - 1) / 2.0) / count(*) OVER (PARTITION BY date) AS pct FROM bars WHERE turn IS NOT NULL", "pct")

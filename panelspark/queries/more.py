@@ -11,6 +11,7 @@ from panelspark.operators import portfolio as B
 from panelspark.operators import stats as A
 from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
+from panelspark.operators.order import sliding_quantiles
 from panelspark.queries import query
 from panelspark.queries.books import BOOK, SUMMARY, SUMMED, book_sql, top_book
 from panelspark.queries.events import abnormal
@@ -140,8 +141,8 @@ def q21(t):
     "SELECT variant, date FROM month_ends, (VALUES ('inverse'), ('all')) v(variant)"))
 def q22(t):
     """Held on a high or negative multiple, sold on a low one, against holding all."""
-    pos = F.when(F.col("pe_ttm") > 0, F.col("pe_ttm"))
-    d = rets(t).withColumn("pe_ttm", F.round("pe_ttm", 4)).withColumn("q70", F.round(W.rolling_quantile(pos, 0.7, 60, 5), 6)).withColumn("q30", F.round(W.rolling_quantile(pos, 0.3, 60, 5), 6))
+    d = rets(t).withColumn("pe_ttm", F.round("pe_ttm", 4)).withColumn("own", F.when(F.col("pe_ttm") > 0, F.col("pe_ttm")))
+    d = sliding_quantiles(d, {"q70": ("own", 0.7, 60, 5), "q30": ("own", 0.3, 60, 5)}).withColumns({c: F.round(c, 6) for c in ("q70", "q30")})
     d = d.withColumn("held", W.state_hold((F.col("pe_ttm") < 0) | (F.col("pe_ttm") >= F.col("q70")), (F.col("pe_ttm") > 0) & (F.col("pe_ttm") <= F.col("q30"))))
     m = d.join(F.broadcast(t.month_ends), "date").where("held = 1 and close is not null").select(F.lit("inverse").alias("variant"), "date", "code")
     a = d.join(F.broadcast(t.month_ends), "date").where("close is not null").select(F.lit("all").alias("variant"), "date", "code")

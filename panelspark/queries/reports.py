@@ -13,6 +13,7 @@ from panelspark.operators import portfolio as B
 from panelspark.operators import stats as A
 from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
+from panelspark.operators.order import sliding_quantiles
 from panelspark.queries import query
 from panelspark.queries.books import FRAC, RATES, SUMMARY, SUMMED, book_sql, summary
 from panelspark.queries.factors import LIMITS, SCORES, Z, blended, flagged, month_scores, rets
@@ -222,10 +223,16 @@ def own_rows(t):
     return t.bars.withColumn("pos", F.row_number().over(Window.partitionBy("code").orderBy("date"))).select("code", "date", "pos", "close", F.round("pe_ttm", 4).alias("pe"))
 
 
+def own_history(t, window: int):
+    """own_rows with n, the multiples in a name's last `window` rows, and q30, the low one among the positive ones."""
+    frame = Window.partitionBy("code").orderBy("pos").rowsBetween(-(window - 1), 0)
+    d = own_rows(t).withColumn("n", F.count("pe").over(frame)).withColumn("own", F.when(F.col("pe") > 0, F.col("pe")))
+    return sliding_quantiles(d, {"q30": ("own", 0.3, window, 1)}).withColumn("q30", F.round("q30", 6))
+
+
 def quality_events(t, window: int = 1200, least: int = 750):
     """First rows of a name's spells of quality (three reports over 11 %) and of value (its multiple low in its own history)."""
-    frame = Window.partitionBy("code").orderBy("pos").rowsBetween(-(window - 1), 0)
-    d = own_rows(t).withColumn("n", F.count("pe").over(frame)).withColumn("q30", F.round(F.percentile(F.when(F.col("pe") > 0, F.col("pe")), F.lit(0.3)).over(frame), 6))
+    d = own_history(t, window)
     f = Window.partitionBy("code").orderBy("pub_date").rowsBetween(-2, 0)
     ok = t.annual_reports.select("code", "pub_date", "stat_date", ((F.count("roe").over(f) >= 3) & (F.min("roe").over(f) > 0.11)).alias("ok"))
     d = J.report_asof(d, ok, "ok")
@@ -320,8 +327,7 @@ def q23(t):
 @query("w9_w10_own_history", "SELECT code, date, n >= 750 AS valid, CASE WHEN n >= 750 THEN q30 END AS q30 FROM oq", "q30", extra=OWN)
 def w9(t):
     """A name's low multiple in its own last 1,200 rows, at least 750 of them with one."""
-    frame = Window.partitionBy("code").orderBy("pos").rowsBetween(-1199, 0)
-    d = own_rows(t).withColumn("n", F.count("pe").over(frame)).withColumn("q30", F.round(F.percentile(F.when(F.col("pe") > 0, F.col("pe")), F.lit(0.3)).over(frame), 6))
+    d = own_history(t, 1200)
     return d.select("code", "date", (F.col("n") >= 750).alias("valid"), F.when(F.col("n") >= 750, F.col("q30")).alias("q30"))
 
 

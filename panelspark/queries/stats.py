@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import dist
 from panelspark.operators import stats as A
+from panelspark.operators.order import correlations
 from panelspark.operators import xsection as X
 from panelspark.queries import query
 from panelspark.queries.factors import rets
@@ -66,8 +67,7 @@ def a11(t):
 
 @query("a12_pair_corr", "SELECT a.code AS x, b.code AS y, corr(a.ret, b.ret) AS c FROM rets a JOIN rets b ON a.date = b.date AND a.code < b.code WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2", "c")
 def a12(t):
-    d = rets(t).where("ret is not null").select("date", "code", "ret")
-    return d.select("date", F.col("code").alias("x"), F.col("ret").alias("rx")).join(d.select("date", F.col("code").alias("y"), F.col("ret").alias("ry")), "date").where("x < y").groupBy("x", "y").agg(F.corr("rx", "ry").alias("c"))
+    return correlations(rets(t), "ret").select("x", "y", "c")
 
 
 @query("a13_window_inference")
