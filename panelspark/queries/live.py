@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelspark.functions import scalars as S
+from panelspark.operators import windows as W
 from panelspark.operators import xsection as X
+from panelspark.operators.asof import membership_asof
 from panelspark.plans import ml
 from panelspark.queries import query
 from panelspark.queries.factors import LIMITS, SCORES, Z, flagged, month_scores
-from panelspark.sources.files import fresh_path
+from panelspark.sources.files import fresh_path, written
 from panelspark.streaming import streams
 
 
@@ -34,15 +37,69 @@ def m1(t):
     return ml.build_dataset(month_scores(t), ["mom", "ey"]).groupBy("date").agg(F.count("*").alias("n"), F.sum("fwd").alias("s"))
 
 
+FACTORS = ("ep", "bp", "low_vol", "mom", "rev")
+MIN_TRAIN = 24
+
+
+def five_factors(t):
+    """(date, code, five scores, fwd) of members at month ends. Prices and multiples of days without a bar are the last ones."""
+    carry = lambda c: F.last(c, True).over(W.by_code().rowsBetween(Window.unboundedPreceding, 0))
+    d = W.densify_panel(t.bars, t.calendar, t.codes).withColumns({"mark": W.valuation_mark(), "pe": carry("pe_ttm"), "pb": carry("pb_mrq")})
+    d = d.withColumn("mr", W.daily_return("mark"))
+    d = d.withColumns({"ep": S.inverse_positive("pe"), "bp": S.inverse_positive("pb"), "low_vol": W.low_vol("mr", 120), "mom": W.momentum("mark", 120, 20), "rev": -W.trailing_return("mark", 20)})
+    w = Window.partitionBy("code").orderBy("date")
+    m = d.join(F.broadcast(t.month_ends), "date").withColumn("fwd", F.lead("mark").over(w) / F.col("mark") - 1)
+    return m.join(membership_asof(t.month_ends, t.membership), ["date", "code"]).select("date", "code", *FACTORS, "fwd")
+
+
+def folded(t):
+    d = written(ml.build_dataset(five_factors(t), list(FACTORS)), "factors")
+    return d, [r.date for r in d.select("date").distinct().orderBy("date").collect()]  # a date a month
+
+
+def out_of_sample(d, folds):
+    """A row for each factor, of the months that a model would be asked for."""
+    late = d.where(F.col("date") >= F.lit(folds[MIN_TRAIN])) if len(folds) > MIN_TRAIN else d.limit(0)
+    return late.select("date", "code", "fwd", F.explode(F.array(*(F.struct(F.lit(f).alias("strategy"), F.round(f, 9).alias("v")) for f in FACTORS))).alias("x")).select("x.strategy", "date", "code", "x.v", "fwd")
+
+
+FIVE = {
+    "fill": "SELECT date, code, pos, CASE WHEN pos <= max(CASE WHEN close IS NOT NULL THEN pos END) OVER (PARTITION BY code) THEN last_value(close IGNORE NULLS) OVER w END AS mark, last_value(pe_ttm IGNORE NULLS) OVER w AS pe, last_value(pb_mrq IGNORE NULLS) OVER w AS pb FROM dense WINDOW w AS (PARTITION BY code ORDER BY pos)",
+    "moved": "SELECT *, mark / lag(mark) OVER (PARTITION BY code ORDER BY pos) - 1 AS mr FROM fill",
+    "five": "SELECT date, code, mark, CASE WHEN pe > 0 THEN 1/pe END AS ep, CASE WHEN pb > 0 THEN 1/pb END AS bp, CASE WHEN count(mr) OVER v >= 120 THEN -stddev_samp(mr) OVER v END AS low_vol, lag(mark, 20) OVER w / lag(mark, 120) OVER w - 1 AS mom, -(mark / lag(mark, 20) OVER w - 1) AS rev FROM moved WINDOW w AS (PARTITION BY code ORDER BY pos), v AS (PARTITION BY code ORDER BY pos ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)",
+    "fivem": "SELECT f.*, fwd FROM (SELECT *, lead(mark) OVER (PARTITION BY code ORDER BY date) / mark - 1 AS fwd FROM five JOIN month_ends USING (date)) f JOIN members m ON m.date = f.date AND m.code = f.code",
+    "tall": "SELECT date, code, fwd, f, x FROM (SELECT date, code, fwd, ep, bp, low_vol, mom, rev FROM fivem) UNPIVOT INCLUDE NULLS (x FOR f IN (ep, bp, low_vol, mom, rev))",
+    "cuts": "SELECT date, f, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM tall GROUP BY date, f",
+    "clipped": "SELECT t.*, CASE WHEN x IS NOT NULL THEN least(greatest(x, lo), hi) END AS c FROM tall t JOIN cuts USING (date, f)",
+    "scaled": "SELECT *, CASE WHEN stddev_samp(c) OVER w > 1e-9 * abs(avg(c) OVER w) THEN (c - avg(c) OVER w) / stddev_samp(c) OVER w END AS z FROM clipped WINDOW w AS (PARTITION BY date, f)",
+    "whole": "SELECT s.date, s.code, f AS strategy, round(z, 9) AS v, fwd FROM scaled s JOIN (SELECT date, code FROM scaled GROUP BY date, code HAVING count(z) = 5 AND count(fwd) = 5) k USING (date, code)",
+    "oos": f"SELECT strategy, date, code, v, fwd - avg(fwd) OVER (PARTITION BY strategy, date) AS fwd FROM whole WHERE date >= (SELECT max(date) FROM (SELECT DISTINCT date FROM whole ORDER BY date LIMIT {MIN_TRAIN + 1}) z HAVING count(*) = {MIN_TRAIN + 1})",
+    "ranked": "SELECT *, rank() OVER (PARTITION BY strategy, date ORDER BY v) + (count(*) OVER (PARTITION BY strategy, date, v) - 1)/2.0 AS a, rank() OVER (PARTITION BY strategy, date ORDER BY fwd) + (count(*) OVER (PARTITION BY strategy, date, fwd) - 1)/2.0 AS b, row_number() OVER (PARTITION BY strategy, date ORDER BY v DESC, code) AS p, row_number() OVER (PARTITION BY strategy, date ORDER BY v, code) - 1 AS r, count(*) OVER (PARTITION BY strategy, date) AS n FROM oos",
+    "monthly": "SELECT strategy, date, corr(a, b) AS ic, avg(CASE WHEN p <= 5 THEN fwd END) - avg(fwd) AS excess, avg(CASE WHEN greatest(0, ceil(r*5.0/greatest(n - 1, 1)) - 1) = 4 THEN fwd END) - avg(CASE WHEN greatest(0, ceil(r*5.0/greatest(n - 1, 1)) - 1) = 0 THEN fwd END) AS spread FROM ranked GROUP BY strategy, date HAVING count(*) >= 5",
+}
+
+
+@query("q16_single_factors", "SELECT strategy, count(ic) AS months, avg(ic) AS mean_ic, avg(ic)/stddev_samp(ic) AS ir, avg(ic)/stddev_samp(ic)*sqrt(count(ic)) AS t, avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END) AS hit, avg(excess) AS excess, avg(spread) AS spread FROM monthly GROUP BY strategy", "mean_ic ir t hit excess spread", extra=FIVE)
+def q16_factors(t):
+    """The five factors by themselves, over the months that a model is asked for."""
+    return ml.evaluated(out_of_sample(*folded(t)))
+
+
+@query("q16_model_vs_factors")
+def q16_model(t):
+    """The model's scores against those of the single factors, over the months that it predicts."""
+    d, folds = folded(t)
+    p = ml.walk_forward_predict(d, list(FACTORS), folds)
+    alone = out_of_sample(d, folds).join(F.broadcast(p.select("date").distinct()), "date")
+    both = alone.unionByName(p.select(F.lit("model").alias("strategy"), "date", "code", F.col("pred").alias("v"), "fwd"))
+    return ml.evaluated(both).select("strategy", "months", *(F.round(c, 6).alias(c) for c in ("mean_ic", "ir", "t", "hit", "excess", "spread")))
+
+
 @query("m2_m3_walk_forward")
 def m2(t):
-    d = ml.build_dataset(month_scores(t), ["mom", "ey"])
-    folds = [r.date for r in d.select("date").distinct().orderBy("date").collect()]  # a date a month
-    p = ml.walk_forward_predict(d, ["mom", "ey"], folds, least_rows=50)  # 200 would leave no month of sf0.01, where 36 months hold 67 to 123 rows
-    if p is None:
-        return d.select("date", F.lit(None).cast("double").alias("ic"), F.lit(0).cast("long").alias("n")).limit(0)
-    return X.rank_ic(p, "pred", "fwd").withColumn("ic", F.round("ic", 4))
-
+    """Rank correlation of each month's predictions with what followed."""
+    d, folds = folded(t)
+    return X.rank_ic(ml.walk_forward_predict(d, list(FACTORS), folds), "pred", "fwd").withColumn("ic", F.round("ic", 6))
 
 
 def arriving(t, name: str, batches: list, start):
