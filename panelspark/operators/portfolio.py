@@ -23,12 +23,13 @@ def rebalance_blocks(signals: DataFrame, calendar: DataFrame, by: tuple[str, ...
     return d.withColumn("block", F.row_number().over(w)).withColumn("next_exec", F.coalesce(F.lead("exec_pos").over(w), F.col("last"))).drop("last")
 
 
-def ew_portfolio(targets: DataFrame, signals: DataFrame, rets: DataFrame, calendar: DataFrame, rates: tuple[float, float] = (0.0, 0.0), by: tuple[str, ...] = BY, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+def ew_portfolio(targets: DataFrame, signals: DataFrame, rets: DataFrame, calendar: DataFrame, rates: tuple[float, float] | DataFrame = (0.0, 0.0), by: tuple[str, ...] = BY, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(daily, rebalances) of a rebalanced long book.
 
     targets: (by, date, code[, weight]) chosen at each signal; signals: all signal dates, empty ones too; rets: (code, pos, ret).
     Weights are equal (or `weight`, the rest cash) at the exec row and drift in the block; a NULL return counts 0. Costs are
-    one-sided on the changes against the drifted weights, booked on the exec row, which still earns the block before.
+    one-sided on the changes against the drifted weights, booked on the exec row, which still earns the block before. rates: of buys and
+    sells, or a table (by, buy, sell) with a row for each book.
     daily: by, pos, gross, cost, net. rebalances: by, block, exec_pos, n_held, turnover.
 
     Blocks, holdings and daily positions are read many times below, so they are written to the shared folder once.
@@ -50,7 +51,11 @@ def ew_portfolio(targets: DataFrame, signals: DataFrame, rets: DataFrame, calend
     delta = held.select(*keys, "code", "w0").join(end, [*keys, "code"], "full").withColumn("dw", F.coalesce("w0", F.lit(0.0)) - F.coalesce("w_end", F.lit(0.0)))
     turn = delta.groupBy(*keys).agg(F.sum(F.when(F.col("dw") > 0, F.col("dw")).otherwise(0.0)).alias("buys"), F.sum(F.when(F.col("dw") < 0, -F.col("dw")).otherwise(0.0)).alias("sells"), F.count("w0").alias("n_held"))
     reb = b.join(turn, keys, "left").select(*keys, "date", "exec_pos", F.coalesce("n_held", F.lit(0)).alias("n_held"), F.coalesce("buys", F.lit(0.0)).alias("buys"), F.coalesce("sells", F.lit(0.0)).alias("sells"))
-    reb = reb.withColumn("turnover", (F.col("buys") + F.col("sells")) / 2).withColumn("cost", F.col("buys") * rates[0] + F.col("sells") * rates[1])
+    if isinstance(rates, DataFrame):
+        reb = reb.join(rates.select(*by, F.col("buy").alias("__buy"), F.col("sell").alias("__sell")), list(by))
+    else:
+        reb = reb.withColumn("__buy", F.lit(rates[0])).withColumn("__sell", F.lit(rates[1]))
+    reb = reb.withColumn("turnover", (F.col("buys") + F.col("sells")) / 2).withColumn("cost", F.col("buys") * F.col("__buy") + F.col("sells") * F.col("__sell")).drop("__buy", "__sell")
     start = b.groupBy(*by).agg(F.min("exec_pos").alias("first"))
     grid = start.crossJoin(F.broadcast(calendar.select("pos"))).where("pos >= first").drop("first")
     daily = grid.join(gross.select(*by, "pos", "gross"), [*by, "pos"], "left").join(reb.select(*by, F.col("exec_pos").alias("pos"), "cost"), [*by, "pos"], "left")

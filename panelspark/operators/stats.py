@@ -86,6 +86,28 @@ def welch(df: DataFrame, value: str, group: Column) -> DataFrame:
     return g.select(t.alias("t"), dof.alias("df")).withColumn("p", dist.t_two_sided(F.col("t"), F.col("df")))
 
 
+def boundaries(df: DataFrame, value: str, by: tuple[str, ...], order: str = "date", least: int = 6) -> DataFrame:
+    """(by, order, n_early, n_late, late, t_late, welch) at each row that can split a series: the part from it on by itself, and against the part before.
+
+    Both parts come from running counts, sums and squares, so all splits cost one pass. `least` rows on either side.
+    """
+    w = Window.partitionBy(*by)
+    before = w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    x = F.col(value)
+    d = df.where(x.isNotNull()).select(*by, order, F.count("*").over(before).alias("n1"), F.sum(x).over(before).alias("s1"), F.sum(x * x).over(before).alias("q1"), F.count("*").over(w).alias("n"), F.sum(x).over(w).alias("s"), F.sum(x * x).over(w).alias("q"))
+    d = d.withColumns({"n2": F.col("n") - F.col("n1"), "s2": F.col("s") - F.col("s1"), "q2": F.col("q") - F.col("q1")}).where(f"n1 >= {least} and n2 >= {least}")
+    mean = lambda k: F.col(f"s{k}") / F.col(f"n{k}")
+    error = lambda k: (F.col(f"q{k}") - F.col(f"n{k}") * mean(k) * mean(k)) / (F.col(f"n{k}") - 1) / F.col(f"n{k}")
+    ratio = lambda a, e: F.when(e >= TINY * TINY, a / F.sqrt(e))
+    return d.select(*by, order, F.col("n1").alias("n_early"), F.col("n2").alias("n_late"), mean(2).alias("late"), ratio(mean(2), error(2)).alias("t_late"), ratio(mean(1) - mean(2), error(1) + error(2)).alias("welch"))
+
+
+def in_windows(df: DataFrame, value: str, windows: DataFrame, by: tuple[str, ...], order: str = "date") -> DataFrame:
+    """(by, label, n, mean, t, hit) of a value in each window (label, lo, hi), a few rows that may overlap."""
+    d = df.where(F.col(value).isNotNull()).join(F.broadcast(windows), F.col(order).between(F.col("lo"), F.col("hi")))
+    return d.groupBy(*by, "label").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), t_of(value).alias("t"), F.avg((F.col(value) > 0).cast("double")).alias("hit"))
+
+
 def sign_test(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     g = df.where(F.col(value).isNotNull() & (F.col(value) != 0)).groupBy(*by).agg(F.count_if(F.col(value) > 0).alias("wins"), F.count("*").alias("n"))
     return g.withColumn("p", dist.binomial_two_sided(F.col("wins"), F.col("n")))
