@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelspark.queries import ORACLES, QUERIES, books, events, factors, grids, joins, landed, live, more, reports, sources, stats, studies  # noqa: F401
+from panelspark.queries import ORACLES, QUERIES, books, events, factors, grids, joins, landed, live, more, reports, samples, sources, stats, studies  # noqa: F401
 
 
 def queries() -> dict:
