@@ -4,8 +4,10 @@ Each distinct shingle of a document falls into one of REGISTERS buckets by its h
 remaining hash as the number of its leading zeros and MANTISSA more bits: 16 bits. Bands of ROWS registers make buckets of
 candidates; documents with equal shingle sets count as one class throughout. In a bucket every member is compared with
 the most connected one, not with all others. What that leaves in another component than the bucket's largest one is then
-held against the bucket's members, which are cut into blocks for it; members of the largest component are never held
-against each other, and tasks give back links between components, not pairs. A candidate pair first needs an estimated Jaccard similarity, corrected for chance collisions of
+held against the bucket's members; members of the largest component are never held against each other, and tasks give back links between
+components, not pairs. A member asks only others of sizes that it can be similar to: shingles that no other such member has are lost to any
+similarity, which leaves a narrow range of sizes, mostly none for texts that are each edited in their own way. Who asks and who is asked are both
+cut into blocks, so a task holds two blocks whatever the bucket. A candidate pair first needs an estimated Jaccard similarity, corrected for chance collisions of
 compressed registers, near the threshold, and then the exact similarity of the full sets.
 
 At similarity 0.8 a pair shares no band with probability 3e-6.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import LOWER, NO_KEY, materialize, mix, prefix_hash, span_hash, steps, text_bytes, within, words
+from panelspark.llm.common import LOWER, NO_KEY, has_bit, hash_bits, materialize, mix, prefix_hash, span_hash, steps, text_bytes, within, words
 from panelspark.llm.graph import components
 
 BANDS, ROWS = 32, 5
@@ -35,8 +37,10 @@ MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
 #: Standard deviations below the threshold at which an estimate still lets a pair through to the exact test.
 SLACK = 5.0
-#: Members of a bucket in one task at most, about; a task also has those of the bucket that ask.
+#: Members of a bucket that ask, and that are asked, in one task at most, about.
 BLOCK = 1024
+#: Taken off the threshold where sets are of 32-bit hashes, which may collide; whole hashes decide afterwards.
+MARGIN = 0.01
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,30 +189,71 @@ def compact_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, set binary")
 
 
+def supported(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, set, size, most): the size of each set, and the largest size of a set that it can reach the threshold with.
+
+    A shingle of one set alone is in no intersection. With c others, similarity to a set of s shingles is at most c / (size + s - c). Which shingles
+    occur twice is told by a bitmap of at most 8 MB; what it lets through besides only makes the bound weaker.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(mix(np.frombuffer(s.as_py(), np.uint32).astype(np.uint64)).view(np.int64))], ["hash"])
+
+    twice = sets.mapInArrow(each, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    known = sets.sparkSession.sparkContext.broadcast(hash_bits(twice.select("hash")))
+    t = threshold - MARGIN
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, most = [], []
+            for s in batch.column(1):
+                h = np.frombuffer(s.as_py(), np.uint32)
+                shared = int(has_bit(known.value, mix(h.astype(np.uint64))).sum())
+                size.append(len(h))
+                most.append(int(shared * (1 + t) / t - len(h)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int64()), pa.array(most, pa.int64())], ["id", "set", "size", "most"])
+
+    return sets.select("id", "set").mapInArrow(bound, "id long, set binary, size long, most long")
+
+
+def sizes_that_fit(size: int, most: int, sizes: np.ndarray, threshold: float) -> slice:
+    """Where sets of ascending `sizes` are that a set of this size, and bound, can reach the threshold with."""
+    return slice(int(np.searchsorted(sizes, (threshold - MARGIN) * size, "left")), int(np.searchsorted(sizes, min(most, size / (threshold - MARGIN)), "right")))
+
+
 def links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between different components within each bucket. members: (bucket, n, id, component, asks, registers, set).
+    """Links (a, b) between different components within each bucket. members: (bucket, id, component, asks, registers, set, size, most).
 
-    asks: whether a member is outside the bucket's largest component. A bucket of n members is cut into blocks of about BLOCK by a hash of the id;
-    what asks goes to each block, the others to theirs alone, so no task holds a whole bucket and no two members of the largest component meet. Pairs are held
+    asks: whether a member is outside the bucket's largest component. Those that ask, and all members, are each cut into blocks of about BLOCK by a
+    hash of the id, and each two blocks meet in a task. A member asks no more if even the bucket's smallest set is too large for it. Pairs are held
     against the estimate and then against their sets; what leaves a task is one link for each two components that it joins.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    row = ("id", "component", "asks", "registers", "set")
-    there = members.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), *row, F.lit(False).alias("query"))
-    asking = members.where("asks").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *row, F.lit(True).alias("query"))
+    least = members.groupBy("bucket").agg(F.min("size").alias("least"))
+    members = members.join(least, "bucket").withColumn("asks", F.col("asks") & (F.col("most") >= F.col("least"))).drop("least")
+    crowd = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nd"), F.ceil(F.count_if("asks") / BLOCK).cast("int").alias("nq")).where("nq > 0")
+    m = members.join(crowd, "bucket")
+    row = ("id", "component", "asks", "registers", "set", "size", "most")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    there = m.select("bucket", block("nd").alias("d"), every("nq").alias("q"), *row, F.lit(False).alias("query"))
+    asking = m.where("asks").select("bucket", every("nd").alias("d"), block("nq").alias("q"), *row, F.lit(True).alias("query"))
 
     def meet(t: pa.Table) -> pa.Table:
         ids, comp, reg = t.column("id").to_numpy(), t.column("component").to_numpy(), _matrix(t.column("registers"))
+        size, most = t.column("size").to_numpy(), t.column("most").to_numpy()
         asks, query = (np.asarray(t.column(c)) for c in ("asks", "query"))
         sets = [np.frombuffer(s, np.uint32) for s in t.column("set").to_pylist()]
-        size = np.array([len(s) for s in sets])
         data = np.flatnonzero(~query)
+        data = data[np.argsort(size[data], kind="stable")]
+        sizes = size[data]
         group = np.unique(comp, return_inverse=True)[1]  # relabelled as components are joined
         out: list[tuple[int, int]] = []
         for i in np.flatnonzero(query).tolist():
+            j = data[sizes_that_fit(size[i], most[i], sizes, threshold)]
             # of two that both ask, the one with the smaller id does
-            j = data[(group[data] != group[i]) & (~asks[data] | (ids[data] > ids[i]))]
-            j = j[np.minimum(size[j], size[i]) >= (threshold - 0.01) * np.maximum(size[j], size[i])]
+            j = j[(group[j] != group[i]) & (most[j] >= size[i]) & (~asks[j] | (ids[j] > ids[i]))]
             if len(j):
                 ra = np.broadcast_to(reg[i], (len(j), REGISTERS))
                 j = j[estimate(ra, reg[j]) >= threshold - tolerance(ra, reg[j], threshold)]
@@ -217,13 +262,13 @@ def links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
                     continue
                 shared = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
                 joint = size[i] + size[k] - shared
-                if shared >= (threshold - 0.01) * joint:  # the exact test follows on whole hashes
+                if shared >= (threshold - MARGIN) * joint:  # the exact test follows on whole hashes
                     out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
-                    if shared >= (threshold + 0.01) * joint:
+                    if shared >= (threshold + MARGIN) * joint:
                         group[group == group[k]] = group[i]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return there.unionAll(asking).groupBy("bucket", "block").applyInArrow(meet, "a long, b long").distinct()
+    return there.unionAll(asking).groupBy("bucket", "d", "q").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -279,9 +324,9 @@ def judged(docs: DataFrame, key: str, text: str, shingle: int, threshold: float)
     known = members.join(comp.withColumnRenamed("node", "b"), "b", "left").select("bucket", "n", F.col("b").alias("id"), F.coalesce("component", "b").alias("component"))
     parts = known.groupBy("bucket", "component").agg(F.count("*").alias("m"))
     apart = parts.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.count("*").alias("k"), F.sum("m").alias("all")).where("k > 1 and all > 2").select("bucket", "largest")
-    rest = materialize(known.join(apart, "bucket").select("bucket", "n", "id", "component", (F.col("component") != F.col("largest")).alias("asks")), "apart")
-    sets = compact_sets(texts.join(rest.select("id").distinct(), "id", "left_semi"), shingle)
-    more = links_in_blocks(rest.join(reg.join(sets, "id"), "id"), threshold)
+    rest = materialize(known.join(apart, "bucket").select("bucket", "id", "component", (F.col("component") != F.col("largest")).alias("asks")), "apart")
+    sets = materialize(compact_sets(texts.join(rest.select("id").distinct(), "id", "left_semi"), shingle), "sets")
+    more = links_in_blocks(rest.join(reg.join(supported(sets, threshold), "id"), "id"), threshold)
     late = materialize(verified(materialize(more, "late_candidates"), texts, shingle, threshold), "late_links")
     if not late.isEmpty():
         comp = materialize(components(links.unionAll(late)), "components")

@@ -3,6 +3,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,51 @@ def test_one_row_of_each_group_stays(spark):
     assert {(3, a), (2, b + " more")} <= set(left) and sum(k is None for k, _ in left) == 2
 
 
+def family(rng, n, changed=14, words=160):
+    """Copies of one text, each with `changed` words of its own: by design none is like another."""
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for i in rng.sample(range(words), changed):
+            w[i] = f"w{rng.randrange(900)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_edited_copies_that_are_not_alike_hardly_meet(spark):
+    met = {}
+    for n in (60, 240):
+        texts = spark.createDataFrame(list(enumerate(family(random.Random(n), n))), "id long, text string").repartition(3)
+        rows = minhash.supported(minhash.compact_sets(texts, 2), 0.8).collect()
+        sizes = sorted(r.size for r in rows)
+        assert len(rows) == n and all(r.most >= 0 for r in rows)
+        fits = [minhash.sizes_that_fit(r.size, r.most, np.array(sizes), 0.8) for r in rows]
+        met[n] = sum(max(0, x.stop - x.start) for x in fits)
+    assert met[240] <= 6 * max(met[60], 60)
+
+
+def test_links_within_a_family_are_all_found(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(12)
+    texts = family(rng, 90)
+    for t in texts[:25]:  # near copies of some of them, and parts of others
+        w = t.split()
+        w[rng.randrange(len(w))] = "other"
+        texts.append(" ".join(w if rng.random() < 0.5 else w[: int(len(w) * 0.85)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, shingle=2).collect()}
+    comp = list(range(len(texts)))
+    for _ in range(len(texts)):
+        for i in range(len(texts)):
+            for j in range(i):
+                if comp[i] != comp[j] and jaccard(texts[i], texts[j], 2) >= 0.8:
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+        if all(jaccard(texts[i], texts[j], 2) < 0.8 or comp[i] == comp[j] for i in range(len(texts)) for j in range(i)):
+            break
+    assert got == dict(enumerate(comp)) and len(set(comp)) < len(texts)
+
+
 def test_the_pipeline_judges_rows(spark, tmp_path):
     import corpus_pipeline
 
