@@ -33,6 +33,8 @@ MOST, PREFIX = 4, 3
 LEAST_COUNT, TOP = 30, 2000
 #: Sequences that a shard sorts at once, and that a range's task holds before it sums.
 FLUSH = 1 << 20
+#: Bytes of transducers that leave a shard at once.
+BATCH_BYTES = 1 << 22
 #: Words of the corpus for each range, and least and most ranges.
 RANGE_WORDS, RANGES = 1 << 20, (64, 1 << 16)
 
@@ -87,14 +89,20 @@ def shard_transducers(docs: DataFrame, sequences: Callable[[np.ndarray, np.ndarr
     """(range, fst) for each flush of each task: the count transducer of its sequences in the range. sequences: rows of labels from labels and joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             paths = np.concatenate(held)
             own = ranges_of(paths, ranges)
             order = np.argsort(own, kind="stable")
             paths, own = paths[order], own[order]
             cut = np.searchsorted(own, np.arange(ranges + 1))
-            rows = [(r, Transducer.build(*summed(paths[i:j], np.ones(j - i, np.int64))).pack()) for r, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if j > i]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["range", "fst"])
+            rows, full = [], 0
+            for r, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                if j > i:
+                    rows.append((r, Transducer.build(*summed(paths[i:j], np.ones(j - i, np.int64))).pack()))
+                    full += len(rows[-1][1])
+                if rows and (full >= BATCH_BYTES or r == ranges - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["range", "fst"])
+                    rows, full = [], 0
 
         held, size = [], 0
         for batch in steps(batches):
@@ -102,10 +110,10 @@ def shard_transducers(docs: DataFrame, sequences: Callable[[np.ndarray, np.ndarr
             held.append(sequences(label, joined))
             size += len(held[-1])
             if size >= FLUSH:
-                yield out()
+                yield from out()
                 held, size = [], 0
         if size:
-            yield out()
+            yield from out()
 
     return docs.mapInArrow(run, "range int, fst binary")
 
