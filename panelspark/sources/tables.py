@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelspark.sources.files import fresh_path
 
@@ -57,7 +58,7 @@ def ctes(body: str, extra: dict[str, str] | None = None, given: tuple[str, ...]
     return ("WITH " + ",\n".join(f"{v} AS ({known[v]})" for v in order) + "\n" if order else "") + body
 
 
-_BARS: dict[tuple[str, str], str] = {}
+_BARS: dict[tuple, str] = {}
 
 
 class Tables:
@@ -69,12 +70,17 @@ class Tables:
     def _spark_sql(self, text: str) -> DataFrame:
         return self.spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(BASE)})\b", rf"\1 parquet.`{self.sf_dir}/\2.parquet`", text))
 
+    def _files(self, *names: str) -> tuple:
+        """What tells the state of tables: number, bytes and a digest of the names, sizes and times of their files. Only listed, not read."""
+        d = self.spark.read.format("binaryFile").load([f"{self.sf_dir}/{n}.parquet" for n in names])
+        return tuple(d.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+
     def _bars(self) -> str:
-        """Path of `bars`, written once for each application and folder, by code: all other panel tables read it and not the facts."""
-        own = (self.spark.sparkContext.applicationId, self.sf_dir)
+        """Path of `bars`, written once for each application and state of the tables it is made of: all other panel tables read it and not the facts."""
+        own = (self.spark.sparkContext.applicationId, self.sf_dir, *self._files("lineitem", "part"))
         if own not in _BARS:
             path = fresh_path(self.spark, "bars")
-            self._spark_sql(ctes("SELECT * FROM bars")).repartition("code").sortWithinPartitions("code", "date").write.parquet(path)
+            self._spark_sql(ctes("SELECT * FROM bars")).repartition("code", F.year("date")).sortWithinPartitions("code", "date").write.parquet(path)
             _BARS[own] = path
         return _BARS[own]
 
