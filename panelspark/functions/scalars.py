@@ -94,6 +94,24 @@ def csrc_class(industry) -> Column:
     return F.nullif(F.regexp_extract(_c(industry), r"^([A-Z]\d{2})", 1), F.lit(""))
 
 
+#: The classes of the five buckets.
+BUCKETS = {
+    "finance": ("J66",),
+    "livelihood": ("D44", "G54"),
+    "consumption": ("C36", "C38", "C15"),
+    "tech": ("C34", "C35", "C39", "I64", "I65"),
+    "infrastructure": ("E47", "E48", "C30"),
+}
+
+
+def bucket_of(industry) -> Column:
+    """The bucket of an industry's class; NULL for classes of none."""
+    out = F.lit(None).cast("string")
+    for name, classes in BUCKETS.items():
+        out = F.when(csrc_class(industry).isin(*classes), name).otherwise(out)
+    return out
+
+
 def swap_code(code, style: str = "ts") -> Column:
     """sh.600000 as 600000.SH, 600000.XSHG or sh600000; bonds by their first digits."""
     p = F.split(_c(code), r"\.")

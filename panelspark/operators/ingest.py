@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.scalars import csrc_class, rebased
+from panelspark.functions.scalars import bucket_of, csrc_class, rebased
 
 
 def typed(df: DataFrame, doubles: tuple[str, ...] = (), dates: tuple[str, ...] = (), flags: tuple[str, ...] = ()) -> DataFrame:
@@ -33,9 +33,9 @@ def normalize_bonds(df: DataFrame) -> DataFrame:
 
 
 def normalize_industry(df: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
-    """Adds the class code, and the bucket that `buckets` (csrc, bucket), a row for each class, gives it; an unlisted class has none."""
+    """Adds the class code and its bucket: of the five built-in ones, or of `buckets` (csrc, bucket), a row for each class; an unlisted class has none."""
     d = df.withColumn("csrc", csrc_class("industry"))
-    return d.join(F.broadcast(buckets), "csrc", "left") if buckets is not None else d
+    return d.join(F.broadcast(buckets), "csrc", "left") if buckets is not None else d.withColumn("bucket", bucket_of("industry"))
 
 
 def normalize_margin(df: DataFrame, value: str = "rzye") -> DataFrame:

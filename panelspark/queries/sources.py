@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import ingest as I
 from panelspark.queries import query
+from panelspark.sources import files
 
 
 @query("s1_scan_bars", "SELECT code, date, close FROM bars WHERE code IN ('sh.600004', 'sz.300006') AND date BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'", "close")
@@ -78,3 +79,26 @@ def s21(t):
 @query("s26_p6_industry", "SELECT code, CASE WHEN bucket IS NULL THEN NULL ELSE 'C' || substr(bucket, 1, 2) END AS csrc FROM industry")
 def s26(t):
     return I.normalize_industry(t.industry.withColumn("industry", F.concat(F.lit("C"), F.substr("bucket", F.lit(1), F.lit(2)), F.lit(" machinery")))).select("code", "csrc")
+
+
+INDUSTRIES = ("J66 banks", "D44 power", "G54 roads", "C36 cars", "C15 drinks", "C39 chips", "I65 software", "E48 works", "C30 glass", "A01 farms", "", "66J")
+
+
+@query("p6_bucket_map", "SELECT code, CASE WHEN k IN (0) THEN 'finance' WHEN k IN (1, 2) THEN 'livelihood' WHEN k IN (3, 4) THEN 'consumption' WHEN k IN (5, 6) THEN 'tech' WHEN k IN (7, 8) THEN 'infrastructure' END AS bucket FROM (SELECT code, CAST(substr(code, 8, 2) AS INT) % 12 AS k FROM codes) x")
+def p6(t):
+    """The five buckets of industry strings; codes stand for twelve of them, of which three have no bucket."""
+    k = F.substr("code", F.lit(8), F.lit(2)).cast("int") % len(INDUSTRIES)
+    d = t.codes.withColumn("industry", F.element_at(F.array(*map(F.lit, INDUSTRIES)), k + 1))
+    return I.normalize_industry(d).select("code", "bucket")
+
+
+@query("s3_scan_reports", "SELECT 'annual' AS kind, code, count(*) AS n, min(pub_date) AS first, avg(roe) AS value FROM annual_reports GROUP BY code UNION ALL SELECT 'holders', code, count(*), min(pub_date), avg(holders) FROM holders GROUP BY code", "value")
+def s3(t):
+    """Report tables that landed as text, read with their types; a report without a publication date is not there yet."""
+    path = files.fresh_path(t.spark, "reports")
+    text = lambda df, kind, value: df.select(F.lit(kind).alias("kind"), "code", *(F.col(c).cast("string").alias(c) for c in ("stat_date", "pub_date")), F.col(value).cast("string").alias("value"))
+    a, h = text(t.annual_reports, "annual", "roe"), text(t.holders, "holders", "holders")
+    open_ones = h.withColumn("pub_date", F.lit(""))
+    files.sink_parquet(a.unionByName(h).unionByName(open_ones), path, ("kind",))
+    both = [files.scan_reports(t.spark, f"{path}/kind={k}").withColumn("kind", F.lit(k)) for k in ("annual", "holders")]
+    return both[0].unionByName(both[1]).groupBy("kind", "code").agg(F.count("*").alias("n"), F.min("pub_date").alias("first"), F.avg("value").alias("value"))

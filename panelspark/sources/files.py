@@ -49,6 +49,12 @@ def scan_keyed_dir(spark: SparkSession, path: str, key: str = "code", folder: st
     return d.withColumn(key, F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?\.parquet$", 1))
 
 
+def scan_reports(spark: SparkSession, path: str, value: str = "value") -> DataFrame:
+    """(code, stat_date, pub_date, value) of reports that landed as text, typed; without a publication date a report is left out."""
+    d = spark.read.schema(f"code string, stat_date string, pub_date string, `{value}` string").parquet(path)
+    return d.select("code", *(F.col(c).try_cast("date").alias(c) for c in ("stat_date", "pub_date")), F.col(value).try_cast("double").alias(value)).where("pub_date is not null")
+
+
 def scan_csv(spark: SparkSession, path: str, schema: str, where: str | None = None) -> DataFrame:
     d = spark.read.csv(path, schema=schema, header=True)
     return d.where(where) if where else d
