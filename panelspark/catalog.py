@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelspark.queries import ORACLES, QUERIES, blends, books, events, factors, grids, joins, landed, listings, live, more, reports, samples, sources, stats, studies  # noqa: F401
+from panelspark.queries import ORACLES, QUERIES, blends, books, drifts, events, factors, grids, joins, landed, listings, live, more, reports, samples, sources, stats, studies  # noqa: F401
 
 
 def queries() -> dict:
