@@ -75,6 +75,6 @@ def walk_forward_predict(data: DataFrame, features: list[str], folds: list, min_
 def evaluated(scores: DataFrame, fwd: str = "fwd", top: int = 5) -> DataFrame:
     """(strategy, months, mean_ic, ir, t, hit, excess, spread) of (strategy, date, code, v, fwd): rank correlation, the return of the `top` best over the universe's, best fifth less worst."""
     by = ("strategy", "date")
-    ic = X.ic_summary(X.rank_ic(scores, "v", fwd, by), ("strategy",)).select("strategy", F.col("n").alias("months"), "mean_ic", "ir", "t", "hit")
+    ic = X.ic_summary(X.rank_ic(scores, "v", fwd, by).withColumn("ic", F.round("ic", 9)), ("strategy",)).select("strategy", F.col("n").alias("months"), "mean_ic", "ir", "t", "hit")
     picked = X.selection_excess(scores, "v", fwd, top, by=by).groupBy("strategy").agg(F.avg("excess").alias("excess"), F.avg("spread").alias("spread"))
     return ic.join(picked, "strategy", "left")

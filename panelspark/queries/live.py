@@ -75,7 +75,7 @@ FIVE = {
     "whole": "SELECT s.date, s.code, f AS strategy, round(z, 9) AS v, fwd FROM scaled s JOIN (SELECT date, code FROM scaled GROUP BY date, code HAVING count(z) = 5 AND count(fwd) = 5) k USING (date, code)",
     "oos": f"SELECT strategy, date, code, v, fwd - avg(fwd) OVER (PARTITION BY strategy, date) AS fwd FROM whole WHERE date >= (SELECT max(date) FROM (SELECT DISTINCT date FROM whole ORDER BY date LIMIT {MIN_TRAIN + 1}) z HAVING count(*) = {MIN_TRAIN + 1})",
     "ranked": "SELECT *, rank() OVER (PARTITION BY strategy, date ORDER BY v) + (count(*) OVER (PARTITION BY strategy, date, v) - 1)/2.0 AS a, rank() OVER (PARTITION BY strategy, date ORDER BY fwd) + (count(*) OVER (PARTITION BY strategy, date, fwd) - 1)/2.0 AS b, row_number() OVER (PARTITION BY strategy, date ORDER BY v DESC, code) AS p, row_number() OVER (PARTITION BY strategy, date ORDER BY v, code) - 1 AS r, count(*) OVER (PARTITION BY strategy, date) AS n FROM oos",
-    "monthly": "SELECT strategy, date, corr(a, b) AS ic, avg(CASE WHEN p <= 5 THEN fwd END) - avg(fwd) AS excess, avg(CASE WHEN greatest(0, ceil(r*5.0/greatest(n - 1, 1)) - 1) = 4 THEN fwd END) - avg(CASE WHEN greatest(0, ceil(r*5.0/greatest(n - 1, 1)) - 1) = 0 THEN fwd END) AS spread FROM ranked GROUP BY strategy, date HAVING count(*) >= 5",
+    "monthly": "SELECT strategy, date, round(corr(a, b), 9) AS ic, avg(CASE WHEN p <= 5 THEN fwd END) - avg(fwd) AS excess, avg(CASE WHEN greatest(0, ceil(r*5.0/greatest(n - 1, 1)) - 1) = 4 THEN fwd END) - avg(CASE WHEN greatest(0, ceil(r*5.0/greatest(n - 1, 1)) - 1) = 0 THEN fwd END) AS spread FROM ranked GROUP BY strategy, date HAVING count(*) >= 5",
 }
 
 

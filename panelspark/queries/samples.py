@@ -82,7 +82,7 @@ def q19_samples(t):
     return told(whole.unionByName(parts), ("dir", "horizon", "kind", "sample"))
 
 
-@query("q19_robustness", f"SELECT tag, n_periods, mean, t FROM (SELECT tag, count(*) AS n_periods, avg(m) AS mean, avg(m)/(stddev_samp(m)/sqrt(count(*))) AS t FROM (SELECT tag, date_trunc('month', date) AS p, avg(least(greatest(car, lo), hi)) AS m FROM lwn, (SELECT 'winsorized 1' AS tag, quantile_cont(car, 0.01) AS lo, quantile_cont(car, 0.99) AS hi FROM lwn UNION ALL SELECT 'winsorized 5', quantile_cont(car, 0.05), quantile_cont(car, 0.95) FROM lwn) q GROUP BY 1, 2) x GROUP BY tag) y UNION ALL SELECT 'signs', count(*) FILTER (car <> 0), avg(CASE WHEN car > 0 THEN 1.0 ELSE 0.0 END) FILTER (car <> 0), NULL FROM lwn UNION ALL SELECT 'years', count(*), avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), NULL FROM (SELECT year(date) AS y, avg(car) AS m FROM lwn GROUP BY 1) z", "mean t", extra=LOCKED | {
+@query("q19_robustness", f"SELECT tag, n_periods, mean, t FROM (SELECT tag, count(*) AS n_periods, avg(m) AS mean, CASE WHEN count(*) >= 2 AND stddev_samp(m) >= 1e-12 THEN avg(m)/(stddev_samp(m)/sqrt(count(*))) END AS t FROM (SELECT tag, date_trunc('month', date) AS p, avg(least(greatest(car, lo), hi)) AS m FROM lwn, (SELECT 'winsorized 1' AS tag, quantile_cont(car, 0.01) AS lo, quantile_cont(car, 0.99) AS hi FROM lwn UNION ALL SELECT 'winsorized 5', quantile_cont(car, 0.05), quantile_cont(car, 0.95) FROM lwn) q GROUP BY 1, 2) x GROUP BY tag) y UNION ALL SELECT 'signs', count(*) FILTER (car <> 0), avg(CASE WHEN car > 0 THEN 1.0 ELSE 0.0 END) FILTER (car <> 0), NULL FROM lwn UNION ALL SELECT 'years', count(*), avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), NULL FROM (SELECT year(date) AS y, avg(car) AS m FROM lwn GROUP BY 1) z", "mean t", extra=LOCKED | {
     "lwn": f"SELECT date, car - {COST} AS car FROM lcr WHERE dir = 1 AND horizon = {VERDICT} AND car IS NOT NULL",
 })
 def q19_robustness(t):
@@ -173,7 +173,7 @@ def q8_cells(t):
 HELD = drift_sql(SURGE.replace("SELECT code, CAST(stat_date + 30 AS DATE) AS pub_date FROM", "SELECT code, CAST(stat_date + 30 AS DATE) AS pub_date, round(holders / prev - 1, 9) AS surge, ps, stat_date FROM")) | {
     "hpx": "SELECT e.*, b1.close / b0.close - 1 AS ival FROM de e JOIN bars b0 ON b0.code = e.code AND b0.date = e.ps JOIN bars b1 ON b1.code = e.code AND b1.date = e.stat_date",
     "hte": "SELECT quantile_cont(surge, 1/3.0) AS q1, quantile_cont(surge, 2/3.0) AS q2 FROM (SELECT x.surge FROM hpx x JOIN dp ON dp.code = x.code AND dp.pub_date = x.pub_date) z",
-    "hcr": "SELECT h.horizon, x.pub_date AS date, surge, ival, b.s - a.s AS car FROM hpx x JOIN dp n ON n.code = x.code AND n.pub_date = x.pub_date CROSS JOIN (VALUES (20), (60)) h(horizon) JOIN pf a ON a.code = n.code AND a.pos = n.entry_pos LEFT JOIN pf b ON b.code = n.code AND b.pos = n.entry_pos + h.horizon",
+    "hcr": "SELECT h.horizon, x.pub_date AS date, surge, ival, round(b.s - a.s, 9) AS car FROM hpx x JOIN dp n ON n.code = x.code AND n.pub_date = x.pub_date CROSS JOIN (VALUES (20), (60)) h(horizon) JOIN pf a ON a.code = n.code AND a.pos = n.entry_pos LEFT JOIN pf b ON b.code = n.code AND b.pos = n.entry_pos + h.horizon",
     "hsa": "SELECT horizon, 'all' AS sample, date, car FROM hcr UNION ALL SELECT horizon, unnest([CASE WHEN surge <= q1 THEN 'mild' WHEN surge <= q2 THEN 'middle' ELSE 'severe' END, CASE WHEN ival > 0 THEN 'rally' ELSE 'decline' END, CASE WHEN date < DATE '1998-01-01' THEN 'early' ELSE 'late' END]) AS sample, date, car FROM hcr JOIN hte ON TRUE",
 }
 
@@ -189,7 +189,7 @@ def q31_samples(t):
     for name, on in (("c0", "ps"), ("c1", "stat_date")):  # the last close up to each report's own date
         ev = asof_join(ev, closes.withColumnRenamed("close", name), ["code"], on, "at").drop("at")
     ev = ev.withColumn("ival", F.col("c1") / F.col("c0") - 1).withColumn("pub_date", F.date_add("stat_date", 30)).drop("c0", "c1")
-    c = E.event_cars(next_trading_row(ev, t.calendar, "pub_date"), abnormal(t), [20, 60]).withColumn("date", F.col("pub_date"))
+    c = E.event_cars(next_trading_row(ev, t.calendar, "pub_date"), abnormal(t), [20, 60]).withColumn("date", F.col("pub_date")).withColumn("car", F.round("car", 9))
     low, high = A.exact_quantiles(c.where("horizon = 20"), "surge", [1 / 3, 2 / 3])
     s = F.col("surge")
     d = in_samples(c, {
