@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,6 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def give_back() -> None:
+    """Return memory that is free but still held by the C library, as after work on a large sample; nothing where it has no such call."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df under the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/panelspark-{uuid.uuid4().hex}/{name}"

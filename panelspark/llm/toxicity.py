@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import bounded, held_out, steps
+from panelspark.llm.common import bounded, give_back, held_out, steps
 
 #: Labelled rows that the lexicon is learnt from, at most about.
 SAMPLE_ROWS = 9000
@@ -174,7 +174,10 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     """A lexicon from about `rows` labelled rows at most, chosen by a hash of the key."""
     usable = labelled.where(F.col(label).isNotNull()).select(key, text, label)
     sample = sorted(((r[0], r[1] or "", int(r[2])) for r in bounded(usable, key, rows).collect()))
-    return learn([r[1] for r in sample], [r[2] for r in sample])
+    lexicon = learn([r[1] for r in sample], [r[2] for r in sample])
+    del sample
+    give_back()  # the driver goes on for long after this
+    return lexicon
 
 
 def score(df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
