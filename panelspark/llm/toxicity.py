@@ -151,6 +151,8 @@ def learn(texts: list[str], toxic: list[int], least: int = 3, share: float = 0.0
     for t in sorted((t for t in seen if ratio[t] >= odds), key=lambda t: (-bad[t] * ratio[t] * (1 + 0.01 * len(t)), t)):
         if not any(t.startswith(k) or k.startswith(t.rstrip()) for k in kept):
             kept[t] = ratio[t]
+    if not kept:
+        return Lexicon({})
     out = Lexicon(kept, list(exceptions))
     automaton = out.automaton()
     phrases: dict[str, list[int]] = {}

@@ -331,6 +331,7 @@ def test_toxicity_learns_folds_and_spares(spark):
     lex.exceptions.append("nice grubzot")
     m = lex.matches(lex.automaton(), " a nice grubzot here ")
     assert not m and toxicity.learn(["a"], [0]).score(0, 1) == 0.0
+    assert not toxicity.learn(["a b", "a b", "c"], [0, 1, 0]).terms  # labels of both kinds, but no term that tells
 
 
 def test_language_of_words_in_switched_text(spark):
