@@ -75,8 +75,9 @@ def p8(t):
     return t.bars.select("code", "date", S.inverse_positive("pe_ttm").alias("ey"), S.inverse_positive("pb_mrq").alias("bp"), S.roe_ratio("pb_mrq", "pe_ttm").alias("roe"), (cap / 1e6).alias("cap"), S.small_size(cap).alias("small"))
 
 
-@query("p12_fees", "SELECT fill_id, greatest(price*abs(shares)*0.00025, 5.0) + price*abs(shares)*0.00001 AS buy, greatest(price*abs(shares)*0.00025, 5.0) + price*abs(shares)*0.00051 AS sell FROM fills", "buy sell")
+@query("p12_fees", "SELECT fill_id, CASE WHEN price*abs(shares) > 0 THEN greatest(price*abs(shares)*0.00025, 5.0) + price*abs(shares)*0.00001 ELSE 0.0 END AS buy, CASE WHEN price*abs(shares) > 0 THEN greatest(price*abs(shares)*0.00025, 5.0) + price*abs(shares)*0.00051 ELSE 0.0 END AS sell FROM fills", "buy sell")
 def p12(t):
+    """Fees of each fill as a purchase and as a sale; a fill without turnover costs nothing, so the minimum does not apply."""
     turnover, c = F.col("price") * F.abs("shares"), S.CostSpec()
     return t.fills.select("fill_id", c.buy_fee(turnover).alias("buy"), c.sell_fee(turnover).alias("sell"))
 
