@@ -265,9 +265,9 @@ Q14 = SCORES | {
 }
 
 
-@query("q14_stops", "SELECT trigger, level, CASE WHEN date < DATE '1995-01-01' THEN 'early' ELSE 'late' END AS era, count(*) AS n, avg(CASE WHEN stopped THEN 1.0 ELSE 0.0 END) AS stopped, avg(ret) AS mean, min(ret) AS worst, avg(ret)/(stddev_samp(ret)/sqrt(count(*))) AS t FROM sx WHERE ret IS NOT NULL GROUP BY 1, 2, 3", "level stopped mean worst t", extra=Q14)
+@query("q14_stops", "SELECT trigger, level, CASE WHEN date < DATE '1995-01-01' THEN 'early' ELSE 'late' END AS era, count(*) AS n, avg(CASE WHEN stopped THEN 1.0 ELSE 0.0 END) AS stopped, avg(ret) AS mean, min(ret) AS worst, CASE WHEN count(*) >= 2 AND stddev_samp(ret) >= 1e-12 THEN avg(ret)/(stddev_samp(ret)/sqrt(count(*))) END AS t FROM sx WHERE ret IS NOT NULL GROUP BY 1, 2, 3", "level stopped mean worst t", extra=Q14)
 def q14(t):
-    """Eight stop levels by two triggers over 20 rows from each purchase of the five best by earnings yield, by era: one pass over the paths."""
+    """Eight stop levels by two triggers over 20 rows from each purchase of the five best by earnings yield, by era: one pass over the paths. Where all were stopped at the level itself, there is no dispersion and no t."""
     d = rets(t).select("date", "code", "pos", "close", "low")
     e = month_scores(t).withColumn("p", X.place("ey")).where("p <= 5").select("date", "code").join(d, ["date", "code"]).select("code", "pos", "date", F.col("close").alias("basis"))
     path = J.positional_range(e, d.select("code", "pos", "close", "low"), "pos", 20)

@@ -1,9 +1,16 @@
 """Rows that only larger or odd tables hold: both engines say the same."""
 
+import datetime
+import itertools
+import types
 
 import duckdb
+import pytest
 
 from panelspark import catalog
+from panelspark.operators import xsection as X
+from panelspark.queries import factors, grids, reports, studies
+from panelspark.sources import files
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,3 +32,12 @@ def test_a_fill_without_turnover_costs_nothing(spark, tmp_path):
     ours, theirs = both(spark, "p12_fees", tmp_path, events=events)
     assert ours == theirs
     assert all(r[1:] == (0.0, 0.0) for r in ours if r[0] % 10 < 2) and all(r[1] > 4.9 for r in ours if r[0] % 10 > 1)
+
+
+def test_stops_at_the_level_itself_have_no_t(spark, tmp_path):
+    own = f"SELECT * REPLACE (100.0 * l_quantity AS l_extendedprice, 0.05 AS l_discount) FROM '{DIR}/lineitem.parquet'"
+    low = f"SELECT * REPLACE (l_quantity AS l_extendedprice, 0.05 AS l_discount) FROM '{DIR}/lineitem.parquet'"
+    ours, theirs = both(spark, "q14_stops", tmp_path, lineitem=f"{own} UNION ALL {low}")
+    at = [r for r in ours if r[0] == "intraday"]
+    assert at and all(r[4] == 1.0 and r[5] == -r[1] and r[7] is None for r in at)
+    assert [r[:7] for r in ours] == [r[:7] for r in theirs] and [r[7] for r in ours] == [r[7] for r in theirs]
