@@ -61,11 +61,11 @@ def rank_pct(value, by=BY) -> Column:
 
 
 def rank_ic(df: DataFrame, factor: str, fwd: str, by=BY, least: int = 5) -> DataFrame:
-    """(by, ic, n): rank correlation of factor and forward return where both are there; a group where one of them is the same for all has none."""
+    """(by, ic, n): rank correlation of factor and forward return where both are there, to nine digits, so that none is told from nought by rounding; a group where one of them is the same for all has none."""
     both = df.where(F.col(factor).isNotNull() & F.col(fwd).isNotNull()).withColumn("__f", average_rank(factor, by)).withColumn("__r", average_rank(fwd, by))
     w = Window.partitionBy(*by)
     both = both.withColumn("__differ", (F.min("__f").over(w) < F.max("__f").over(w)) & (F.min("__r").over(w) < F.max("__r").over(w))).where("__differ")
-    agg = both.groupBy(*by).agg(F.corr("__f", "__r").alias("ic"), F.count("*").alias("n"))
+    agg = both.groupBy(*by).agg(F.round(F.corr("__f", "__r"), 9).alias("ic"), F.count("*").alias("n"))
     return agg.where((F.col("n") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic"))
 
 

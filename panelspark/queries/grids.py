@@ -46,7 +46,7 @@ def leg_ic(t):
 LEGS = SCORES | Z | {
     "lg": "SELECT date, code, fwd, 'composite' AS leg, round(score, 9) AS v FROM zz UNION ALL SELECT date, code, fwd, 'value' AS leg, ey AS v FROM ms UNION ALL SELECT date, code, fwd, 'reversal' AS leg, -mom AS v FROM ms",
     "lk": "SELECT *, rank() OVER (PARTITION BY leg, date ORDER BY v) + (count(*) OVER (PARTITION BY leg, date, v) - 1)/2.0 AS a, rank() OVER (PARTITION BY leg, date ORDER BY fwd) + (count(*) OVER (PARTITION BY leg, date, fwd) - 1)/2.0 AS b, row_number() OVER (PARTITION BY leg, date ORDER BY v DESC, code) AS p, row_number() OVER (PARTITION BY leg, date ORDER BY v, code) - 1 AS r, count(*) OVER (PARTITION BY leg, date) AS n FROM lg WHERE v IS NOT NULL AND fwd IS NOT NULL",
-    "lic": "SELECT leg, date, corr(a, b) AS x FROM lk GROUP BY leg, date HAVING count(*) >= 5 AND corr(a, b) IS NOT NULL",
+    "lic": "SELECT leg, date, round(corr(a, b), 9) AS x FROM lk GROUP BY leg, date HAVING count(*) >= 5 AND corr(a, b) IS NOT NULL",
     "lsel": "SELECT date, avg(CASE WHEN p <= 5 THEN fwd END) - avg(fwd) AS excess, avg(CASE WHEN greatest(0, ceil(r*5.0/greatest(n - 1, 1)) - 1) = 4 THEN fwd END) - avg(CASE WHEN greatest(0, ceil(r*5.0/greatest(n - 1, 1)) - 1) = 0 THEN fwd END) AS spread FROM lk WHERE leg = 'composite' GROUP BY date HAVING count(*) >= 5",
     "lx": "SELECT leg, date, x FROM lic UNION ALL SELECT 'excess' AS leg, date, excess AS x FROM lsel UNION ALL SELECT 'spread' AS leg, date, spread AS x FROM lsel",
 }

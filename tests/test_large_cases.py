@@ -41,3 +41,17 @@ def test_stops_at_the_level_itself_have_no_t(spark, tmp_path):
     at = [r for r in ours if r[0] == "intraday"]
     assert at and all(r[4] == 1.0 and r[5] == -r[1] and r[7] is None for r in at)
     assert [r[:7] for r in ours] == [r[:7] for r in theirs] and [r[7] for r in ours] == [r[7] for r in theirs]
+
+
+def uncorrelated():
+    """Groups of seven pairs of ranks without any correlation."""
+    mine = range(1, 8)
+    return [p for p in itertools.permutations(mine) if sum((a - 4) * (b - 4) for a, b in zip(mine, p)) == 0]
+
+
+def test_no_rank_correlation_is_nought(spark):
+    rows = [(g, float(a), float(b)) for g, p in enumerate(uncorrelated()) for a, b in zip(range(1, 8), p)]
+    ic = X.rank_ic(spark.createDataFrame(rows, "g int, v double, fwd double"), "v", "fwd", ("g",))
+    assert {r.ic for r in ic.collect()} == {0.0}
+    s = X.ic_summary(ic).first()
+    assert (s.n, s.hit) == (len(uncorrelated()), 0.0)
