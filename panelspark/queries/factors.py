@@ -314,7 +314,7 @@ def x8(t):
 IC = {
     "ok": "SELECT * FROM ms WHERE ey IS NOT NULL AND fwd IS NOT NULL",
     "rk": "SELECT date, rank() OVER (PARTITION BY date ORDER BY ey) + (count(*) OVER (PARTITION BY date, ey) - 1) / 2.0 AS a, rank() OVER (PARTITION BY date ORDER BY fwd) + (count(*) OVER (PARTITION BY date, fwd) - 1) / 2.0 AS b FROM ok",
-    "ics": "SELECT date, corr(a, b) AS ic, count(*) AS n FROM rk GROUP BY date HAVING count(*) >= 5",
+    "ics": "SELECT date, round(corr(a, b), 9) AS ic, count(*) AS n FROM rk GROUP BY date HAVING count(*) >= 5",
 }
 
 

@@ -38,7 +38,7 @@ def long_scores(t):
 LONG = SCORES | {
     "lf": "SELECT date, code, fwd, 'ey' AS factor, ey AS v FROM ms UNION ALL SELECT date, code, fwd, 'mom' AS factor, mom AS v FROM ms UNION ALL SELECT date, code, fwd, 'turn' AS factor, -turn AS v FROM ms",
     "lr": "SELECT factor, date, rank() OVER (PARTITION BY factor, date ORDER BY v) + (count(*) OVER (PARTITION BY factor, date, v) - 1)/2.0 AS a, rank() OVER (PARTITION BY factor, date ORDER BY fwd) + (count(*) OVER (PARTITION BY factor, date, fwd) - 1)/2.0 AS b FROM lf WHERE v IS NOT NULL AND fwd IS NOT NULL",
-    "li": "SELECT factor, date, corr(a, b) AS ic FROM lr GROUP BY factor, date HAVING count(*) >= 5 AND corr(a, b) IS NOT NULL",
+    "li": "SELECT factor, date, round(corr(a, b), 9) AS ic FROM lr GROUP BY factor, date HAVING count(*) >= 5 AND corr(a, b) IS NOT NULL",
 }
 
 

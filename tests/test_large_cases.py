@@ -55,3 +55,11 @@ def test_no_rank_correlation_is_nought(spark):
     assert {r.ic for r in ic.collect()} == {0.0}
     s = X.ic_summary(ic).first()
     assert (s.n, s.hit) == (len(uncorrelated()), 0.0)
+
+
+def test_sql_of_rank_correlations_tells_none_from_nought():
+    rows = ", ".join(f"('f', 'f', {g}, {a}.0, {b}.0)" for g, p in enumerate(uncorrelated()) for a, b in zip(range(1, 8), p))
+    con = duckdb.connect()
+    for name, sql, x in (("lr", studies.LONG["li"], "ic"), ("lk", grids.LEGS["lic"], "x"), ("rk", factors.IC["ics"], "ic")):
+        con.sql(f"CREATE TABLE {name} AS SELECT * FROM (VALUES {rows}) r(factor, leg, date, a, b)")
+        assert con.sql(f"SELECT count(*) FROM ({sql}) z WHERE {x} > 0").fetchall() == [(0,)]
