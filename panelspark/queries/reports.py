@@ -107,7 +107,7 @@ RUNS = [("base", 5, True, 1.0, 1.0), ("ten", 10, True, 1.0, 1.0), ("nofloor", 5,
 RUN_SQL = ", ".join(f"('{v}', {n}, {str(f).lower()}, {a}, {b})" for v, n, f, a, b in RUNS)
 LOW = {
     "fl": "SELECT substr(code, 1, 2) AS ex, quantile_cont(amount, 0.1) AS floor FROM bars GROUP BY 1",
-    "lowr": f"SELECT variant, n, b.date, b.code, row_number() OVER (PARTITION BY variant, b.date ORDER BY round(a*b.close + c*100*b.pb_mrq, 6), b.code) AS p FROM bars b JOIN month_ends m ON m.date = b.date JOIN fl ON fl.ex = substr(b.code, 1, 2) CROSS JOIN (VALUES {RUN_SQL}) v(variant, n, floored, a, c) WHERE b.close IS NOT NULL AND b.pb_mrq IS NOT NULL AND (NOT floored OR b.amount >= fl.floor)",
+    "lowr": f"SELECT variant, n, b.date, b.code, row_number() OVER (PARTITION BY variant, b.date ORDER BY round(a*b.close + c*100*b.pb_mrq, 6), b.code) AS p FROM bars b JOIN month_ends m ON m.date = b.date JOIN fl ON fl.ex = substr(b.code, 1, 2) CROSS JOIN (VALUES {RUN_SQL}) v(variant, n, floored, a, c) WHERE b.close IS NOT NULL AND b.pb_mrq IS NOT NULL AND (NOT floored OR round(b.amount, 6) >= round(fl.floor, 6))",
 }
 Q37 = LOW | book_sql("SELECT variant, date, code FROM lowr WHERE p <= n", f"SELECT variant, date FROM month_ends, (VALUES {RUN_SQL}) v(variant, n, floored, a, c)", 0.0005, 0.0005)
 
@@ -117,19 +117,19 @@ def low_ranks(t):
     b = t.bars.withColumn("ex", F.substr("code", F.lit(1), F.lit(2)))
     floors = b.groupBy("ex").agg(F.percentile("amount", F.lit(0.1)).alias("floor"))  # a row for each exchange
     v = variants(t, RUNS, "variant string, n int, floored boolean, a double, c double")
-    d = b.join(F.broadcast(t.month_ends), "date").join(F.broadcast(floors), "ex").crossJoin(v).where("close is not null and pb_mrq is not null and (not floored or amount >= floor)")
+    d = b.join(F.broadcast(t.month_ends), "date").join(F.broadcast(floors), "ex").crossJoin(v).where("close is not null and pb_mrq is not null and (not floored or round(amount, 6) >= round(floor, 6))")
     return d.withColumn("p", X.place(F.round(F.col("a") * F.col("close") + F.col("c") * 100 * F.col("pb_mrq"), 6), False, ("variant", "date"))), v.select("variant")
 
 
-@query("q37_cb_double_low", f"SELECT {SUMMED}, log_wealth > (SELECT log_wealth FROM vp WHERE variant = 'all') AS ahead, sharpe > (SELECT sharpe FROM vp WHERE variant = 'all') AS steadier, (SELECT avg(CASE WHEN abs(close_a - close_b)/close_b > 0.005 THEN 1.0 ELSE 0.0 END) FROM two_source) < 0.2 AS checked FROM vp", SUMMARY, extra=Q37)
+@query("q37_cb_double_low", f"SELECT {SUMMED}, round(log_wealth, 9) > (SELECT round(log_wealth, 9) FROM vp WHERE variant = 'all') AS ahead, round(sharpe, 9) > (SELECT round(sharpe, 9) FROM vp WHERE variant = 'all') AS steadier, (SELECT avg(CASE WHEN abs(close_a - close_b)/close_b > 0.005 THEN 1.0 ELSE 0.0 END) FROM two_source) < 0.2 AS checked FROM vp", SUMMARY, extra=Q37)
 def q37(t):
-    """The lowest by price plus premium: five runs against all names, and a verdict in three parts (ahead, steadier, sources agree)."""
+    """The lowest by price plus premium: five runs against all names, and a verdict in three parts (ahead, steadier, sources agree), to nine digits, so that rounding makes no run better than itself."""
     d, names = low_ranks(t)
     s = summary(daily(t, d.where("p <= n"), t.month_ends.crossJoin(names), (0.0005, 0.0005)))
-    base = s.where("variant = 'all'").select(F.col("log_wealth").alias("w"), F.col("sharpe").alias("s"))
+    base = s.where("variant = 'all'").select(F.round("log_wealth", 9).alias("w"), F.round("sharpe", 9).alias("s"))
     check = J.close_mismatch(t.two_source).select((F.col("rate") < 0.2).alias("checked"))
     d = s.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(check))
-    return d.select(*s.columns, (F.col("log_wealth") > F.col("w")).alias("ahead"), (F.col("sharpe") > F.col("s")).alias("steadier"), "checked")
+    return d.select(*s.columns, (F.round("log_wealth", 9) > F.col("w")).alias("ahead"), (F.round("sharpe", 9) > F.col("s")).alias("steadier"), "checked")
 
 
 PAPER = LOW | {"inc": "SELECT date AS inception FROM calendar WHERE pos = (SELECT CAST(floor(max(pos)/2) AS BIGINT) FROM calendar)", "psig": "SELECT 'paper' AS variant, date FROM month_ends CROSS JOIN inc WHERE date >= inception"}

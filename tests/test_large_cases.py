@@ -63,3 +63,13 @@ def test_sql_of_rank_correlations_tells_none_from_nought():
     for name, sql, x in (("lr", studies.LONG["li"], "ic"), ("lk", grids.LEGS["lic"], "x"), ("rk", factors.IC["ics"], "ic")):
         con.sql(f"CREATE TABLE {name} AS SELECT * FROM (VALUES {rows}) r(factor, leg, date, a, b)")
         assert con.sql(f"SELECT count(*) FROM ({sql}) z WHERE {x} > 0").fetchall() == [(0,)]
+
+
+def test_no_run_is_ahead_of_its_equal(spark, monkeypatch):
+    s = spark.createDataFrame([("all", 1.0, -0.1, 0.5, 0.1), ("ten", 1.0 + 1e-13, -0.1, 0.5 + 1e-13, 0.1), ("base", 1.1, -0.1, 0.6, 0.1)], "variant string, log_wealth double, max_drawdown double, sharpe double, ann_mean double")
+    two = spark.createDataFrame([("c", datetime.date(2000, 1, 3), 1.0, 1.0)], "code string, date date, close_a double, close_b double")
+    monkeypatch.setattr(reports, "low_ranks", lambda t: (s.selectExpr("1 AS p", "1 AS n"), s.select("variant")))
+    monkeypatch.setattr(reports, "daily", lambda *a: None)
+    monkeypatch.setattr(reports, "summary", lambda d: s)
+    got = reports.q37(types.SimpleNamespace(month_ends=s.select("variant").withColumnRenamed("variant", "date"), two_source=two)).collect()
+    assert {r.variant: (r.ahead, r.steadier) for r in got} == {"all": (False, False), "ten": (False, False), "base": (True, True)}
