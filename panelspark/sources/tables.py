@@ -11,6 +11,9 @@ from panelspark.sources.files import fresh_path
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 
+#: What of a first open its issue cost.
+ISSUE = 0.8
+
 VIEWS = {
     "bars": """SELECT CASE n % 4 WHEN 0 THEN 'sh.6000' WHEN 1 THEN 'sh.6880' WHEN 2 THEN 'sz.3000' ELSE 'sz.0000' END || lpad(CAST(n AS STRING), 2, '0') AS code,
   d AS date, avg(px) AS open, max(px) AS high, min(px) AS low, sum(ext)/sum(qty) AS close, sum(qty) AS volume, sum(ext) AS amount, sum(qty)/500.0 AS turn,
@@ -39,7 +42,7 @@ FROM (SELECT CAST(replace(p_brand,'Brand#','') AS INT) AS n, CAST(l_shipdate AS
     "predictions": "SELECT l.doc_id, 1/(1+exp(-(d.n_chars-500.0)/500.0)) AS p1, l.quality AS y FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
     "two_source": "SELECT code, date, close AS close_a, CASE WHEN volume % 7 = 0 THEN close*1.01 ELSE close END AS close_b FROM bars",
     "supplier_days": "SELECT CAST(l_suppkey AS STRING) AS code, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice/l_quantity) AS open, max(l_extendedprice/l_quantity) AS high, sum(l_extendedprice)/sum(l_quantity) AS close FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE)",
-    "listings": "SELECT code, min(date) AS list_date, min_by(open, date)*0.8 AS issue_price FROM supplier_days GROUP BY code",
+    "listings": f"SELECT code, min(date) AS list_date, min_by(open, date)*{ISSUE} AS issue_price FROM supplier_days GROUP BY code",
 }
 
 

@@ -73,3 +73,17 @@ def test_no_run_is_ahead_of_its_equal(spark, monkeypatch):
     monkeypatch.setattr(reports, "summary", lambda d: s)
     got = reports.q37(types.SimpleNamespace(month_ends=s.select("variant").withColumnRenamed("variant", "date"), two_source=two)).collect()
     assert {r.variant: (r.ahead, r.steadier) for r in got} == {"all": (False, False), "ten": (False, False), "base": (True, True)}
+
+
+@pytest.mark.parametrize("name", ["q33_exits", "q34_ladder", "q35_touches"])
+def test_listings_deal_the_facts_once(spark, monkeypatch, name):
+    real, plans = files.written, []
+
+    def caught(df, n):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, n)
+
+    monkeypatch.setattr(files, "written", caught)
+    out = catalog.queries()[name](spark, DIR)
+    assert not [f for f in out.inputFiles() if "lineitem" in f]
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1
