@@ -5,7 +5,8 @@ encoding is the merge result of its bytes exactly if each of its tokens is one t
 neighbours are compatible, so the last token of every prefix is unique. The transducer reads bytes; its state is
 the set of hypotheses that can still win (a node of the vocabulary's trie and the tokens not yet emitted), kept
 canonical by emitting what all of them share. The longest token bounds the lookahead. States and transitions are
-made when first needed.
+made when first needed. Text brings new pieces without end, so those not seen before read their bytes side by side:
+a byte of all of them is one step, and the transitions it lacks are made together.
 
 Decoding. Tokens may cut characters. `Utf8Machine` takes bytes as they come and gives back whole characters.
 
@@ -21,7 +22,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,12 @@ from panelspark.llm.common import steps, within
 MAX_STATES, MAX_PIECES = 100_000, 600_000
 #: Pieces longer than this many characters are encoded without being remembered.
 LONG_PIECE = 64
+#: Pieces longer than this many bytes are read one at a time; of the others so many bytes are read side by side.
+LONG_BYTES, BLOCK = 256, 1 << 18
 #: Where a text may be cut before it is split into pieces: at a lone space between two characters that aren't space.
 #: No piece has a space after another character, so the pieces of the parts are those of the text.
 OTHER_SPACE = re.compile(r"[^\S \n]")
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
 #: No token: the low 20 bits of a hypothesis.
@@ -68,6 +71,9 @@ class Vocabulary:
                     self.grows.append(False)
                 node = self.go[at]
             self.ends[node] = r
+        self.ends_at, self.grows_at = np.array(self.ends, np.int64), np.array(self.grows)
+        self.size_of = np.zeros(max(self.token) + 1, np.int64)
+        self.size_of[list(self.size)] = list(self.size.values())
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -119,6 +125,16 @@ class Vocabulary:
             self._fits[left << 24 | right] = known
         return known
 
+    def fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """`fits` for pairs side by side; anything fits after NONE."""
+        keys, which = np.unique(left << 24 | right, return_inverse=True)
+        known = [self._fits.get(k) for k in keys.tolist()]
+        for i, k in enumerate(known):
+            if k is None:
+                a, b = int(keys[i]) >> 24, int(keys[i]) & (1 << 24) - 1
+                known[i] = a == NONE or self.fits(a, b)
+        return np.array(known, bool)[which]
+
 
 class Transducer:
     """Bytes in, tokens out. State 0 is the start; states and transitions come into being when first met.
@@ -134,13 +150,14 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[tuple[int, ...], int] = {}
-        self.states: list[tuple[int, ...]] = []
+        #: State number of the hypotheses, as the bytes of their 64-bit numbers, and the reverse.
+        self.number: dict[bytes, int] = {}
+        self.states: list[bytes] = []
         #: state << 8 | byte to state << 20 | token that ends there
         self.moves: dict[int, int] = {}
-        self._state((NONE,))
+        self._state(array("q", [NONE]).tobytes())
 
-    def _state(self, hypotheses: tuple[int, ...]) -> int:
+    def _state(self, hypotheses: bytes) -> int:
         n = self.number.get(hypotheses)
         if n is None:
             n = self.number[hypotheses] = len(self.states)
@@ -149,8 +166,8 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> int:
         """Every hypothesis (node << 20 | last token) reads the byte; the one that completes a compatible token starts a new one."""
-        alive, ended, go, ends, grows = [], NONE, self.v.go, self.v.ends, self.v.grows
-        for h in self.states[state]:
+        alive, ended, go, ends, grows = array("q"), NONE, self.v.go, self.v.ends, self.v.grows
+        for h in memoryview(self.states[state]).cast("q"):
             node = go.get(h >> 20 << 8 | byte)
             if node is None:
                 continue
@@ -160,9 +177,85 @@ class Transducer:
             if grows[node]:
                 alive.append(node << 20 | last)
         alive.append(ended)  # at the root; each prefix has an encoding, so one token ends here
-        move = self.moves[state << 8 | byte] = self._state(tuple(alive)) << 20 | ended
+        move = self.moves[state << 8 | byte] = self._state(alive.tobytes()) << 20 | ended
         return move
 
+    def _moves(self, at: np.ndarray) -> np.ndarray:
+        """The moves of many states and bytes (state << 8 | byte) side by side. Those not met before are made together, as `_move` makes one."""
+        to = np.fromiter(map(self.moves.get, at.tolist(), repeat(-1)), np.int64, len(at))
+        unmet = np.flatnonzero(to < 0)
+        if not len(unmet):
+            return to
+        fresh, which = np.unique(at[unmet], return_inverse=True)
+        held = [self.states[k] for k in (fresh >> 8).tolist()]
+        of = np.repeat(np.arange(len(fresh)), np.fromiter(map(len, held), np.int64, len(held)) >> 3)
+        h = np.frombuffer(b"".join(held), np.int64)
+        keys = h >> 20 << 8 | (fresh & 255)[of]
+        node = np.fromiter(map(self.v.go.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
+        goes = node >= 0
+        node, last, of = node[goes], h[goes] & NONE, of[goes]
+        token = self.v.ends_at[node]
+        ended = np.full(len(fresh), NONE)
+        may = np.flatnonzero(token >= 0)
+        may = may[self.v.fit(last[may], token[may])]
+        first, i = np.unique(of[may], return_index=True)
+        ended[first] = token[may[i]]
+        grows = self.v.grows_at[node]
+        count = np.bincount(of[grows], minlength=len(fresh))
+        end = np.cumsum(count + 1)
+        alive = np.empty(end[-1], np.int64)
+        alive[end - 1] = ended
+        alive[np.repeat(end - 1 - count, count) + within(count)] = (node << 20 | last)[grows]
+        raw, end = alive.tobytes(), end * 8
+        state = [self._state(raw[i:j]) for i, j in zip((end - 8 * (count + 1)).tolist(), end.tolist(), strict=True)]
+        made = np.array(state, np.int64) << 20 | ended
+        self.moves.update(zip(fresh.tolist(), made.tolist(), strict=True))
+        to[unmet] = made[which]
+        return to
+
+    def encode_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces end to end, and the number of each piece's. Pieces read their bytes side by side, BLOCK bytes of them at a time; a long one reads alone."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        whole = np.fromiter(map(self.v.ranks.get, pieces, repeat(-1)), np.int64, len(pieces))
+        alone = {int(i): self.encode(pieces[i]) for i in np.flatnonzero((whole < 0) & (size > LONG_BYTES))}
+        counts = np.minimum(size, 1)
+        for i, ids in alone.items():
+            counts[i] = len(ids)
+        many = np.flatnonzero((whole < 0) & (size > 0) & (size <= LONG_BYTES))
+        many = many[np.argsort(-size[many], kind="stable")]
+        paths = []
+        for own in np.split(many, np.flatnonzero(np.diff(np.cumsum(size[many]) // BLOCK)) + 1) if len(many) else []:
+            paths.append((own, *self._side_by_side([pieces[i] for i in own.tolist()], size[own])))
+            counts[own] = paths[-1][2]
+        end = np.cumsum(counts)
+        out = np.empty(end[-1] if len(end) else 0, np.int64)
+        out[end[whole >= 0] - 1] = whole[whole >= 0]
+        for i, ids in alone.items():
+            out[end[i] - len(ids) : end[i]] = ids
+        for own, ids, n in paths:
+            out[np.repeat(end[own] - n, n) + within(n)] = ids
+        return out, counts
+
+    def _side_by_side(self, pieces: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and their numbers for pieces in descending order of size: those that have a byte at a place come first."""
+        if len(self.states) > MAX_STATES:
+            self.reset()
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        begin = np.cumsum(size) - size
+        state, ends = np.zeros(len(pieces), np.int64), np.empty(len(raw), np.int64)  # ends: the token that ends at each byte
+        for d in range(int(size[0])):
+            n = int(np.searchsorted(-size, -d))
+            to = self._moves(state[:n] << 8 | raw[begin[:n] + d])
+            state[:n] = to >> 20
+            ends[begin[:n] + d] = to & NONE
+        is_last = np.zeros(len(raw), bool)  # bytes at which the tokens of the encoding end
+        at = begin + size - 1
+        while len(at):
+            is_last[at] = True
+            back = at - self.v.size_of[ends[at]]
+            at, begin = back[back >= begin], begin[back >= begin]
+        return ends[is_last], np.add.reduceat(is_last, np.cumsum(size) - size, dtype=np.int64)
+
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of one piece. A piece that is itself in the vocabulary is its own token."""
         whole = self.v.ranks.get(piece)
@@ -258,6 +351,7 @@ class Codec:
         self.lens = np.array([len(tokens.get(i, b"")) for i in range(size)], np.int64)
         self.token_at = np.concatenate([[0], np.cumsum(self.lens)])[:-1]
         self.flat = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), np.uint8)
+        self.decimals = list(map(str, range(size)))
         self.whole = np.array([self._whole(tokens.get(i, b"")) for i in range(size)])
         self.forget()
 
@@ -271,56 +365,87 @@ class Codec:
     remember = MAX_PIECES
 
     def forget(self) -> None:
-        """Start anew with what is remembered: pieces of the splitting pattern, and parts of texts between spaces."""
-        codec = self
-
-        class Parts(dict):
-            """Number of a part, which `lead` stands before: of its ids in `ids`, and as decimals in `texts`."""
-
-            def __init__(self, lead: str):
-                self.lead = lead
-
-            def __missing__(self, part: str) -> int:
-                whole = self.lead + part
-                pieces = codec.find(whole)
-                if len(pieces) == 1:
-                    ids = codec.transducer.encode(whole.encode())
-                    text = ",".join(map(str, ids))
-                else:
-                    at = [codec.parts[p] for p in pieces]
-                    text = ",".join([codec.texts[k] for k in at])
-                    ids = [i for k in at for i in codec.ids[codec.starts[k] : codec.starts[k] + codec.counts[k]]]
-                n = len(codec.texts)
-                codec.texts.append(text)
-                codec.counts.append(len(ids))
-                codec.starts.append(len(codec.ids))
-                codec.ids.extend(ids)
-                if len(whole) <= LONG_PIECE:
-                    self[part] = n
-                return n
-
-        self.parts, self.spaced, self.texts, self.counts, self.starts, self.ids = Parts(""), Parts(" "), [], array("q"), array("q"), array("q")
-
-    def numbers(self, text: str) -> list[int]:
-        """Numbers of the parts whose encodings make up the text's. All but the first follow a space."""
-        if not text:
-            return []
-        first, *rest = self.cut(text)
-        return [self.parts[first], *map(self.spaced.__getitem__, rest)]
+        """Start anew with what is remembered: pieces of the splitting pattern, and parts of texts between spaces.
+
+        `known` has the number of each: of its ids in `ids`, and as decimals in `texts`.
+        """
+        self.known: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.counts, self.starts, self.ids = array("q"), array("q"), array("q")
+
+    def learn(self, parts: list[str]) -> list[str]:
+        """Number distinct parts that are not known. Their unknown pieces are encoded side by side; a part of several pieces is put together from them.
+
+        Returns what is too long to be remembered.
+        """
+        pieces, n = self.split(parts)
+        fresh = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        ids, counts = self.transducer.encode_all([p.encode() for p in fresh])
+        end = np.cumsum(counts)
+        self.known.update(zip(fresh, range(len(self.texts), len(self.texts) + len(fresh)), strict=True))
+        self.starts.frombytes((len(self.ids) + end - counts).tobytes())
+        self.counts.frombytes(counts.tobytes())
+        self.ids.frombytes(ids.tobytes())
+        decimals = list(map(self.decimals.__getitem__, ids.tolist()))
+        self.texts += [",".join(decimals[i:j]) for i, j in zip((end - counts).tolist(), end.tolist(), strict=True)]
+        i = 0
+        for part, k in zip(parts, n, strict=True):
+            if part not in self.known:
+                at = [self.known[p] for p in pieces[i : i + k]]
+                self.known[part] = len(self.texts)
+                self.texts.append(",".join([self.texts[a] for a in at]))
+                self.starts.append(len(self.ids))
+                for a in at:
+                    self.ids.extend(self.ids[self.starts[a] : self.starts[a] + self.counts[a]])
+                self.counts.append(len(self.ids) - self.starts[-1])
+            i += k
+        return [p for p in {*parts, *fresh} if len(p) > LONG_PIECE]
+
+    def split(self, parts: list[str]) -> tuple[list[str], list[int]]:
+        """The pieces of all parts end to end, and the number of each part's.
+
+        Parts from a space to a character that isn't space are split as one text, which has safe spaces between them.
+        """
+        joint = [p[:1] == " " and not p[-1].isspace() for p in parts]
+        pieces = self.find("".join([p for p, j in zip(parts, joint, strict=True) if j]))
+        end = np.cumsum([0, *(len(p) for p, j in zip(parts, joint, strict=True) if j)])
+        piece_end = np.cumsum([0, *map(len, pieces)])
+        at = np.searchsorted(piece_end, end)
+        if piece_end[-1] != end[-1] or (piece_end[at] != end).any():  # a pattern that leaves something out
+            joint = [False] * len(parts)
+        out, n, counts = [], [], iter(np.diff(at).tolist())
+        i = 0
+        for part, j in zip(parts, joint, strict=True):
+            if j:
+                k = next(counts)
+                out += pieces[i : i + k]
+                i += k
+            else:
+                own = self.find(part)
+                out += own
+                k = len(own)
+            n.append(k)
+        return out, n
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """The text at its safe spaces. Where no white space touches another, plain splitting finds the same."""
+        """The text before each of its safe spaces. Where no white space touches another, plain splitting finds the same."""
+        if not text:
+            return []
         parts = text.split(" ")
         if "" in parts or " \n" in text or "\n " in text or OTHER_SPACE.search(text):
             return SAFE.split(text)
-        return parts
+        return [parts[0], *[" " + p for p in parts[1:]]]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """For each text its token ids, and the same as decimals joined by commas."""
-        if len(self.texts) > self.remember:
+        if len(self.texts) > self.remember or len(self.ids) > 16 * self.remember:
             self.forget()
-        places = list(map(self.numbers, texts))
+        cuts = list(map(self.cut, texts))
+        long = self.learn([p for p in dict.fromkeys(chain.from_iterable(cuts)) if p not in self.known])
+        places = [list(map(self.known.__getitem__, c)) for c in cuts]
+        for p in long:
+            del self.known[p]
         counts, starts = np.array(self.counts, np.int64), np.array(self.starts, np.int64)
         ids = np.array(self.ids, np.int64)
         out = []

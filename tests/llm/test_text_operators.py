@@ -70,6 +70,40 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, docs, texts):
         bpe.encode_decode(docs, path, pattern, outputs=("nothing",))
 
 
+def test_bpe_reads_new_pieces_side_by_side(monkeypatch):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    path, pattern = bpe.rank_file()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    new = ["".join(rng.choice("etaoinéß") for _ in range(rng.randint(2, 14))) + rng.choice(["", "", ".", "!?", ",x", "'s"]) for _ in range(4000)]
+    texts = [" ".join(new[i : i + 50]) for i in range(0, 4000, 50)]
+    c, alone, found = bpe.Codec(path, pattern), [], []
+    encode, find = c.transducer.encode, c.find
+    monkeypatch.setattr(c.transducer, "encode", lambda p: alone.append(p) or encode(p))
+    monkeypatch.setattr(c, "find", lambda t: found.append(t) or find(t))
+    for t, (ids, joined) in zip(texts, c.encode(texts), strict=True):
+        assert ids.tolist() == enc.encode_ordinary(t) and joined == ",".join(map(str, ids.tolist()))
+    # no piece by itself; of the parts only those that begin a text
+    assert not alone and len(found) <= len(texts) + 1
+    # few states and narrow blocks, long pieces, white space at borders, nothing known and everything known
+    monkeypatch.setattr(bpe, "MAX_STATES", 50)
+    monkeypatch.setattr(bpe, "BLOCK", 40)
+    texts = ["", " ", "a \x1c b", "x\n y", "end ", "end \n", "ab" * 300 + " " + "é" * 90 + " é", "🙂" * 70 + "!", *texts[:6]]
+    c.forget()
+    for _ in range(2):
+        assert [ids.tolist() for ids, _ in c.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+        assert max(map(len, c.known)) <= bpe.LONG_PIECE
+    assert alone  # those of more than LONG_BYTES
+    # a pattern that leaves something out
+    c = bpe.Codec(path, "[a-z]+")
+    assert [ids.tolist() for ids, _ in c.encode(["ab1 tion!the 12 the", "12"])] == [[i for p in ("ab", "tion", "the", "the") for i in enc.encode_ordinary(p)], []]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_utf8_machine_equals_python(seed):
     import codecs
