@@ -43,7 +43,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the digest of the text that the ids decode to."""
-    return bpe.encode_decode(docs, *bpe.rank_file(), outputs=("n_tokens", "ids", "decoded_sha256"), remember=150_000)
+    return bpe.encode_decode(docs, *bpe.rank_file(), outputs=("n_tokens", "ids", "decoded_sha256"), remember=40_000, carry=20_000)
 
 
 STAGES = [

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm.common import steps, within
+from panelspark.llm.common import STEP_BYTES, lean, steps, within
 
 #: States and remembered pieces are dropped beyond these numbers and made again, so that memory stays bounded.
 MAX_STATES, MAX_PIECES = 100_000, 600_000
@@ -373,6 +373,17 @@ class Codec:
         self.texts: list[str] = []
         self.counts, self.starts, self.ids = array("q"), array("q"), array("q")
 
+    def rest(self, most: int) -> None:
+        """Between tasks: what has grown beyond `most` pieces or states, or four fits for each, is dropped, and made again when next needed."""
+        t = self.transducer
+        if len(self.texts) > most or len(self.ids) > 16 * most:
+            self.forget()
+        if len(t.states) > most:
+            t.reset()
+        if len(t.v._fits) > 4 * most:
+            t.v._fits.clear()
+            t.v._spines.clear()
+
     def learn(self, parts: list[str]) -> list[str]:
         """Number distinct parts that are not known. Their unknown pieces are encoded side by side; a part of several pieces is put together from them.
 
@@ -481,12 +492,13 @@ def codec(path: str, pattern: str) -> Codec:
 TYPES = {"n_tokens": "long", "ids": "array<long>", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
 
-def encode_decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), remember: int = MAX_PIECES) -> DataFrame:
+def encode_decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), remember: int = MAX_PIECES, carry: int | None = None) -> DataFrame:
     """Encode every whole text, then decode the ids.
 
     outputs: of n_tokens, ids, decoded, and the digests ids_sha256 (of decimal ids joined by commas) and decoded_sha256
     (of the decoded text's bytes), which are taken where the ids and the decoded text are, so neither travels.
-    path: a rank file that each executor can read. remember: pieces that a worker keeps encoded, about 300 bytes each. Narrow: one pass, no shuffle.
+    path: a rank file that each executor can read. remember: pieces that a worker keeps encoded, about 300 bytes each. carry: of these, how many it
+    takes along from task to task (see `Codec.rest`), where its executor has other work besides; it then reads half as much text at a time. None: all. Narrow: one pass, no shuffle.
     """
     if unknown := set(outputs) - set(TYPES):
         raise ValueError(f"unknown outputs: {sorted(unknown)}")
@@ -495,7 +507,7 @@ def encode_decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         c.remember = remember
-        for batch in steps(batches):
+        for batch in steps(batches, size=STEP_BYTES if carry is None else STEP_BYTES // 2):
             cols: dict[str, list] = {o: [] for o in outputs}
             for ids, joined in c.encode([t or "" for t in batch.column(1).to_pylist()]):
                 if "n_tokens" in cols:
@@ -511,9 +523,11 @@ def encode_decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", t
                     if "decoded_sha256" in cols:
                         cols["decoded_sha256"].append(sha(back.encode()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, arrow_types[o]) for o, v in cols.items())], [key, *outputs])
+        if carry is not None:
+            c.rest(carry)
 
     arrow_types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int64()), "ids_sha256": pa.string(), "decoded": pa.string(), "decoded_sha256": pa.string()}
-    return df.select(df[key].alias(key), df[text].alias("text")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{o} {TYPES[o]}" for o in outputs))
+    return df.select(df[key].alias(key), df[text].alias("text")).mapInArrow(run if carry is None else lean(run), f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{o} {TYPES[o]}" for o in outputs))
 
 
 def rank_file() -> tuple[str, str]:

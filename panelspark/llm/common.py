@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +42,28 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def give_back() -> None:
-    """Return memory that is free but still held by the C library, as after work on a large sample; nothing where it has no such call."""
-    gc.collect()
+def give_back(collect: bool = True) -> None:
+    """Return memory that is free but still held by Arrow and the C library, as after work on a large sample; nothing where they have no such call."""
+    if collect:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and at the end of its task what it freed is given back: a worker lives on, idle or at other tasks, beside all others of its executor."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back(collect=False)
+
+    return task
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df under the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/panelspark-{uuid.uuid4().hex}/{name}"

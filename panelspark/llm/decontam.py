@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ALNUM, fold_case, prefix_hash, span_hash, steps, text_bytes, words
+from panelspark.llm.common import ALNUM, fold_case, lean, prefix_hash, span_hash, steps, text_bytes, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints within this many of 64 bits are verified: at similarity 0.8 about 10 are expected to differ.
@@ -228,7 +228,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity:
                 keep[bad] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import LOWER, NO_KEY, has_bit, hash_bits, materialize, mix, prefix_hash, span_hash, steps, text_bytes, within, words
+from panelspark.llm.common import LOWER, NO_KEY, has_bit, hash_bits, lean, materialize, mix, prefix_hash, span_hash, steps, text_bytes, within, words
 from panelspark.llm.graph import components
 
 BANDS, ROWS = 32, 5
@@ -39,6 +39,8 @@ EMPTY = np.uint16(0xFFFF)
 SLACK = 5.0
 #: Members of a bucket that ask, and that are asked, in one task at most, about.
 BLOCK = 1024
+#: Bytes of text that are cut into shingles at a time: each byte takes about 50 of a worker's memory meanwhile.
+SHINGLE_BYTES = 1 << 20
 #: Taken off the threshold where sets are of 32-bit hashes, which may collide; whole hashes decide afterwards.
 MARGIN = 0.01
 
@@ -101,7 +103,7 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
     """id, text_hash, n_shingles, h1 and h2 (two independent sums over the set), bands (hashes of the non-empty ones) and registers of each (id, text_hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, size=SHINGLE_BYTES):
             sets, count = shingle_sets(*text_bytes(batch.column(2)), shingle)
             reg = registers(sets, count)
             at = np.concatenate([[0], np.cumsum(count)])
@@ -120,7 +122,7 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
             binary = pa.array([r.tobytes() for r in reg], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), bands, binary], ["id", "text_hash", "n_shingles", "h1", "h2", "bands", "registers"])
 
-    return docs.select("id", "text_hash", "text").mapInArrow(run, "id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>, registers binary")
+    return docs.select("id", "text_hash", "text").mapInArrow(lean(run), "id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>, registers binary")
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -138,7 +140,7 @@ def estimated(pairs: DataFrame, threshold: float) -> DataFrame:
                 ok = estimate(ra, rb) >= threshold - tolerance(ra, rb, threshold)
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "ra", "rb").mapInArrow(lean(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -150,7 +152,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "tb"):
+        for batch in steps(batches, "tb", SHINGLE_BYTES):
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
                 # the left text once for each run of rows that share it
@@ -173,20 +175,20 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
                 ok = (100 * shared >= round(100 * threshold) * joint) & (joint > 0)
                 yield part.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def compact_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(id, set) of (id, text): the shingle set as sorted 32-bit hashes, bytes of an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, size=SHINGLE_BYTES):
             sets, count = shingle_sets(*text_bytes(batch.column(1)), shingle)
             at = np.concatenate([[0], np.cumsum(count)])
             cut = [np.sort((sets[i:j] >> np.uint64(32)).astype(np.uint32)).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["id", "set"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, set binary")
+    return texts.select("id", "text").mapInArrow(lean(run), "id long, set binary")
 
 
 def supported(sets: DataFrame, threshold: float) -> DataFrame:
@@ -201,7 +203,7 @@ def supported(sets: DataFrame, threshold: float) -> DataFrame:
             for s in batch.column(1):
                 yield pa.RecordBatch.from_arrays([pa.array(mix(np.frombuffer(s.as_py(), np.uint32).astype(np.uint64)).view(np.int64))], ["hash"])
 
-    twice = sets.mapInArrow(each, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    twice = sets.mapInArrow(lean(each), "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     known = sets.sparkSession.sparkContext.broadcast(hash_bits(twice.select("hash")))
     t = threshold - MARGIN
 
@@ -215,7 +217,7 @@ def supported(sets: DataFrame, threshold: float) -> DataFrame:
                 most.append(int(shared * (1 + t) / t - len(h)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int64()), pa.array(most, pa.int64())], ["id", "set", "size", "most"])
 
-    return sets.select("id", "set").mapInArrow(bound, "id long, set binary, size long, most long")
+    return sets.select("id", "set").mapInArrow(lean(bound), "id long, set binary, size long, most long")
 
 
 def sizes_that_fit(size: int, most: int, sizes: np.ndarray, threshold: float) -> slice:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import bounded, give_back, held_out, steps
+from panelspark.llm.common import bounded, give_back, held_out, lean, steps
 
 #: Labelled rows that the lexicon is learnt from, at most about.
 SAMPLE_ROWS = 9000
@@ -221,7 +221,7 @@ def clean(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: floa
                 keep.append(lex.score(w, len(folded.split())) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def labelled_documents(docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,42 @@ def test_the_pipeline_judges_rows(spark, tmp_path):
     assert "Welck" not in masked.text and masked.entities == "own" and masked.n_chars == len(masked.text)
 
 
+def test_a_worker_carries_little_from_the_encoder_to_other_stages(spark):
+    import corpus_pipeline
+    from panelspark.llm import bpe
+
+    path, pattern = bpe.rank_file()
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}"[:9].translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(1000))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        import os
+
+        for _ in batches:
+            pass
+        c = bpe.codec(path, pattern) if bpe.codec.cache_info().currsize else None
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "pieces": [len(c.texts) if c else -1], "states": [len(c.transducer.states) if c else -1], "fits": [len(c.transducer.v._fits) if c else -1]})
+
+    got = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.tokenize(spark, docs, "").collect()}
+    workers = spark.range(0, 64, 1, 16).mapInArrow(held, "pid long, pieces long, states long, fits long").where("pieces >= 0").collect()
+    assert workers and max(r.pieces for r in workers) <= 20_000 and max(r.states for r in workers) <= 20_000 and max(r.fits for r in workers) <= 80_000
+    # what was dropped is made again, with the same tokens
+    whole = bpe.encode_decode(docs, path, pattern, outputs=("n_tokens", "decoded_sha256"))
+    assert got == {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in whole.collect()}
+
+
+def test_a_lean_task_gives_memory_back_at_its_end(monkeypatch):
+    from panelspark.llm import common
+
+    said = []
+    monkeypatch.setattr(common, "give_back", lambda collect=True: said.append(collect))
+    batch = pa.RecordBatch.from_pydict({"n": [1]})
+    out = common.lean(lambda batches: (b for b in batches))(iter([batch, batch]))
+    assert next(out) == batch and not said
+    assert list(out) == [batch] and said == [False]
+
+
 @pytest.fixture(scope="module")
 def keyless():
     rng = random.Random(5)
