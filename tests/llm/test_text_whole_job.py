@@ -53,6 +53,88 @@ def test_vectors_of_null_and_repeated_keys(spark):
     assert pq.near_duplicates(df.limit(0)).count() == 0
 
 
+def linked(rows, cosine=0.98):
+    """{key: (n_links, component_id)} by all pairs."""
+    x = np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([str(r[2]) for r in rows])
+    link = (x @ x.T >= cosine) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    comp = np.array([r[0] for r in rows])
+    while True:
+        new = np.minimum(comp, np.where(link, comp[None, :], 1 << 40).min(axis=1))
+        if (new == comp).all():
+            return {r[0]: (int(n), int(c)) for r, n, c in zip(rows, link.sum(axis=1), comp, strict=True)}
+        comp = new
+
+
+@pytest.mark.parametrize("kind, block, asking", [("float", 40, 8), ("double", 40, 1), ("float", 3, 64)])  # of blocks of 3 some have no vector
+def test_vectors_of_labels_of_many_blocks_against_brute_force(spark, monkeypatch, kind, block, asking):
+    monkeypatch.setattr(pq, "BLOCK_BYTES", block * 8 * 12)
+    monkeypatch.setattr(pq, "ASKING", asking)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(90, 12))
+    # a label of many blocks, with groups near each other and one list over several blocks; a label of two blocks; a small one
+    v = [base[i % 90] + rng.normal(size=12) * rng.choice([0, 0.02, 0.05, 0.2]) for i in range(600)] + [base[7] + rng.normal(size=12) * 0.03 for _ in range(200)]
+    labels = ["large"] * 500 + ["two"] * 70 + ["small"] * 30 + ["large"] * 200
+    unit = np.eye(12)[1]
+    v += [unit, np.where(unit == 0, -0.0, unit), 2 * unit]
+    labels += ["large"] * 3
+    rows = [(i, np.array(x, np.float32 if kind == "float" else float).tolist(), lab) for i, (x, lab) in enumerate(zip(v, labels, strict=True))]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pq.near_duplicates(df.repartition(5)).collect()}
+    assert got == linked(rows)
+
+
+def test_a_block_asked_in_small_steps_counts_every_link_once(monkeypatch):
+    for name, n in (("STEP", 64), ("STRIP", 16), ("PAIRS", 50)):
+        monkeypatch.setattr(pq, name, n)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(20, 12))
+    x = np.array([base[i % 20 if i % 2 else 3] + rng.normal(size=12) * rng.choice([0.01, 0.03, 0.3]) for i in range(500)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    copies, q = rng.integers(1, 4, len(x)), pq.Quantiser.fit(x, 16)
+    lists, codes, error = q.encode(x)
+    here = lists >= 4  # the rest stand before these and come to ask
+    ids = np.arange(len(x)) + 1000
+    block = pq.Block(q, x[here], ids[here], copies[here], lists[here], codes[here], error[here], 0.98)
+    a, b = block.ask_itself()
+    n, c, d = block.ask(x[~here], ids[~here], copies[~here], lists[~here])
+    link = x @ x.T >= 0.98
+    np.fill_diagonal(link, False)
+    link[np.ix_(~here, ~here)] = False  # those of other blocks do not meet here
+    assert dict(zip([*block.ids, *ids[~here]], [*block.n, *n], strict=True)) == dict(zip(ids, link @ copies, strict=True))
+    pairs = [*zip(a, b, strict=True), *zip(c, d, strict=True)]
+    assert pairs and all(link[i - 1000, j - 1000] for i, j in pairs) and len(pairs) < len(x)
+    reach, had = np.eye(len(x), dtype=bool) | link, np.eye(len(x), dtype=bool)
+    for i, j in pairs:
+        had[i - 1000, j - 1000] = had[j - 1000, i - 1000] = True
+    for _ in range(9):
+        reach, had = (reach.astype(int) @ reach) > 0, (had.astype(int) @ had) > 0
+    assert (reach == had).all()
+
+
+def test_a_vector_is_sent_once_for_each_block_not_for_each_list(spark, request):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that no exchange is left out because tables are small
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.enabled"))
+    rng = np.random.default_rng(4)
+    n = 3000
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(rng.normal(size=(n, 32)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        all_of = stages()
+        return {all_of.apply(i).stageId(): all_of.apply(i).shuffleWriteRecords() for i in range(all_of.size())}
+
+    before = written()
+    assert pq.near_duplicates(df).where("n_links = 0").count() == n
+    most = max(x for k, x in written().items() if k not in before)
+    assert n <= most <= 2 * n
+
+
 def jaccard(x, y, size=5):
     sets = []
     for t in (x, y):
