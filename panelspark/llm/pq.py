@@ -52,8 +52,8 @@ BLOCK_BYTES, MOST_ROWS = 1 << 25, 1 << 16
 ASKING = 8
 #: Vectors that are placed, or ask, at once: their distances to all centroids are held in memory.
 STEP = 2048
-#: Vectors of a list that are asked at once, and pairs that are compared exactly at once.
-STRIP, PAIRS = 1024, 1 << 16
+#: Vectors of a list that are asked at once, and pairs that are compared one by one at once. Where the codes leave one pair in DENSE, all are compared by one product.
+STRIP, PAIRS, DENSE = 1024, 1 << 16, 64
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -147,7 +147,8 @@ def unit_rows(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 def forest(top: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Positions of the links that join what was apart before them; top, a name for each node's component, is brought up to date."""
     kept = []
-    for part in (np.unique(b, return_index=True)[1], np.arange(len(a))):  # one link for each node first, as in dense groups no other is needed
+    apart = np.flatnonzero(top[a] != top[b])
+    for part in (apart[np.unique(b[apart], return_index=True)[1]], apart[np.unique(a[apart], return_index=True)[1]], apart):  # one link for each node first, as in dense groups no other is needed
         part = part[top[a[part]] != top[b[part]]]
         up: dict[int, int] = {}
 
@@ -186,8 +187,8 @@ class Block:
             self.rows[lo : lo + STEP, -1] = ((self.radius + error[at] + 1e-6) ** 2 - 1 - (y**2).sum(axis=1)) / 2
         self.which, self.starts = np.unique(self.lists, return_index=True)
 
-    def candidates(self, x: np.ndarray, lists: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, position here) of the pairs that the codes leave, PAIRS or a few more at a time."""
+    def links(self, x: np.ndarray, ids: np.ndarray, lists: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """(queries, positions here, None) of links, PAIRS or fewer at a time; or where the codes leave much, (queries, positions here of one list, which of these pairs are links)."""
         need = np.ascontiguousarray(self.q.reach(x, lists, self.radius)[:, self.which].T)
         x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float32)
         least, held, size = np.float32(-slack(x.shape[1])), [], 0
@@ -197,38 +198,59 @@ class Block:
                 continue
             asking = x1[who]
             for a in range(lo, hi, STRIP):
-                s = asking @ self.rows[a : min(a + STRIP, hi)].T
+                here = np.arange(a, min(a + STRIP, hi))
+                s = asking @ self.rows[a : here[-1] + 1].T
                 at = np.flatnonzero(s.ravel() >= least)
-                if len(at):
+                if len(at) > max(s.size // DENSE, 1000):
+                    c = x[who] @ self.x[a : here[-1] + 1].T
+                    link = c >= self.cosine
+                    i, j = np.nonzero(np.abs(c - self.cosine) < 1e-9)  # a product of matrices rounds otherwise: what is close is told as elsewhere
+                    link[i, j] = self.close(x, who[i], here[j])
+                    link &= ids[who][:, None] != self.ids[here][None, :]
+                    yield who, here, link
+                elif len(at):
                     i, j = np.divmod(at, s.shape[1])
                     held.append((who[i], j + a))
                     size += len(at)
                 if size >= PAIRS:
-                    yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                    yield from self.told(x, ids, held)
                     held, size = [], 0
         if held:
-            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            yield from self.told(x, ids, held)
+
+    def close(self, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether queries i and positions j here have the cosine."""
+        parts = [np.einsum("ij,ij->i", x[i[lo : lo + PAIRS]], self.x[j[lo : lo + PAIRS]]) >= self.cosine for lo in range(0, len(i), PAIRS)]
+        return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+    def told(self, x: np.ndarray, ids: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, None]]:
+        i, j = map(np.concatenate, zip(*held, strict=True))
+        ok = self.close(x, i, j) & (ids[i] != self.ids[j])
+        if ok.any():
+            yield i[ok], j[ok], None
 
     def ask(self, x: np.ndarray, ids: np.ndarray, copies: np.ndarray, lists: np.ndarray, first: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """How many vectors here each query links with, and (id, id) of a forest of the links; vectors here are credited in self.n. first: the queries are those here from that position on."""
         n, base, out_a, out_b = np.zeros(len(x), np.int64), np.full(len(x), -1) if first is None else np.arange(first, first + len(x)), [ids[:0]], [ids[:0]]
-        for i_all, j_all in self.candidates(x, lists):
-            for lo in range(0, len(i_all), PAIRS):
-                i, j = i_all[lo : lo + PAIRS], j_all[lo : lo + PAIRS]
-                ok = (ids[i] != self.ids[j]) & (np.einsum("ij,ij->i", x[i], self.x[j]) >= self.cosine)
-                i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
+        for i, j, link in self.links(x, ids, lists):
+            if link is None:
                 np.add.at(n, i, self.copies[j])
                 other = lists[i] != self.lists[j]  # those of the queries' own list ask for themselves
                 np.add.at(self.n, j[other], copies[i[other]])
-                if first is None:  # a query from elsewhere hangs on to the first that it links with
-                    new, at = np.unique(i, return_index=True)
-                    new, at = new[base[new] < 0], at[base[new] < 0]
-                    base[new] = j[at]
-                    out_a.append(ids[new]), out_b.append(self.ids[j[at]])
-                f = forest(self.top, base[i], j)
-                out_a.append(ids[i[f]]), out_b.append(self.ids[j[f]])
+            else:
+                n[i] += link @ self.copies[j]
+                other = lists[i] != self.lists[j[0]]
+                self.n[j] += copies[i[other]] @ link[other]
+            if first is None:  # a query from elsewhere hangs on to the first that it links with
+                new, at = np.unique(i, return_index=True) if link is None else (i[link.any(axis=1)], link.argmax(axis=1)[link.any(axis=1)])
+                new, at = new[base[new] < 0], at[base[new] < 0]
+                base[new] = j[at]
+                out_a.append(ids[new]), out_b.append(self.ids[j[at]])
+            if link is not None:
+                left = np.nonzero(link & (self.top[base[i]][:, None] != self.top[j][None, :]))  # base is known wherever there is a link
+                i, j = i[left[0]], j[left[1]]
+            f = forest(self.top, base[i], j)
+            out_a.append(ids[i[f]]), out_b.append(self.ids[j[f]])
         return n, np.concatenate(out_a), np.concatenate(out_b)
 
     def ask_itself(self) -> tuple[np.ndarray, np.ndarray]:
